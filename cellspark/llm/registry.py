@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality_rules, toxicity, wavelet
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op9_wavelet_ids": wavelet.op9_wavelet_ids,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.OP3_SQL,
+}
