@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, toxicity, wavelet
+from . import bpe, decontaminate, quality_classifier, quality_rules, tool_calls, toxicity, warc, wavelet
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_tool_calls": tool_calls.op5_tool_calls,
+    "op6_warc_revisits": warc.op6_warc_revisits,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_wavelet_ids": wavelet.op9_wavelet_ids,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op5_tool_calls": tool_calls.OP5_SQL,
+    "op6_warc_revisits": warc.OP6_SQL,
 }
