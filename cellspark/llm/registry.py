@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality_classifier, quality_rules, tool_calls, toxicity, warc, wavelet
+from . import bpe, decontaminate, minhash, quality_classifier, quality_rules, tool_calls, toxicity, warc, wavelet
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_tool_calls": tool_calls.op5_tool_calls,
