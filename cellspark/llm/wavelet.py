@@ -18,8 +18,10 @@ import functools
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import id_back, id_key, new_folder, read_table, store
 
@@ -35,7 +38,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of text for a shard, about: 1 to 3 million ids.
 SHARD_BYTES = 8 << 20
-MEMO = 150_000
+#: Words held per Python worker before the memo is emptied.
+MEMO = 400_000
 _MAGIC, _HEAD = b"WVMX", struct.Struct("<4sHHQQQQ")
 _BLOCK = 64  # bits between two rank samples
 
@@ -161,46 +165,68 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-def tokenize_batch(texts: list[str], path: str, memo: dict[str, bytes], end_id: int) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 16-bit integers, with the end id.
+@functools.lru_cache(maxsize=2)
+def _special(path: str) -> list[str]:
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
+#: Texts of only these characters split as ``_WORD`` says once they are in lower case.
+_PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ÿ]*")
+#: Fixed value: the vocabulary's own split pattern, its classes spelt out for plain texts.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-zß-öø-ÿ0-9]+")
+
+
+class _Memo(dict):
+    """Word in lower case -> its ids as little-endian unsigned 16-bit integers, by the library's model."""
+
+    def __init__(self, tok: Tokenizer):
+        super().__init__()
+        self.model = tok.model
+        visible = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: visible.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = array("H", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = ids.tobytes()
+        if len(word) < 40:
+            self[word] = out
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def _memo(path: str) -> _Memo:
+    """Kept by the Python worker from task to task."""
+    return _Memo(_tokenizer(path))
+
+
+def tokenize_text(text: str, path: str) -> bytes:
+    """The library's ids as little-endian unsigned 16-bit integers.
 
-    The vocabulary drops white space and never joins what it parts, so a text's ids are those
-    of its runs between blanks; the library sees each distinct run once. Texts with one of its
-    special strings go to the library whole.
+    The vocabulary drops white space and encodes each word by itself, so that plain texts are
+    split into words here and the library's model sees each distinct word once. Texts with other
+    characters, or with one of its special strings, go to the library whole.
     """
     tok = _tokenizer(path)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    end = np.array([end_id], "<u2").tobytes()
-    out = []
-    runs = [[] if any(s in text for s in special) else re.split("[ \n]+", text) for text in texts]
-    new = list({r for rs in runs for r in rs if r and r not in memo})
-    own: dict[str, bytes] = {}
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        own.update(zip(part, (np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-    for text, rs in zip(texts, runs, strict=True):
-        if not rs and text:
-            body = np.array(tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        else:
-            body = b"".join([memo.get(r) or own.get(r, b"") for r in rs])
-        out.append(body + end)
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-    if len(new) < MEMO:
-        memo.update((k, v) for k, v in own.items() if len(k) < 40)
-    return out
+    if not _PLAIN.fullmatch(text) or any(s in text for s in _special(path)):
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    memo = _memo(path)
+    return b"".join([memo[w] for w in _WORD.findall(text.lower())])
 
 
 def _tokenize(path: str, end_id: int, cuts: list[int]):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo: dict[str, bytes] = {}
         bounds = np.array(cuts, np.int64)
+        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 did = part.column("did").to_numpy(zero_copy_only=False)
-                ids = tokenize_batch([t or "" for t in part.column("text").to_pylist()], path, memo, end_id)
+                ids = [tokenize_text(t or "", path) + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, did, side="left"), pa.int64()), part.column("did"), pa.array(ids, pa.binary())], ["shard", "did", "ids"])
 
     return run

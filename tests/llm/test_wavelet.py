@@ -38,6 +38,7 @@ def test_file_round_trip():
 @pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
 def test_same_as_library(spark, shard_bytes):
     texts = [None, "", " \n ", "I'll GO\tthere  now 'so' 's", "x" * 500, "Ünïcödé 日本語 İ ΟΔΟΣ Σ 123", "é a ́b c", "see <|endoftext|> and<|startoftext|>x", "it's " * 60, "??!! don't's　x\x1cy"]
+    texts += ["ÉÀß éàÿ øØ'Ll ×÷ naïve'd [a]#1_2", "ª º µ ½ ² é", "E\u0301a"]
     texts += [f"word{i} and {i * 7919} more" for i in range(60)]
     rows = [(None if i == 4 else 1000 - i, t, "x") for i, t in enumerate(texts)] + [(3, "twice", "a"), (3, "twice", "b")]
     tok = Tokenizer.from_file(PATH)
