@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality_classifier, quality_rules, tool_calls, toxicity, warc, wavelet
+from . import bpe, decontaminate, minhash, quality_classifier, quality_rules, suffix_dedup, tool_calls, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_tool_calls": tool_calls.op5_tool_calls,
