@@ -251,9 +251,9 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     return out.select(id_back("did").alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"), "th")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, that stand for their class; of rows with the same id and text one."""
-    verdicts = classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kd"), "th").dropDuplicates(["kd"]).select("kd", F.col("th").alias("kt"))
+    verdicts = classes(docs, width).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kd"), "th").dropDuplicates(["kd"]).select("kd", F.col("th").alias("kt"))
     rows = docs.withColumns({"__did": id_key(), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = rows.join(verdicts, (F.col("__did") == F.col("kd")) & (F.col("__th") == F.col("kt")), "left_semi")
     return kept.dropDuplicates(["__did", "__th"]).select(*docs.columns)
