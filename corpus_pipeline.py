@@ -7,7 +7,6 @@ Each stage takes all rows that the stage before kept; all but the last return th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellspark.llm import bpe, decontaminate, minhash, quality_classifier, suffix_dedup
 from cellspark.llm.common import read_table, store
@@ -24,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that stand elsewhere in the corpus too go; a document of which nothing is left goes."""
-    return suffix_dedup.strip_repeats(docs).where(F.col("text").isNull() | (F.col("text") != ""))
+    """Bytes of passages that stand elsewhere in the corpus too go; a document of which nothing is left stays as an empty one."""
+    return suffix_dedup.strip_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
