@@ -1,12 +1,13 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Positives are documents labelled toxic; all text together is the unlabelled sample. Spark counts, over every
-document that may be learnt from, in how many of them each word stands; the words whose share
-among the positives most exceeds their share elsewhere are the features of a logistic model,
+document that may be learnt from, in how many of them each word of the positives stands; the words
+whose share among the positives most exceeds their share of all are the features of a logistic model,
 fitted in numpy on a bounded sample by the non-negative risk estimator
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the class prior ``pi`` from the labels.
 
-Bounds (documented parameters): ``MAX_FIT`` rows are fitted, ``MAX_WORDS`` words are features.
+Bounds (documented parameters): ``MAX_FIT`` rows are fitted, a quarter of them positives;
+the ``MAX_CANDIDATES`` most frequent words of those are looked at and ``MAX_WORDS`` are features.
 Held out are rows whose ``crc32(doc_id as text) mod 5`` is 0 (a null id counts as an empty
 text); nothing of them, label or text, is learnt from.
 
@@ -17,6 +18,7 @@ positives every score is the prior (0 if there are no labels); repeated rows eac
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from .common import read_table
 FOLDS = 5
 MAX_FIT = 20_000
 MAX_WORDS = 512
+MAX_CANDIDATES = 50_000
 #: A feature stands in at least so many positives, and its share there is at least so many times that elsewhere.
 MIN_POSITIVES, MIN_LIFT = 3, 4.0
 #: The logistic loss is weighted so that a document without any feature scores below one half.
@@ -67,17 +70,18 @@ def fit_weights(x: np.ndarray, positive: np.ndarray, prior: float, steps: int =
     return w, float(b)
 
 
-def _explode_words(batches):
-    for batch in batches:
-        flags, words = [], []
-        for text, flag in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
-            own = [w for w in words_of(text) if len(w) <= 40]
-            words += own
-            flags += [flag] * len(own)
-        table = pa.table({"word": pa.array(words, pa.string()), "positive": pa.array(flags, pa.bool_())})
-        counts = table.group_by(["word", "positive"]).aggregate([([], "count_all")])
-        for part in counts.select(["word", "positive", "count_all"]).rename_columns(["word", "positive", "n"]).to_batches():
-            yield part
+def _count_words(only: frozenset[str] | None):
+    """mapInArrow function: in how many documents of each batch a word stands."""
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column("text"):
+                own = words_of(text.as_py())
+                counts.update(w for w in own if len(w) <= 40) if only is None else counts.update(own & only)
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    return run
 
 
 class Model:
@@ -90,6 +94,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: int = MAX_WORDS) -> Model:
+    """No text is shuffled: the ids of the positives that are fitted (``max_fit / 4`` at most) are broadcast."""
     learnt = docs.where(~_held_out()).select("doc_id", "text")
     marks = labels.where(~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = marks.agg(F.count("toxic"), F.count_if(F.col("toxic") == 1)).first()
@@ -97,21 +102,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     flat = Model([], np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     if not n_toxic:
         return flat
-    marked = learnt.join(marks.where("toxic = 1").select(F.col("doc_id").alias("m"), F.lit(True).alias("hit")), F.col("doc_id") == F.col("m"), "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("positive"))
-
-    # Document frequencies over all that may be learnt from; only words of enough positives travel on.
-    positives = marked.where("positive")
-    found = positives.mapInArrow(_explode_words, "word string, positive boolean, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= MIN_POSITIVES)
-    totals = marked.groupBy("positive").count().collect()
-    n_p = sum(r["count"] for r in totals if r["positive"])
-    n_u = max(1, sum(r["count"] for r in totals if not r["positive"]))
-    if not n_p:
+
+    def sample(rows: DataFrame, size: int, total: int) -> DataFrame:
+        return rows if total <= size else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * 0.95 * size / total))
+
+    ids = sample(marks.where("toxic = 1"), max_fit // 4, n_toxic).select(F.col("doc_id").alias("m")).limit(max_fit // 4)
+    positives = learnt.join(F.broadcast(ids), F.col("doc_id") == F.col("m")).select("doc_id", "text")
+    n_p = positives.count()
+    found = positives.mapInArrow(_count_words(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= MIN_POSITIVES)
+    in_p = {r["word"]: r["in_p"] for r in found.orderBy(F.desc("in_p"), "word").limit(MAX_CANDIDATES).collect()}
+    if not in_p:
         return flat
-    elsewhere = marked.where("not positive").mapInArrow(_explode_words, "word string, positive boolean, n long").groupBy("word").agg(F.sum("n").alias("in_u"))
-    ranked = found.join(elsewhere, "word", "left").select("word", "in_p", F.coalesce("in_u", F.lit(0)).alias("in_u"))
-    lift = (F.col("in_p") / n_p) / ((F.col("in_u") + 1) / n_u)
-    gain = (F.col("in_p") / n_p) * F.log(lift)
-    words = [r["word"] for r in ranked.where(lift >= MIN_LIFT).orderBy(gain.desc(), "word").limit(max_words).collect()]
+
+    # Document frequencies of the candidates over all that may be learnt from.
+    n_all = learnt.count()
+    totals = learnt.select("text").mapInArrow(_count_words(frozenset(in_p)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    in_all = {r["word"]: r["n"] for r in totals.collect()}
+    lift = {w: (k / n_p) / (in_all[w] / n_all) for w, k in in_p.items()}
+    words = sorted((w for w in in_p if lift[w] >= MIN_LIFT), key=lambda w: (-in_p[w] * np.log(lift[w]), w))[:max_words]
     if not words:
         return flat
 
@@ -120,18 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     def features(batches):
         for batch in batches:
             own = [sorted(place[w] for w in words_of(t) & place.keys()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(own, pa.list_(pa.int32()))], ["positive", "own"])
-
-    def sample(rows: DataFrame, size: int, total: int):
-        part = rows if total <= size else rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * 0.9 * size / total))
-        return part.mapInArrow(features, "positive boolean, own array<int>").limit(size).collect()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], ["own"])
 
     # The unlabelled sample is drawn from all text, confirmed or not: the risk estimator's prior is that of the whole.
-    rows = sample(positives, max_fit // 4, n_p) + sample(marked.withColumn("positive", F.lit(False)), max_fit - max_fit // 4, n_p + n_u)
-    x = np.zeros((len(rows), len(words)), np.float32)
-    for i, r in enumerate(rows):
+    parts = [rows.select("text").mapInArrow(features, "own array<int>").limit(size).collect() for rows, size in ((positives, max_fit // 4), (sample(learnt, max_fit - max_fit // 4, n_all), max_fit - max_fit // 4))]
+    positive = np.arange(sum(map(len, parts))) < len(parts[0])
+    x = np.zeros((len(positive), len(words)), np.float32)
+    for i, r in enumerate(parts[0] + parts[1]):
         x[i, r["own"]] = 1
-    positive = np.array([r["positive"] for r in rows])
     if positive.all() or not positive.any():
         return flat
     return Model(words, *fit_weights(x, positive, prior))
