@@ -45,14 +45,12 @@ def mixture_thresholds(levels: DataFrame, value: str = "int_mean", group: str |
     rows = levels.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"))
     if not group:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
-    ends = rows.groupBy(F.col(keys[0]).alias("_k")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = rows.groupBy(F.col(keys[0]).alias("_k")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k")).where("k > 1").drop("k")
     step = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
     binned = rows.join(ends, F.col(keys[0]).eqNullSafe(F.col("_k"))).groupBy(*keys, F.floor((F.col("v") - F.col("lo")) / step).alias("b")).agg(F.count("*").alias("n"), F.avg("v").alias("v"))
 
     def fit(key, hist):
         hist = hist.sort_values("v")
-        if hist["n"].sum() < 2:
-            return pd.DataFrame({keys[0]: [], "threshold": []})
         return pd.DataFrame({keys[0]: [key[0]], "threshold": [sum(mixture_means(hist["n"].to_numpy(), hist["v"].to_numpy())) / 2]})
 
     out = binned.groupBy(*keys).applyInPandas(fit, f"{keys[0]} {dict(rows.dtypes)[keys[0]]}, threshold double")

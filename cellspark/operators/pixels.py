@@ -29,7 +29,7 @@ def quantile_normalize(pixels: DataFrame, low: float = 0.01, high: float = 0.998
     q = pixels.groupBy(F.col("image").alias("i")).agg(both(chosen).alias("own"), *([] if mask is None else [both(F.col("v")).alias("all")]))
     q = q.select("i", (F.col("own") if mask is None else F.coalesce("own", "all")).alias("q"))
     scaled = F.try_divide(F.col("v") - F.col("q")[0], F.col("q")[1] - F.col("q")[0]) * 255
-    return pixels.join(q, F.col("image").eqNullSafe(F.col("i"))).withColumn("scaled", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int")).drop("i", "q")
+    return pixels.join(q, F.col("image").eqNullSafe(F.col("i"))).withColumn("scaled", F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int"))).drop("i", "q")
 
 
 def minmax_normalize(pixels: DataFrame) -> DataFrame:
