@@ -5,8 +5,8 @@ keeps its least hash, and empty bins copy from a bin chosen by a universal hash
 number and the attempt (optimal densification). Groups of ``ROWS`` bins make ``BANDS`` bucket keys.
 Inside a bucket candidate edges form stars: every member is held against a few centres, those
 that share most buckets with other documents first, so that pairs stay linear in the members.
-Each edge is confirmed on the full sets. Members still unlinked to others of their bucket get the
-next centres, four times as many each round, until no bucket holds two components with an
+Each edge is confirmed on the full sets. Buckets that still hold several components get the
+next centres from outside the largest one, more of them each round, until no bucket holds two components with an
 untried pair: no pair of a common bucket is lost and no bucket is cut short.
 
 Documents of equal sets are one node, so exact copies make no pairs. A pair at the limit of 80 %
@@ -171,7 +171,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved:
             break
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+    out = store(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots), "labels")
+    drop(now)
+    return out
 
 
 def _links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -187,22 +189,22 @@ def _links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
 
     # The documents that share most buckets lead: a text that many were edited from is the natural centre.
     shared = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("shared"))
-    open_rows = store(members.join(shared, "node").select("bucket", "node", "n_shingles", "shared", F.col("node").alias("comp")), "open")
+    open_rows = store(members.join(shared, "node").select("bucket", "node", "n_shingles", "shared", F.col("node").alias("comp"), F.lit(None).cast("long").alias("main")), "open")
     drop(members)
-    edges: DataFrame | None = None
-    tried: DataFrame | None = None
     labels: DataFrame | None = None
+    tried: DataFrame | None = None
     width_of_star = 1
-    while True:
-        if not open_rows.take(1):
-            break
-        # A few centres for each bucket; row_number() <= k is cut down before the rows are dealt by bucket.
+    while open_rows.take(1):
+        # A few centres for each bucket, none of its largest component, whose members are linked already;
+        # row_number() <= k is cut down before the rows are dealt by bucket.
         order = Window.partitionBy("bucket").orderBy(F.desc("shared"), "node")
-        centres = open_rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= width_of_star).select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("comp_b"), F.col("k"))
-        centres = store(centres, "centres")
+        outside = open_rows.where("main is null or comp <> main")
+        centres = store(outside.withColumn("k", F.row_number().over(order)).where(F.col("k") <= width_of_star).select(F.col("node").alias("c")).distinct(), "centres")
+        # A centre meets the others of all its buckets, and is done.
+        stars = open_rows.join(centres, F.col("node") == F.col("c"), "left_semi").select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("comp_b"))
         near = (100 * F.least("n_shingles", "nb") >= percent * F.greatest("n_shingles", "nb")) & (F.col("comp") != F.col("comp_b"))
-        pairs = open_rows.join(centres.drop("k"), "bucket").where(near & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
-        # Of a pair that two buckets give in both directions one is held.
+        pairs = open_rows.join(stars, "bucket").where(near).select(F.col("node").alias("a"), "b")
+        # Of a pair that several buckets give, or both directions, one is held; the common end is the centre.
         pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
         if tried is not None:
             pairs = pairs.join(tried, (F.least("a", "b") == F.col("tl")) & (F.greatest("a", "b") == F.col("th")), "left_anti")
@@ -211,28 +213,38 @@ def _links(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             left = pairs.join(heads, F.col("a") == F.col("n")).drop("n").join(texts, (F.col("nid") == F.col("did")) & (F.col("nth") == F.col("dth"))).select("a", "b", F.col("text").alias("text_a"))
             full = left.join(heads, F.col("b") == F.col("n")).drop("n").join(texts, (F.col("nid") == F.col("did")) & (F.col("nth") == F.col("dth"))).select("a", "b", "text_a", F.col("text").alias("text_b"))
             judged = store(full.mapInArrow(_confirm(width, percent), "a long, b long, same boolean"), "judged")
-            seen = judged.select(F.least("a", "b").alias("tl"), F.greatest("a", "b").alias("th"))
+            seen = judged.where("not same").select(F.least("a", "b").alias("tl"), F.greatest("a", "b").alias("th"))
             tried = seen if tried is None else tried.unionByName(seen)
-            good = judged.where("same").select("a", "b")
-            edges = good if edges is None else edges.unionByName(good)
-            if good.take(1):
-                labels = store(components(edges), "labels")
+            labels = _relabel(labels, judged.where("same").select("a", "b"))
         drop(pairs)
-        # Centres have met all others of their bucket; buckets that came down to one component are done.
-        used = centres.select(F.col("bucket").alias("ub"), F.col("b").alias("un"))
-        rest = open_rows.join(used, (F.col("bucket") == F.col("ub")) & (F.col("node") == F.col("un")), "left_anti").drop("comp")
-        if labels is not None:
-            rest = rest.join(labels.select(F.col("node").alias("ln"), F.col("comp").alias("lc")), F.col("node") == F.col("ln"), "left").select("bucket", "node", "n_shingles", "shared", F.coalesce("lc", "node").alias("comp"))
-        else:
+        rest = open_rows.join(centres, F.col("node") == F.col("c"), "left_anti").drop("comp", "main")
+        if labels is None:
             rest = rest.withColumn("comp", F.col("node"))
-        alive = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("bucket").alias("ab"))
-        new = store(rest.join(alive, F.col("bucket") == F.col("ab"), "left_semi"), "open")
+        else:
+            rest = rest.join(labels.select(F.col("node").alias("ln"), F.col("comp").alias("lc")), F.col("node") == F.col("ln"), "left").select("bucket", "node", "n_shingles", "shared", F.coalesce("lc", "node").alias("comp"))
+        # Buckets that came down to one component are done.
+        parts = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("ab")).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        new = store(rest.join(parts, F.col("bucket") == F.col("ab")).drop("ab"), "open")
         drop(open_rows)
         open_rows = new
-        width_of_star *= 4
+        width_of_star = 16 if width_of_star == 1 else 4 * width_of_star
     return labels
 
 
+def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """Components after new edges: the edges join components, and those joins are resolved among themselves."""
+    if not edges.take(1):
+        return labels
+    if labels is None:
+        return components(edges)
+    at = lambda side: labels.select(F.col("node").alias(f"n{side}"), F.col("comp").alias(f"c{side}"))
+    lifted = edges.join(at("a"), F.col("a") == F.col("na"), "left").join(at("b"), F.col("b") == F.col("nb"), "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(lifted).select(F.col("node").alias("from"), F.col("comp").alias("to"))
+    old = labels.join(moved, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = moved.join(labels, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("comp"))
+    return store(old.unionByName(fresh), "labels")
+
+
 def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each document, and ``th``, a hash of its text."""
     base = docs.select(id_key().alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))

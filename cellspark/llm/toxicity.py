@@ -31,18 +31,22 @@ FOLDS = 5
 MAX_FIT = 20_000
 MAX_WORDS = 512
 MAX_CANDIDATES = 50_000
-#: A feature stands in at least so many positives, and its share there is at least so many times that elsewhere.
-MIN_POSITIVES, MIN_LIFT = 3, 4.0
+#: A feature stands in at least so many positives and such a share of them, and the share is at least so many times that elsewhere.
+MIN_POSITIVES, MIN_SHARE, MIN_LIFT = 3, 0.01, 4.0
+#: Lengths of the beginnings of words that are features too: inflected forms share them.
+PREFIXES = (4, 5)
 #: The logistic loss is weighted so that a document without any feature scores below one half.
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 600, 0.05, 1e-4
 
 _EDGE = "0-9\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E"
 _SPLIT = re.compile(rf"[\s{_EDGE}]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    """Lower-case runs without white space, digits and ASCII punctuation."""
-    return set(_SPLIT.split((text or "").lower())) - {""}
+    """Lower-case runs without white space, digits and ASCII punctuation, and their beginnings, marked by ``^``."""
+    words = set(_SPLIT.split((text or "").lower()))
+    words.discard("")
+    return words.union(*(["^" + w[:k] for w in words if len(w) > k] for k in PREFIXES))
 
 
 def _held_out(name: str = "doc_id"):
@@ -109,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     ids = sample(marks.where("toxic = 1"), max_fit // 4, n_toxic).select(F.col("doc_id").alias("m")).limit(max_fit // 4)
     positives = learnt.join(F.broadcast(ids), F.col("doc_id") == F.col("m")).select("doc_id", "text")
     n_p = positives.count()
-    found = positives.mapInArrow(_count_words(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= MIN_POSITIVES)
+    found = positives.mapInArrow(_count_words(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= max(MIN_POSITIVES, MIN_SHARE * n_p))
     in_p = {r["word"]: r["in_p"] for r in found.orderBy(F.desc("in_p"), "word").limit(MAX_CANDIDATES).collect()}
     if not in_p:
         return flat
