@@ -5,7 +5,8 @@ corpus. Anchors make the suffix array sparse: in every window of ``length`` byte
 string of least hash is its anchor, so equal windows have equal anchors at equal places, at about
 one in a hundred bytes. Prefix polynomial hashes give the hash of any string in two lookups.
 
-1. Anchors whose gram or forward window occurs once drop out (one grouped count).
+1. Anchors whose gram occurs once drop out (one grouped count), and with them the windows that they
+   anchor; the forward windows of the others are counted.
 2. Stretches between repeated forward windows are covered as they are; what is left are anchors at
    the ends of repeats. For their grams, contexts (the bytes that the anchor's windows reach) are
    gathered and equal contexts counted.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import read_table, store
+from .common import drop, read_table, store
 
 LENGTH, GRAM = 400, 200
 #: Distinct contexts of one gram that are sorted in one task at most.
@@ -105,8 +106,12 @@ def anchors(a: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _scan(length: int, gram: int):
-    """mapInArrow function: one row for each document of at least one window, with its anchors."""
-    fields = ["dk", "pos", "lo", "hi", "kh", "fpos", "f1", "f2"]
+    """mapInArrow function: one row for each document of at least one window, with its anchors.
+
+    The first and the last window of a text are listed too (``lo`` and ``hi`` -1), under the gram of their anchor.
+    ``f1, f2`` are hashes of the window that starts at ``pos``; ``f2`` is -1 if there is none.
+    """
+    fields = ["dk", "pos", "lo", "hi", "kh", "f1", "f2"]
 
     def run(batches):
         for batch in batches:
@@ -121,13 +126,18 @@ def _scan(length: int, gram: int):
                     prefix = prefix_hashes(a)
                     pos, lo, hi = anchors(a, prefix, length, gram)
                     kh = _mix(substring_hashes(prefix, pos, gram)).view(np.int64)
-                    # Forward windows of the anchors, and the first and the last window of the text.
-                    fpos = np.unique(np.concatenate([pos[pos + length <= len(a)], [0, len(a) - length]]))
-                    f1 = _mix(substring_hashes(prefix, fpos, length)).view(np.int64)
+                    last = len(a) - length
+                    ends = np.setdiff1d([0, last], pos)
+                    kh = np.concatenate([kh, np.where(ends == 0, kh[0], kh[-1])])
+                    whole = np.concatenate([(pos <= last) & (np.diff(pos, prepend=-1) > 0), np.ones(len(ends), bool)])  # an anchor can stand at two segments' border
+                    none = np.full(len(ends), -1)
+                    pos, lo, hi = np.concatenate([pos, ends]), np.concatenate([lo, none]), np.concatenate([hi, none])
+                    f1, f2 = np.zeros(len(pos), np.int64), np.full(len(pos), -1, np.int32)
+                    f1[whole] = _mix(substring_hashes(prefix, pos[whole], length)).view(np.int64)
                     view = memoryview(raw)
-                    f2 = np.array([xxhash.xxh3_64_intdigest(view[p : p + length]) & 0x7FFFFFFF for p in fpos.tolist()], np.int32)
-                    rows.append((dk, pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), kh, fpos.astype(np.int32), f1, f2))
-                types = [pa.int64(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
+                    f2[whole] = [xxhash.xxh3_64_intdigest(view[p : p + length]) & 0x7FFFFFFF for p in pos[whole].tolist()]
+                    rows.append((dk, pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), kh, f1, f2))
+                types = [pa.int64(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], fields)
 
     return run
@@ -325,17 +335,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``dk, starts, ends``: the byte intervals that go, for each document that loses any."""
     texts = _keyed(docs.select("doc_id", "text")).select("dk", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    found = store(texts.mapInArrow(_scan(length, gram), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, fpos array<int>, f1 array<long>, f2 array<int>"), "anchors")
-    grams = found.select("dk", F.explode(F.arrays_zip("pos", "lo", "hi", "kh")).alias("x")).select(F.col("x.kh").alias("h"), F.lit(-1).alias("v"), "dk", "x.pos", "x.lo", "x.hi")
-    forward = found.select("dk", F.explode(F.arrays_zip("fpos", "f1", "f2")).alias("x")).select(F.col("x.f1").alias("h"), F.col("x.f2").alias("v"), "dk", F.col("x.fpos").alias("pos"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
-    marks = grams.unionByName(forward)
-    twice = marks.groupBy(F.col("h").alias("th"), F.col("v").alias("tv")).agg(F.count("*").alias("n")).where("n > 1")
-    repeated = store(marks.join(twice, (F.col("h") == F.col("th")) & (F.col("v") == F.col("tv")), "left_semi").select("h", "dk", "pos", "lo", "hi"), "repeats")
+    found = store(texts.mapInArrow(_scan(length, gram), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, f1 array<long>, f2 array<int>"), "anchors")
+    marks = found.select("dk", F.explode(F.arrays_zip("pos", "lo", "hi", "kh", "f1", "f2")).alias("x")).select(F.col("x.kh").alias("h"), "dk", "x.pos", "x.lo", "x.hi", "x.f1", "x.f2")
+    twice = marks.where("hi >= 0").groupBy(F.col("h").alias("th")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = store(marks.join(twice, F.col("h") == F.col("th"), "left_semi"), "shared-grams")
+    drop(found)
+    forward = shared.where("f2 >= 0")
+    again = forward.groupBy(F.col("f1").alias("g1"), F.col("f2").alias("g2")).agg(F.count("*").alias("n")).where("n > 1")
+    windows = forward.join(again, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi").select("h", "dk", "pos", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    grams = shared.where("hi >= 0").select("h", "dk", "pos", "lo", "hi")
+    repeated = grams.unionByName(windows)
 
     by_doc = repeated.groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("marks"))
     covered = store(by_doc.mapInArrow(_open_ends(length), "dk long, starts array<int>, ends array<int>, grams array<long>"), "covered")
     wanted = covered.select(F.explode("grams").alias("wh")).distinct()
-    partners = repeated.where("hi >= 0").join(wanted, F.col("h") == F.col("wh"), "left_semi").groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
+    partners = grams.join(wanted, F.col("h") == F.col("wh"), "left_semi").groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
     # Repeated rows have one key, one list of marks for all of them and so one context for each.
     once = partners.withColumn("wanted", F.array_distinct("wanted"))
     cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted")
@@ -364,7 +378,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             rows = [merge([p["s"] for p in parts], [p["e"] for p in parts]) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["dk", "starts", "ends"])
 
-    return store(parts.mapInArrow(union, "dk long, starts array<int>, ends array<int>"), "spans")
+    out = store(parts.mapInArrow(union, "dk long, starts array<int>, ends array<int>"), "spans")
+    for table in (shared, covered, contexts, distinct):
+        drop(table)
+    return out
 
 
 def _with_rest(docs: DataFrame, **sizes: int) -> DataFrame:
