@@ -84,3 +84,19 @@ def test_signature_estimates_similarity():
     pool = rng.integers(0, 2**64, 1200, dtype=np.uint64)
     share = (minhash.signature(np.unique(pool[:1000])) == minhash.signature(np.unique(pool[200:]))).mean()
     assert abs(share - 800 / 1200) < 0.1
+
+
+def test_sketches_exclude_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 2, 9, 100, 900, 5000):
+        for share in (0.3, 0.7, 0.8, 0.9, 1.0):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            k = int(np.ceil(n * 2 * share / (1 + share)))
+            b = np.concatenate([a[:k], rng.integers(0, 2**63, n - k).astype(np.uint64)])
+            common = len(np.intersect1d(a, b))
+            rows.append((len(a), minhash.odd_sketch(a).tolist(), len(b), minhash.odd_sketch(b).tolist(), 100 * common >= 80 * (len(a) + len(b) - common)))
+    pairs = spark.createDataFrame(rows, "n long, s array<long>, m long, t array<long>, link boolean")
+    found = pairs.withColumn("may", minhash.may_link("n", "s", "m", "t", 80)).collect()
+    assert all(r["may"] for r in found if r["link"]) and any(r["link"] for r in found)
+    assert not any(r["may"] for r in found if r["n"] == 100 and len(np.intersect1d(r["s"], r["t"])) == 0)
