@@ -300,7 +300,7 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each document, and ``th``, a hash of its text."""
+    """``doc_id, n_shingles, component_id, kept`` for each document, with ``th``, a hash of its text, and ``cls``, its class (null without shingles)."""
     base = docs.select(id_key().alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sets = store(base.select("did", "th", "text").mapInArrow(_sets(width), "did long, th long, n_shingles long, low long, keys array<long>, sketch array<long>"), "sets")
     # One node for each distinct set, named by the set's hash; its text is that of its least document.
@@ -312,18 +312,24 @@ def classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Da
     if labels is not None:
         known = rep.join(labels.withColumnRenamed("node", "ln"), F.col("node") == F.col("ln"), "left").select("node", "rid", F.coalesce("comp", "node").alias("comp"))
     least = known.groupBy("comp").agg(F.min("rid").alias("component")).withColumnRenamed("comp", "lc")
-    known = known.join(least, F.col("comp") == F.col("lc")).select("node", "component")
+    known = known.join(least, F.col("comp") == F.col("lc")).select("node", "component", F.col("comp").alias("cls"))
     out = sets.select("did", "th", "n_shingles", "low").join(known, F.col("low") == F.col("node"), "left").withColumn("component", F.coalesce("component", "did"))
-    return out.select(id_back("did").alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"), "th")
+    return out.select(id_back("did").alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"), "th", "cls")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, that stand for their class; of rows with the same id and text one."""
-    verdicts = classes(docs, width).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kd"), "th").dropDuplicates(["kd"]).select("kd", F.col("th").alias("kt"))
-    rows = docs.withColumns({"__did": id_key(), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """The rows of docs, all columns, that stand for their class: of each class the least row by id and text's hash.
+
+    Classes are told apart by themselves, not by the id of their least row: several may share one, or have none.
+    Rows without shingles all stay; of rows with the same id and text one does.
+    """
+    leads = classes(docs, width).where("kept").select(id_key().alias("kd"), F.col("th").alias("kt"), "cls")
+    linked = leads.where("cls is not null").groupBy("cls").agg(F.min(F.struct("kd", "kt")).alias("k")).select("k.kd", "k.kt")
+    verdicts = linked.unionByName(leads.where("cls is null").select("kd", "kt"))
+    rows = docs.withColumns({"__did": id_key(), "__th": F.xxhash64(F.coalesce("text", F.lit(""))), "__no": F.col("text").isNull()})
     kept = rows.join(verdicts, (F.col("__did") == F.col("kd")) & (F.col("__th") == F.col("kt")), "left_semi")
-    return kept.dropDuplicates(["__did", "__th"]).select(*docs.columns)
+    return kept.dropDuplicates(["__did", "__th", "__no"]).select(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read_table(spark, sf_dir, "documents")).drop("th")
+    return classes(read_table(spark, sf_dir, "documents")).drop("th", "cls")

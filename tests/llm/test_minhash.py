@@ -71,6 +71,13 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
 
 
+def test_keep_one_of_each_class_whatever_its_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (2, a), (None, b), (3, b + " more"), (None, c), (9, d), (9, a + " " + b), (9, d), (None, None), (None, ""), (None, " "), (None, " ")]
+    kept = sorted((tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (None, c), (9, d), (9, a + " " + b), (None, None), (None, ""), (None, " ")], key=str)
+
+
 def test_empty_table(spark):
     assert minhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
