@@ -37,7 +37,7 @@ _CLASSES = (_LOWER, _UPPER, b"0123456789", b"#*$%&<>=~^@_+{}[]\\/", b"|", b"!?",
 
 
 def features(text: str | None) -> list[float]:
-    """Shares of character classes, of repeated words and lines, word lengths and size."""
+    """Shares of character classes, of repeated words and lines, word lengths and size, and how far the whole text compresses."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = len(raw) + 1
     words = raw.split()
@@ -46,7 +46,7 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x]
     distinct = len(set(words))
     pairs = len(set(zip(words, words[1:], strict=False)))
-    squeezed = len(zlib.compress(raw[:4096], 1)) / (min(len(raw), 4096) + 20)
+    squeezed = len(zlib.compress(raw, 1)) / (len(raw) + 20)
     tails = sum(w[-1] in b"#*$%&!|" for w in words) / k
     return [*shares, 1 - distinct / k, 1 - (pairs + 1) / k, 1 - len(set(lines)) / (len(lines) + 1), len(raw) / k / 10, np.log1p(k) / 5, squeezed, tails, float(k < 10)]
 

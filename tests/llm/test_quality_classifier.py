@@ -35,6 +35,15 @@ def test_verdicts(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.kept and r.doc_id is not None)
 
 
+def test_every_byte_of_a_long_text_counts():
+    rng = random.Random(3)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(4096))
+    noise = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    squeezed = lambda text: q.features(text)[-3]
+    assert squeezed(head + "same again " * 2000) < squeezed(head) / 3 < squeezed(head + noise)
+    assert squeezed("same again " * 400 + noise) > 3 * squeezed("same again " * 400)
+
+
 def test_sparse_sites_stay_near_the_global_rate(spark):
     rows = [("a", "x", 3.0)] * 50 + [("b", "x", -3.0)] * 50 + [("c", "x", -3.0), ("c", None, 3.0)]
     sites = {(r.h, r.l): r.p_path for r in q.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
