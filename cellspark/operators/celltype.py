@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frame, spatial
@@ -38,25 +38,95 @@ def mixture_means(n: np.ndarray, v: np.ndarray, steps: int = 500, tol: float = 1
 def mixture_thresholds(levels: DataFrame, value: str = "int_mean", group: str | None = "image", bins: int = 4096) -> DataFrame:
     """``[group,] threshold``: the middle of the two component means; groups of fewer than two values have none.
 
-    Values are counted in ``bins`` steps of their group's range first (exact where it has at most that many
-    values), so a task fits a bounded histogram whatever the group's size.
+    Fits are on exact values with their counts. A group of at most ``bins`` distinct values is fitted in one task;
+    for all larger ones together each round of the fit is one grouped aggregation over their counts.
     """
     keys = [group] if group else []
     rows = levels.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"))
     if not group:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
-    ends = rows.groupBy(F.col(keys[0]).alias("_k")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k")).where("k > 1").drop("k")
-    step = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
-    binned = rows.join(ends, F.col(keys[0]).eqNullSafe(F.col("_k"))).groupBy(*keys, F.floor((F.col("v") - F.col("lo")) / step).alias("b")).agg(F.count("*").alias("n"), F.avg("v").alias("v"))
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n")).persist()
+    sizes = counts.groupBy(F.col(keys[0]).alias("_k")).agg(F.count("*").alias("d"), F.sum("n").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("k > 1")
+    kind = dict(rows.dtypes)[keys[0]]
 
     def fit(key, hist):
         hist = hist.sort_values("v")
         return pd.DataFrame({keys[0]: [key[0]], "threshold": [sum(mixture_means(hist["n"].to_numpy(), hist["v"].to_numpy())) / 2]})
 
-    out = binned.groupBy(*keys).applyInPandas(fit, f"{keys[0]} {dict(rows.dtypes)[keys[0]]}, threshold double")
+    small = counts.join(sizes.where(F.col("d") <= bins).select("_k"), F.col(keys[0]).eqNullSafe(F.col("_k"))).drop("_k")
+    out = small.groupBy(*keys).applyInPandas(fit, f"{keys[0]} {kind}, threshold double")
+    large = {r["_k"]: (r["k"], r["lo"], r["hi"]) for r in sizes.where(F.col("d") > bins).collect()}
+    if large:
+        means = _means_by_rounds(counts.withColumnRenamed(keys[0], "g"), large, kind, bins)
+        out = out.unionByName(levels.sparkSession.createDataFrame([(g, sum(m) / 2) for g, m in means.items()], f"{keys[0]} {kind}, threshold double"))
     return out if group else out.drop("_all")
 
 
+def _means_by_rounds(counts: DataFrame, groups: dict, kind: str, bins: int, steps: int = 500, tol: float = 1e-6) -> dict:
+    """What :func:`mixture_means` gives for each group of ``g, v, n``; groups: key -> number of rows, least and greatest value."""
+    spark = counts.sparkSession
+
+    def with_state(state: dict, schema: str) -> DataFrame:
+        rows = spark.createDataFrame([(g, *map(float, x)) for g, x in state.items()], f"_k {kind}, {schema}")
+        return counts.join(F.broadcast(rows), F.col("g").eqNullSafe(F.col("_k")))  # one row for each group left
+
+    # The value at which the counts pass the half, by narrowing the range that holds it.
+    middle, ranges = {}, {g: (lo, hi, k / 2) for g, (k, lo, hi) in groups.items()}
+    while ranges:
+        held = with_state(ranges, "lo double, hi double, rest double").where("v between lo and hi")
+        place = F.when(F.col("v") == F.col("hi"), bins).otherwise(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))
+        found: dict = {}
+        for r in held.groupBy("g", place.cast("long").alias("b")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").toLocalIterator():
+            found.setdefault(r["g"], []).append((r["n"], r["lo"], r["hi"]))
+        narrower = {}
+        for g, parts in found.items():
+            rest = ranges[g][2]
+            for n, lo, hi in parts:
+                if n > rest:
+                    break
+                rest -= n
+            if lo == hi:
+                middle[g] = lo
+            else:
+                narrower[g] = (lo, hi, rest)
+        ranges = narrower
+
+    def moved(r, side: str, c: float) -> tuple[float, float, float]:
+        """Weight, mean and variance from sums about c."""
+        w, s, q = r[f"w{side}"], r[f"s{side}"], r[f"q{side}"]
+        total = w + 1e-10
+        mean = (s + c * w) / total
+        return total, mean, max((q - 2 * (mean - c) * s + (mean - c) ** 2 * w) / total, 1e-6)
+
+    def sums(df: DataFrame, share: Column, top: Column) -> list:
+        df = df.withColumns({"r": share, "top": top})
+        part = lambda side, w: [F.sum(w).alias(f"w{side}"), F.sum(w * (F.col("v") - F.col(f"c{side}"))).alias(f"s{side}"), F.sum(w * (F.col("v") - F.col(f"c{side}")) ** 2).alias(f"q{side}")]
+        return df.groupBy("g").agg(*part(0, F.col("n") * F.col("r")), *part(1, F.col("n") * (1 - F.col("r"))), F.sum(F.col("n") * F.col("top")).alias("top")).collect()
+
+    # If no value lies below the middle one, the least value alone is the lower half.
+    start = with_state({g: (m, m, m, groups[g][1]) for g, m in middle.items()}, "m double, c0 double, c1 double, lo double")
+    lower = (F.col("v") < F.col("m")) | ((F.col("m") == F.col("lo")) & (F.col("v") == F.col("lo")))
+    now = {r["g"]: (moved(r, "0", middle[r["g"]]), moved(r, "1", middle[r["g"]])) for r in sums(start, F.when(lower, 0.9).otherwise(0.1), F.lit(0.0))}
+    means, last = {}, dict.fromkeys(now, -np.inf)
+    for _ in range(steps - 1):
+        state = {g: (a[1], b[1], np.log(a[0] / groups[g][0]) - 0.5 * np.log(2 * np.pi * a[2]), np.log(b[0] / groups[g][0]) - 0.5 * np.log(2 * np.pi * b[2]), a[2], b[2]) for g, (a, b) in now.items()}
+        df = with_state(state, "c0 double, c1 double, l0 double, l1 double, v0 double, v1 double")
+        p0, p1 = (F.col(f"l{i}") - 0.5 * (F.col("v") - F.col(f"c{i}")) ** 2 / F.col(f"v{i}") for i in "01")
+        df = df.withColumns({"p0": p0, "p1": p1})
+        top = F.greatest("p0", "p1") + F.log1p(F.exp(-F.abs(F.col("p0") - F.col("p1"))))
+        new = {}
+        for r in sums(df, F.exp(F.col("p0") - top), top):
+            g, level = r["g"], r["top"] / groups[r["g"]][0]
+            if abs(level - last[g]) < tol:
+                means[g] = (now[g][0][1], now[g][1][1])
+            else:
+                last[g], new[g] = level, (moved(r, "0", now[g][0][1]), moved(r, "1", now[g][1][1]))
+        now = new
+        if not now:
+            break
+    return means | {g: (a[1], b[1]) for g, (a, b) in now.items()}
+
+
 def positive_cells(levels: DataFrame, value: str = "int_mean", group: str | None = "image") -> DataFrame:
     """Rows over their group's threshold."""
     cuts = mixture_thresholds(levels, value, group)

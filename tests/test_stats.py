@@ -57,6 +57,20 @@ def test_mixture(spark):
     assert celltype.mixture_thresholds(spark.createDataFrame(rows, "image string, int_mean double"), group=None).count() == 1
 
 
+def test_mixture_takes_exact_values(spark):
+    rng = np.random.default_rng(4)
+    ties = np.round(np.concatenate([rng.normal(0, 1, 150), rng.normal(20, 2, 100)]), 1)
+    pairs = [*np.linspace(1, 2, 50), *np.linspace(9, 10, 50)]
+    # In steps of the range, the first group's thresholds differ by a half; the others take more than 16 values.
+    for bins, groups in ((4096, {"outliers": [*pairs, 100.0, 1e4, 1e6], "ties": ties}), (16, {"outlier": [*pairs, 1e6], "ties": ties, None: [0.0] * 90 + list(range(50, 70)), "few": [1.0, 1.0, 5.0]})):
+        df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "image string, int_mean double")
+        got = {r.image: r.threshold for r in celltype.mixture_thresholds(df, bins=bins).collect()}
+        for g, values in groups.items():
+            v, n = np.unique(values, return_counts=True)
+            assert got.pop(g) == pytest.approx(sum(celltype.mixture_means(n, v)) / 2, rel=1e-6)
+        assert not got
+
+
 def test_cd3_decides(spark):
     ids = spark.createDataFrame([("x",), ("y",), ("z",)], "nuc_id string")
     a, c = ids.where("nuc_id in ('x', 'y')"), ids.where("nuc_id = 'y'")
