@@ -558,14 +558,14 @@ def top_correlations(d: Views) -> DataFrame:
 
 @query()
 def correlation_screen(d: Views) -> DataFrame:
-    return stats.correlation_screen(d.feat.select("feature", "value", F.col("label").cast("double").alias("target")), 2000)
+    return stats.correlation_screen(d.feat.select("feature", "value", F.col("label").cast("double").alias("target")))
 
 
 @query()
 def metadata_correlation(d: Views) -> DataFrame:
     meta = d.table("orders").join(d.table("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("image")).agg(F.avg("o_totalprice").alias("mean_price"), F.count("*").cast("double").alias("n_orders"))
     cells = d.table("customer").select(F.col("c_nationkey").alias("image"), "c_acctbal", F.length("c_name").cast("double").alias("name_length"))
-    return analysis.correlate_metadata(cells, ["c_acctbal"], meta, 2000)["correlation_results"]
+    return analysis.correlate_metadata(cells, ["c_acctbal", "name_length"], meta)["correlation_results"]
 
 
 @query("WITH g AS (SELECT feature, avg(value) FILTER (WHERE label = 1) AS mean1, avg(value) FILTER (WHERE label = 2) AS mean2, var_samp(value) FILTER (WHERE label = 1) AS v1, var_samp(value) FILTER (WHERE label = 2) AS v2, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 2) AS n2 FROM feat WHERE label IN (1, 2) GROUP BY ALL) SELECT feature, round(mean1, 6) + 0.0e0 AS mean1, round(mean2, 6) + 0.0e0 AS mean2, round(sqrt(v1), 6) AS std1, round(sqrt(v2), 6) AS std2, n1, n2, round((mean1 - mean2) / sqrt(v1 / n1 + v2 / n2), 4) + 0.0e0 AS statistic, round((mean1 - mean2) / sqrt((v1 + v2) / 2), 5) + 0.0e0 AS cohens_d FROM g", "feat")
@@ -654,31 +654,35 @@ def auc_trapezoid(d: Views) -> DataFrame:
     return rounded(ml.auc(ml.roc_points(d.scored, "truth", "score")))
 
 
+#: All components of an embedding.
+_COMPONENTS = [f"f{k}" for k in range(64)]
+
+
 def _wide(d: Views) -> DataFrame:
-    return d.table("embeddings").select(F.col("vec_id").alias("nuc_id"), F.concat(F.lit("c"), F.col("label") % 2).alias("kind"), *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8)))
+    return d.table("embeddings").select(F.col("vec_id").alias("nuc_id"), F.concat(F.lit("c"), F.col("label") % 2).alias("kind"), *(F.col("embedding")[k].cast("double").alias(f) for k, f in enumerate(_COMPONENTS)))
 
 
 @query()
 def cross_validation(d: Views) -> DataFrame:
-    return ml.cross_validate(_wide(d), [f"f{k}" for k in range(8)], "kind", "nuc_id", folds=3, trees=10)["folds"]
+    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id")["folds"]
 
 
 @query()
 def feature_importance(d: Views) -> DataFrame:
-    return ml.cross_validate(_wide(d), [f"f{k}" for k in range(8)], "kind", "nuc_id", folds=2, trees=10)["importance"]
+    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id")["importance"]
 
 
 @query()
 def dz_probability(d: Views) -> DataFrame:
     cells = celltype.tcell_influence(d.cells, 5.0, 10.0, 1.0).withColumn("nuc_id", F.col("id"))
     train, test = ml.split_for_probability(cells)
-    out = ml.fit_predict(train, test, ["y", "x"], "cell_type", spatial.DZ, "nuc_id", trees=10)
+    out = ml.fit_predict(train, test, ["y", "x"], "cell_type", spatial.DZ, "nuc_id")
     return frame.group_mean_std_count(out, ["cell_type", "influence"], "probability")
 
 
 @query()
 def embedding_clusters(d: Views) -> DataFrame:
-    e = ml.embedding(_wide(d), [f"f{k}" for k in range(8)])
+    e = ml.embedding(_wide(d), _COMPONENTS)
     return ml.clusters(e, ["e0", "e1"]).select("nuc_id", "kind", "e0", "e1", "cluster")
 
 

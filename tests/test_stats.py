@@ -1,7 +1,10 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from cellspark.functions import special
 from cellspark.operators import celltype, frame, ml, stats
+from cellspark.plans import analysis, queries
 from pyspark.sql import functions as F
 
 
@@ -100,3 +103,27 @@ def test_forest_separates(spark):
     df = spark.createDataFrame(rows, "nuc_id long, kind string, a double, b double")
     cv = ml.cross_validate(df, ["a", "b"], "kind", "nuc_id", folds=3, trees=10)
     assert cv["summary"].first()["mean"] > 0.9 and cv["importance"].first().feature == "a" and cv["predictions"].count() == 120
+
+
+def test_queries_leave_nothing_out(spark, monkeypatch):
+    seen = {}
+    note = lambda name, out: lambda df, *args, **own: seen.setdefault(name, []).append((*args, own)) or out(df)
+    monkeypatch.setattr(ml, "cross_validate", note("forest", lambda df: {"folds": df, "importance": df}))
+    monkeypatch.setattr(ml, "embedding", note("embedding", lambda df: df.withColumns({"e0": F.lit(0.0), "e1": F.lit(0.0), "cluster": F.lit(0)})))
+    monkeypatch.setattr(ml, "clusters", lambda df, columns: df)
+    monkeypatch.setattr(ml, "fit_predict", note("probability", lambda df: df.withColumn("probability", F.lit(0.0))))
+    monkeypatch.setattr(stats, "correlation_screen", note("screen", lambda df: df))
+    monkeypatch.setattr(analysis, "correlate_metadata", note("metadata", lambda df: {"correlation_results": df}))
+    tables = {
+        "embeddings": spark.createDataFrame([(1, 0, [float(k) for k in range(64)])], "vec_id long, label int, embedding array<float>"),
+        "orders": spark.createDataFrame([(1, 2.0)], "o_custkey long, o_totalprice double"),
+        "customer": spark.createDataFrame([(1, 3, 4.0, "name")], "c_custkey long, c_nationkey int, c_acctbal double, c_name string"),
+    }
+    cells = spark.createDataFrame([("i", 1, "T-cells", 0.0, 0.0)], "image string, id long, cell_type string, y double, x double")
+    d = SimpleNamespace(table=tables.__getitem__, feat=spark.createDataFrame([("f", 1.0, 0)], "feature string, value double, label int"), cells=cells)
+    for name in ("cross_validation", "feature_importance", "embedding_clusters", "dz_probability", "correlation_screen", "metadata_correlation"):
+        getattr(queries, name)(d)
+    every = [f"f{k}" for k in range(64)]
+    assert seen["forest"] == [(every, "kind", "nuc_id", {})] * 2 and seen["embedding"] == [(every, {})]
+    assert seen["probability"][0][-1] == {} and seen["screen"] == [({},)]
+    assert seen["metadata"][0][0] == ["c_acctbal", "name_length"] and len(seen["metadata"][0]) == 3 and seen["metadata"][0][-1] == {}
