@@ -92,7 +92,10 @@ TOOLS: Schemas = {
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads a chat as tool use: assistant turns call, the turn after each answers, and each call builds on the one two turns before."""
+    """Reads a chat as tool use: assistant turns call, the turn after each answers, and each call builds on the one two turns before.
+
+    A cut that the query's SQL fixes: the query or key argument is the turn's first 40 characters, the rest of it is not read.
+    """
     n, text = F.length("text"), F.col("text")
     tool = F.element_at(F.array(*map(F.lit, ("search", "lookup", "compute"))), (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int"))
     head = F.to_json(F.struct(F.substring(text, 1, 40).alias("v")))
