@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import read_table
+from .common import read_table, store
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Segments held per Python worker before the memo is emptied.
@@ -134,8 +134,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 32
         F.expr("substring(text, int(from - start + 1), int(coalesce(to, start + length(text)) - from))").alias("text"),
     )
     encoded = pieces.mapInArrow(_encode_column(ranks_path, pattern, ["doc_id", "key", "idx", "torn"]), "doc_id long, key long, idx int, torn boolean, ids binary")
-    joined = encoded.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("parts"), F.max("torn").alias("torn"))
-    joined = joined.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "torn", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids"))
+    joined = encoded.groupBy("doc_id", "key").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY idx)").alias("ids"), F.max("torn").alias("torn"))
+    joined = store(joined.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "torn", F.when(~F.col("torn"), F.col("ids")).alias("ids")), "long-texts-ids")
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))
     whole = keyed.join(joined.where("torn").select("d", "k"), same, "left_semi").select("doc_id", "text").mapInArrow(_encode_column(ranks_path, pattern, ["doc_id"]), "doc_id long, ids binary")
     return short.unionByName(rows.join(joined.where("not torn"), same).select("doc_id", "ids")).unionByName(whole)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,28 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, of which both hold several copies at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes beside rows, as whole texts differ in size by four orders; a smaller bound of the session's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cellspark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -17,13 +17,14 @@ are all reported; repeated rows each give a row; a null ``doc_id`` is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import read_table
+from .common import read_table, store
 
 Q = 8
 EDIT_RATE = 0.08
@@ -31,6 +32,8 @@ BLOCK_BYTES = 4 << 20
 #: Width of the windows of the density test, and bytes of text handled at once.
 _WINDOW, _SLICE = 64, 1 << 19
 _BITS = 22
+#: A name beside those of any documents table.
+_FOUND = "__found_items"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,35 +183,36 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, byte
         yield [(r["item_id"], t) for r in part.collect() if (t := normalise(r["text"]))]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of docs and ``found_items``, the sorted ids of the items in each text."""
-    names = docs.columns
-
-    def scan(items):
-        def run(batches):
-            index = Index(items, rate)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    new = index.search([normalise(t) for t in part.column("text").to_pylist()])
-                    if "found_items" in part.schema.names:
-                        new = [sorted({*old, *n}) for old, n in zip(part.column("found_items").to_pylist(), new, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(new, pa.list_(pa.int64()))], [*names, "found_items"])
-
-        return run
-
-    schema = StructType([*docs.schema.fields, StructField("found_items", ArrayType(LongType()))])
+def _search(items: list[tuple[int, bytes]], rate: float) -> Column:
+    """The sorted ids of a block's items in the column ``text``. Only texts go to Python, and only ids come back."""
+
+    @F.arrow_udf("array<long>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(items, rate)
+        for texts in batches:
+            found = [ids for at in range(0, len(texts), 1000) for ids in index.search([normalise(t) for t in texts.slice(at, 1000).to_pylist()])]
+            yield pa.array(found, pa.list_(pa.int64()))
+
+    return search(F.col("text"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, block_bytes: int) -> DataFrame:
     out = docs
-    for items in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(scan(items), schema)
+    for i, items in enumerate(_blocks(benchmark, block_bytes)):
+        if i:  # a plan holds one block, whatever the size of the benchmark
+            out = store(out, "found-items")
+        out = out.withColumn(_FOUND, F.array_sort(F.array_union(_FOUND, _search(items, rate))) if i else _search(items, rate))
     return out
 
 
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of docs and ``found_items``, the sorted ids of the items in each text; it replaces a column of that name."""
+    return _found(docs, benchmark, rate, block_bytes).drop("found_items").withColumnRenamed(_FOUND, "found_items")
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose texts hold no benchmark passage."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"), "text")
-    return find_items(rows, benchmark).where(F.size("found_items") == 0).select("row.*")
+    return _found(docs, benchmark, EDIT_RATE, BLOCK_BYTES).where(F.size(_FOUND) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

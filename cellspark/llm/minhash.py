@@ -44,6 +44,8 @@ FIRST = 4
 PERCENT = 80
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MEMO = 300_000
+#: Names beside those of any documents table.
+_KEYS = ("__minhash_id", "__minhash_text", "__minhash_null")
 
 
 class _WordHash(dict):
@@ -55,21 +57,19 @@ class _WordHash(dict):
         return h
 
 
-_words = _WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX1
     h = (h ^ (h >> np.uint64(27))) * _MIX2
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, width: int = SHINGLE, memo: _WordHash | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
+    memo = _WordHash() if memo is None else memo
+    h = np.array([memo[w] for w in words], np.uint64)
     n = max(1, len(h) - width + 1)
     out = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for k in range(min(width, len(h))):
@@ -134,12 +134,13 @@ def _sets(width: int):
     """mapInArrow function: size, digest, bucket keys and odd sketch of each document's set."""
 
     def run(batches):
+        memo = _WordHash()  # of one task
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sizes, low, keys, sketches = [], [], [], []
                 for text in part.column("text"):
-                    h = shingles(text.as_py(), width)
+                    h = shingles(text.as_py(), width, memo)
                     sizes.append(len(h))
                     low.append(xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63)
                     keys.append(bucket_keys(signature(h)) if len(h) else np.zeros(0, np.int64))
@@ -156,14 +157,15 @@ def _confirm(width: int, percent: int):
     """mapInArrow function: keeps the edges whose full sets reach the limit."""
 
     def run(batches):
+        memo = _WordHash()
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 centre = b.as_py()
                 if centre != last[0]:
-                    last = (centre, shingles(centre, width))
-                x, y = shingles(a.as_py(), width), last[1]
+                    last = (centre, shingles(centre, width, memo))
+                x, y = shingles(a.as_py(), width, memo), last[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "same"])
@@ -323,12 +325,12 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     Classes are told apart by themselves, not by the id of their least row: several may share one, or have none.
     Rows without shingles all stay; of rows with the same id and text one does.
     """
-    leads = classes(docs, width).where("kept").select(id_key().alias("kd"), F.col("th").alias("kt"), "cls")
-    linked = leads.where("cls is not null").groupBy("cls").agg(F.min(F.struct("kd", "kt")).alias("k")).select("k.kd", "k.kt")
-    verdicts = linked.unionByName(leads.where("cls is null").select("kd", "kt"))
-    rows = docs.withColumns({"__did": id_key(), "__th": F.xxhash64(F.coalesce("text", F.lit(""))), "__no": F.col("text").isNull()})
-    kept = rows.join(verdicts, (F.col("__did") == F.col("kd")) & (F.col("__th") == F.col("kt")), "left_semi")
-    return kept.dropDuplicates(["__did", "__th", "__no"]).select(*docs.columns)
+    leads = classes(docs, width).where("kept").select(id_key().alias(_KEYS[0]), F.col("th").alias(_KEYS[1]), "cls")
+    linked = leads.where("cls is not null").groupBy("cls").agg(F.min(F.struct(*_KEYS[:2])).alias("k")).select("k.*")
+    verdicts = linked.unionByName(leads.where("cls is null").select(*_KEYS[:2]))
+    # An empty and a null text have one hash and are two rows.
+    rows = docs.withColumns({_KEYS[0]: id_key(), _KEYS[1]: F.xxhash64(F.coalesce("text", F.lit(""))), _KEYS[2]: F.col("text").isNull()})
+    return rows.join(verdicts, list(_KEYS[:2]), "left_semi").dropDuplicates(list(_KEYS)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

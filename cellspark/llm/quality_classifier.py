@@ -7,8 +7,7 @@ toward its host's and a host's toward the global rate, each with a strength esti
 spread between groups, so that sparse sites stay near the global prior. A document's posterior
 log odds are its evidence plus what its path's rate adds to the global prior.
 
-Bounds (documented parameters): ``MAX_FIT`` labelled rows are fitted; a site moves a document
-by ``MAX_SHIFT`` in log odds at most, so that a clean document of a poor site can stay.
+Bound (a documented parameter): ``MAX_FIT`` labelled rows are fitted, those of the least hashes.
 
 Defined results: null and empty texts are judged by the features of an empty text; null hosts
 and languages are groups of their own; without labels of both kinds every document is kept;
@@ -23,12 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read_table, store
 
 MAX_FIT = 20_000
-MAX_SHIFT = 1.0
 THRESHOLD = 0.5
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
@@ -71,37 +68,37 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model | None:
-    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
-    total = marks.count()
-    if total > max_fit:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_fit / total))
-    marks = marks.select(F.col("doc_id").alias("m"), "quality")
+    """The sample is that of the least hashes, so that a repeated run fits the same rows. Only the ids of its labels are broadcast, ``max_fit`` at most."""
+    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null and doc_id is not null")
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select(F.col("doc_id").alias("__label_of"), F.col("quality").cast("int").alias("__quality"))
 
     def run(batches):
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["u", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("m")).select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, x array<double>").limit(2 * max_fit).collect()
+    base = docs.select(F.col("doc_id").alias("__doc_id"), "text").join(F.broadcast(marks), F.col("__doc_id") == F.col("__label_of"))
+    own = base.select(F.xxhash64("__doc_id", "text").alias("u"), "text", F.col("__quality").alias("quality"))
+    rows = own.mapInArrow(run, "u long, quality int, x array<double>").orderBy("u").limit(max_fit).collect()
     y = np.array([float(r["quality"]) for r in rows])
     if len(set(y.tolist())) < 2:
         return None
     return Model(np.array([r["x"] for r in rows]), y)
 
 
-def _evidence(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs (with a text) and ``evidence``, the model's log odds."""
-    names = docs.columns
+def _evidence(model: Model | None) -> Column:
+    """The model's log odds of the column ``text``. Only texts go to Python, and only numbers come back."""
+    if model is None:
+        return F.lit(12.0)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column("text").to_pylist()
-                x = np.full(len(texts), 12.0) if model is None else model.logits(np.array([features(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(x, pa.float64())], [*names, "evidence"])
+    @F.arrow_udf("double")
+    def evidence(texts: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), 1000):
+            out.append(model.logits(np.array([features(t) for t in texts.slice(at, 1000).to_pylist()])))
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("evidence", DoubleType())]))
+    return evidence(F.col("text"))
 
 
 def _strength(frame: DataFrame, rate: str) -> Column:
@@ -123,34 +120,36 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).join(F.broadcast(inner))  # top and inner are one row each
     p_path = (F.col("good") + F.col("k_path") * F.col("p_host")) / (F.col("n") + F.col("k_path"))
     odds = lambda c: F.log(c / (1 - c))
-    shift = F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), odds(F.col("p_path")) - odds(F.col("p_all"))))
-    return joined.withColumn("p_path", F.least(F.greatest(p_path, F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn("p_all", F.least(F.greatest(F.col("p_all"), F.lit(1e-6)), F.lit(1 - 1e-6))).select(F.col("host").alias("h"), F.col("path").alias("l"), "p_path", shift.alias("shift"))
+    inside = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = joined.withColumns({"p_path": inside(p_path), "p_all": inside(F.col("p_all"))})
+    return out.select(F.col("host").alias("h"), F.col("path").alias("l"), "p_path", (odds(F.col("p_path")) - odds(F.col("p_all"))).alias("shift"))
 
 
 def _with_verdict(evidence: DataFrame, sites: DataFrame) -> DataFrame:
-    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("l"))
-    return evidence.join(sites, same).withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + F.col("shift"))))).withColumn("kept", F.col("score") >= THRESHOLD)
+    """Private columns ``__host, __path, __evidence`` in; ``__p_path, __score`` come along. A path of no site cannot occur."""
+    sites = sites.select(*(F.col(c).alias(f"__site_{c}") for c in ("h", "l")), F.col("p_path").alias("__p_path"), F.col("shift").alias("__shift"))
+    same = F.col("__host").eqNullSafe(F.col("__site_h")) & F.col("__path").eqNullSafe(F.col("__site_l"))
+    return evidence.join(sites, same).withColumn("__score", 1 / (1 + F.exp(-(F.col("__evidence") + F.col("__shift")))))
 
 
-def _sited(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"host": F.col("source").cast("string"), "path": F.col("lang").cast("string")})
+def _judged(docs: DataFrame, labels: DataFrame, *columns: Column) -> DataFrame:
+    """The columns with evidence and verdict beside them; each text goes to Python once."""
+    model = fit(docs, labels)
+    rows = store(docs.select(*columns, F.col("source").cast("string").alias("__host"), F.col("lang").cast("string").alias("__path"), _evidence(model).alias("__evidence")), "quality-evidence")
+    sites = site_posteriors(rows.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__evidence").alias("evidence")))
+    return _with_verdict(rows, sites)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, p_doc, p_path, score, kept`` for each document."""
-    base = _sited(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")).select("doc_id", "text", "host", "path")
-    evidence = store(_evidence(base, fit(docs, labels)).drop("text"), "quality-evidence")
-    out = _with_verdict(evidence, site_posteriors(evidence))
-    return out.select("doc_id", (1 / (1 + F.exp(-F.col("evidence")))).alias("p_doc"), "p_path", "score", "kept")
+    out = _judged(docs, labels, F.col("doc_id").cast("long").alias("doc_id"))
+    return out.select("doc_id", (1 / (1 + F.exp(-F.col("__evidence")))).alias("p_doc"), F.col("__p_path").alias("p_path"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that :func:`judge` keeps. Texts are read twice instead of being shuffled."""
-    columns = docs.columns
-    model = fit(docs, labels)
-    sites = store(site_posteriors(_evidence(_sited(docs.select("text", "source", "lang")).select("text", "host", "path"), model).drop("text")), "quality-sites")
-    rows = docs.select(F.struct(*columns).alias("row"), "text", F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"))
-    return _with_verdict(_evidence(rows, model), sites).where("kept").select("row.*")
+    """The rows of docs, all columns, that :func:`judge` keeps."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return _judged(docs, labels, *columns).where(F.col("__score") >= THRESHOLD).select(*columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,9 @@ one in a hundred bytes. Prefix polynomial hashes give the hash of any string in
    right share a window. Grams of more than ``HOT`` distinct contexts are counted window by
    window in Spark instead, so that no task gathers them.
 
+Grams and windows that hold a large share of the rows are told to all tasks as a bounded list instead of being
+joined, so that no task gathers them.
+
 Defined results: null texts are empty; shorter texts lose nothing; repeated rows are repeats of
 each other; a null ``doc_id`` is kept. Rows are told apart by a 64-bit hash of id and text.
 """
@@ -23,20 +26,25 @@ each other; a null ``doc_id`` is kept. Rows are told apart by a 64-bit hash of i
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType
 
 from .common import drop, read_table, store
 
 LENGTH, GRAM = 400, 200
 #: Distinct contexts of one gram that are sorted in one task at most.
 HOT = 2000
+#: Bytes that stand for a word where strings of words are compared.
+CODE = 8
+#: Keys with more than this part of the rows, and of more than ``MANY`` rows, are not joined but told.
+SHARE, MANY = 256, 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 19
 _U = np.uint64
@@ -327,29 +335,74 @@ def _windows(length: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``dk`` beside all columns: a hash of id and text."""
-    return docs.withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+def _key() -> Column:
+    """A hash of id and text: of one row, or of rows that are the same."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+@F.arrow_udf(BinaryType())
+def _word_codes(texts: pa.Array) -> pa.Array:
+    """``CODE`` bytes for each word, so that strings of words are byte strings of a fixed length."""
+    codes: dict[bytes, bytes] = {}
+
+    def code(word: bytes) -> bytes:
+        if word not in codes:
+            if len(codes) >= 100_000:
+                codes.clear()
+            codes[word] = xxhash.xxh3_64_digest(word)
+        return codes[word]
+
+    return pa.array([b"".join([code(w) for w in t.as_buffer().to_pybytes().split()]) if t.is_valid else b"" for t in texts], pa.binary())
+
+
+def _among(rows: DataFrame, keys: list[str], wanted: DataFrame, many: list[tuple]) -> DataFrame:
+    """The rows whose keys are in ``wanted`` (``__k0, ...``). The keys ``many``, a bounded list, are told to all tasks, so that no join gathers the rows of one."""
+    same = functools.reduce(lambda x, y: x & y, (F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)))
+    if not many:
+        return rows.join(wanted, same, "left_semi")
+    listed = lambda names: functools.reduce(lambda x, y: x | y, (functools.reduce(lambda x, y: x & y, (F.col(n) == v for n, v in zip(names, m, strict=True))) for m in many)) if len(keys) > 1 else F.col(names[0]).isin([m[0] for m in many])
+    names = [f"__k{i}" for i in range(len(keys))]
+    found = [tuple(r) for r in wanted.where(listed(names)).select(*names).distinct().collect()]
+    rest = rows.where(~listed(keys)).join(wanted, same, "left_semi")
+    many = found  # of the common keys those that are wanted
+    return rest.unionByName(rows.where(listed(keys))) if found else rest
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``dk, starts, ends``: the byte intervals that go, for each document that loses any."""
-    texts = _keyed(docs.select("doc_id", "text")).select("dk", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") >= length)
+def _repeated(rows: DataFrame, keys: list[str], counted: str = "true") -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """The rows whose keys occur more than once among those counted; a table to drop once they are read; and the keys of over a ``SHARE``-th of the rows, ``SHARE`` of them at most."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    again = store(rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count_if(F.expr(counted)).alias("__n")).where("__n > 1"), "repeated-keys")
+    total = again.agg(F.sum("__n")).first()[0] or 0
+    many = [tuple(r) for r in again.where(F.col("__n") > max(total // SHARE, MANY)).select(*names).collect()]
+    return _among(rows, keys, again, many), again, many
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """``dk, starts, ends``: the byte intervals that go, for each document that loses any.
+
+    With ``words``, strings of that many words instead of ``length`` bytes are held against each other, and the intervals are in ``CODE`` bytes a word.
+    """
+    texts = docs.select(_key().alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    if words:
+        length, gram = CODE * words, CODE * (words // 2)
+        texts = texts_of = store(texts.where(F.octet_length("text") >= 2 * words - 1).select("dk", _word_codes("text").alias("text")), "word-codes")
+    texts = texts.select("dk", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = store(texts.mapInArrow(_scan(length, gram), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, f1 array<long>, f2 array<int>"), "anchors")
     marks = found.select("dk", F.explode(F.arrays_zip("pos", "lo", "hi", "kh", "f1", "f2")).alias("x")).select(F.col("x.kh").alias("h"), "dk", "x.pos", "x.lo", "x.hi", "x.f1", "x.f2")
-    twice = marks.where("hi >= 0").groupBy(F.col("h").alias("th")).agg(F.count("*").alias("n")).where("n > 1")
-    shared = store(marks.join(twice, F.col("h") == F.col("th"), "left_semi"), "shared-grams")
+    rows, keys, many = _repeated(marks, ["h"], "hi >= 0")
+    shared = store(rows, "shared-grams")
+    drop(keys)
     drop(found)
-    forward = shared.where("f2 >= 0")
-    again = forward.groupBy(F.col("f1").alias("g1"), F.col("f2").alias("g2")).agg(F.count("*").alias("n")).where("n > 1")
-    windows = forward.join(again, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi").select("h", "dk", "pos", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    windows, again, _ = _repeated(shared.where("f2 >= 0"), ["f1", "f2"])
+    windows = windows.select("h", "dk", "pos", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     grams = shared.where("hi >= 0").select("h", "dk", "pos", "lo", "hi")
     repeated = grams.unionByName(windows)
 
     by_doc = repeated.groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("marks"))
     covered = store(by_doc.mapInArrow(_open_ends(length), "dk long, starts array<int>, ends array<int>, grams array<long>"), "covered")
-    wanted = covered.select(F.explode("grams").alias("wh")).distinct()
-    partners = grams.join(wanted, F.col("h") == F.col("wh"), "left_semi").groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
+    drop(again)
+    wanted = store(covered.select(F.explode("grams").alias("__k0")).distinct(), "open-grams")
+    partners = _among(grams, ["h"], wanted, many).groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
     # Repeated rows have one key, one list of marks for all of them and so one context for each.
     once = partners.withColumn("wanted", F.array_distinct("wanted"))
     cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted")
@@ -379,54 +432,72 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["dk", "starts", "ends"])
 
     out = store(parts.mapInArrow(union, "dk long, starts array<int>, ends array<int>"), "spans")
-    for table in (shared, covered, contexts, distinct):
+    for table in (shared, covered, wanted, contexts, distinct, *([texts_of] if words else [])):
         drop(table)
     return out
 
 
-def _with_rest(docs: DataFrame, **sizes: int) -> DataFrame:
-    """All columns of docs, ``starts, ends`` and ``rest``, the bytes that stay."""
-    found = spans(docs, **sizes).withColumnRenamed("dk", "sk")
-    keyed = _keyed(docs).join(found, F.col("dk") == F.col("sk"), "left").drop("dk", "sk")
-    names = keyed.columns
+@F.arrow_udf(BinaryType())
+def _rest(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """The bytes outside the intervals; null where there are no intervals."""
+    out = []
+    for text, s, e in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True):
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        out.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)], strict=True)) if s else None)
+    return pa.array(out, pa.binary())
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+@F.arrow_udf(StringType())
+def _rest_of_words(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """The text without the words inside the intervals (in bytes of word codes) and the white space after them; null where there are no intervals."""
+    out = []
+    for text, s, e in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True):
+        if not s:
+            out.append(None)
+            continue
+        raw = text.as_buffer().to_pybytes()
+        at = [*(m.start() for m in _WORD.finditer(raw)), len(raw)]
+        # A match can begin or end inside a code only by chance: whole words count.
+        cut = [(at[-(-a // CODE)], at[b // CODE]) for a, b in zip(s, e, strict=True) if -(-a // CODE) < b // CODE]
+        out.append(b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(raw)], strict=True)).decode("utf-8", "ignore"))
+    return pa.array(out, pa.string())
 
-    def run(batches):
-        for batch in batches:
-            rest = []
-            for text, starts, ends in zip(batch.column("text"), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if starts:
-                    raw = b"".join(raw[e:s] for e, s in zip([0, *ends], [*starts, len(raw)], strict=True))
-                rest.append(raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rest, pa.binary())], [*names, "rest"])
 
-    return keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("rest", BinaryType())]))
+def _with_spans(docs: DataFrame, **sizes: int) -> DataFrame:
+    """All columns of docs and ``__starts, __ends``, null where nothing goes."""
+    found = spans(docs, **sizes).select(F.col("dk").alias("__sk"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    return docs.withColumn("__dk", _key()).join(found, F.col("__dk") == F.col("__sk"), "left").drop("__dk", "__sk")
+
+
+#: Python gets the texts that lose something only.
+_CUT = lambda cut: cut(F.when(F.col("__starts").isNotNull(), F.col("text")), F.col("__starts"), F.col("__ends"))
 
 
 def digests(docs: DataFrame, **sizes: int) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = _with_rest(base, **sizes)
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("rest")).cast("long").alias("n_removed"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+    out = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), **sizes)
+    out = out.select("doc_id", F.col("text").cast("binary").alias("text"), "__starts", _CUT(_rest).alias("rest"))
+    n, rest = F.octet_length("text").cast("long"), F.coalesce("rest", "text")
+    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length(rest)).cast("long").alias("n_removed"), F.coalesce(F.size("__starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"))
 
 
 def strip_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
-    """docs with the texts that stay, whole characters only, and ``n_chars`` brought up to date; a null text stays null."""
-    columns = docs.columns
-    rows = docs.select("doc_id", "text", F.struct(*columns).alias("row"))
-    out = _with_rest(rows, **sizes)
-    # A cut inside a character leaves bytes that decode to the replacement character at the seam.
-    kept = F.when(F.col("text").isNull() | F.col("starts").isNull(), F.col("text")).otherwise(_decode("rest"))
-    fixed = out.select("row", kept.alias("new"))
-    return fixed.select(*(F.col("new").alias("text") if c == "text" else F.length("new").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in columns))
-
-
-def _decode(name: str):
-    @F.pandas_udf("string")
-    def whole_characters(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return whole_characters(F.col(name))
+    """docs with the texts that stay, whole characters only, and ``n_chars`` brought up to date; a null text stays null.
+
+    By words (``words=51``: strings of over 50) nothing is cut inside a word; by bytes a character that is cut goes.
+    """
+    out = _with_spans(docs, **sizes)
+    rest = _CUT(_rest_of_words) if sizes.get("words") else _decode(_CUT(_rest))
+    fixed = out.withColumn("__new", F.coalesce(rest, "text"))
+    return fixed.select(*(F.col("__new").alias("text") if c == "text" else F.length("__new").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
+
+
+@F.arrow_udf(StringType())
+def _decode(rest: pa.Array) -> pa.Array:
+    """Bytes that a cut left of a character are dropped."""
+    return pa.array([b.as_buffer().to_pybytes().decode("utf-8", "ignore") if b.is_valid else None for b in rest], pa.string())
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

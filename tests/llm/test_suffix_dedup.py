@@ -37,8 +37,10 @@ def corpus(seed, length):
 
 
 @pytest.mark.parametrize("seed, hot", [(1, 2000), (2, 3)])
-def test_same_as_brute_force(spark, seed, hot):
+def test_same_as_brute_force(spark, monkeypatch, seed, hot):
+    """With hot 3 most grams are counted window by window, and with MANY 2 the keys of most rows are told."""
     length, gram = 40, 20
+    monkeypatch.setattr(s, "MANY", hot)
     rows = corpus(seed, length)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pos string")
     got = sorted((tuple(r) for r in s.digests(df, length=length, gram=gram, hot=hot).collect()), key=str)
@@ -79,3 +81,29 @@ def test_strip_repeats_and_empty_table(spark):
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("start ", 6), 2: (" end", 4), 3: (None, None), 4: ("short", 5)}
     assert s.digests(docs.where("false")).count() == 0
+
+
+def brute_words(rows, n):
+    seen = Counter(tuple(w[i : i + n]) for t in rows for w in [(t or "").split()] for i in range(len(w) - n + 1))
+    out = []
+    for t in rows:
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        out.append([x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+def test_strings_of_words_same_as_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "be", "é", "word", "longer"]) + str(rng.randrange(40))
+    passages = [[word() for _ in range(rng.randint(5, 30))] for _ in range(6)]
+    texts = [None, "", "  ", "a " * 40, " ".join(passages[0][:10])]
+    for _ in range(40):
+        parts = [word() for _ in range(rng.randint(0, 12))] + rng.choice(passages)[rng.randint(0, 3) :] + [word() for _ in range(rng.randint(0, 12))]
+        texts.append(rng.choice([" ", "\n", "  "]).join(parts))
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, dk string")
+    got = {r.doc_id: r for r in s.strip_repeats(docs, words=10).collect()}
+    assert [(got[i].text or "").split() for i in range(len(texts))] == brute_words(texts, 10)
+    assert got[0].text is None and got[2].text == "  " and got[0].dk == "k"
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+    assert sum(len((got[i].text or "").split()) < len((t or "").split()) for i, t in enumerate(texts)) > 20
