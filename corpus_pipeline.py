@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellspark.llm import bpe, decontaminate, minhash, quality_classifier, suffix_dedup
-from cellspark.llm.common import read_table, store
+from cellspark.llm.common import bound_batches, read_table, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (five-word shingles, 80 %) stays."""
+    bound_batches(spark)
     return minhash.keep_one(docs, width=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that stand elsewhere in the corpus too go; a document of which nothing is left stays as an empty one."""
-    return suffix_dedup.strip_repeats(docs)
+    """Passages of over 50 words that stand elsewhere in the corpus too go; a document of which nothing is left stays as an empty one."""
+    bound_batches(spark)
+    return suffix_dedup.strip_repeats(docs, words=51)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +36,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of what is left, and the digest of their decoding."""
+    bound_batches(spark)
     return bpe.digests(docs)
 
 
