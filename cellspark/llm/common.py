@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands in for a null doc_id inside joins; results turn it back into null.
@@ -60,6 +61,23 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 within the keys, by the order. DataFrame functions only, and no group is gathered.
+
+    The rows are sorted by ranges over all tasks; a row's number is its place less that of its key's first row. Only
+    the sizes of the tasks' ranges meet in one place.
+    """
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id())
+    ordered = store(ordered, "ordered")  # so that the places stay what they are
+    part = F.shiftright("__at", 33)
+    sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each task
+    placed = ordered.withColumn("__of", part).join(F.broadcast(before), F.col("__of") == F.col("__part")).withColumn("__place", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = placed.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min("__place").alias("__first"))
+    same = functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return placed.join(first, same).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__place") - F.col("__first") + 1).alias(name))
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

@@ -5,13 +5,15 @@ order (a call comes after the call whose result it depends on), arguments are va
 the tools' schemas, and each linked call is serialised as canonical JSON (sorted keys, no blanks).
 
 Levels come from pointer doubling, so a chain of n dependent calls takes log2(n) joins, and no
-conversation is gathered in one task.
+conversation is gathered in one task. ``position`` numbers a conversation's calls in topological order: by level, then
+turn, then identifier.
 
-Defined results: rows without conversation or identifier link with nothing; of several calls or
+Defined results: calls without conversation or identifier, and results without a call, are rows of their own that are
+not linked, with the errors ``call:unidentified`` and ``result:orphan`` and no message; of several calls or
 results of one identifier the first by turn, then by text, counts, and ``copies`` tells how many
-calls there were; an unknown dependency is no dependency; calls on a cycle have a null level and
-the error ``cycle``; unreadable arguments and unknown tools are errors; a call without a result
-has a null ``result``.
+calls there were; an unknown dependency is no dependency; calls on or behind a cycle have a null level,
+come last and have the error ``cycle``; unreadable arguments and unknown tools are errors; a call without a result
+has a null ``result``; texts are taken whole; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read_table, store
+from .common import drop, numbered, read_table, store
 
 #: Tool -> argument -> (JSON type, whether it is required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -60,8 +62,14 @@ def levels(calls: DataFrame) -> DataFrame:
     return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
+def _json(c: str) -> Column:
+    """The column's text as a JSON string, or ``null``."""
+    boxed = F.to_json(F.struct(F.col(c).alias("x")))
+    return F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.substr(boxed, F.lit(6), F.length(boxed) - 6))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for each identified call.
+    """One row for each identified call, and for each call or result that links with nothing.
 
     calls: ``conv_id, turn, call_id, name, arguments, depends_on``; results: ``conv_id, turn, call_id, content``.
     """
@@ -69,18 +77,27 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     first = calls.where(known).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("call"), F.count("*").alias("copies")).select("conv_id", "call_id", "copies", "call.*")
     first = store(first, "calls")
     answer = results.where(known).groupBy(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri")).agg(F.min(F.struct("turn", "content")).alias("answer"))
-    deep = levels(first).select(F.col("conv_id").alias("lc"), F.col("call_id").alias("li"), "level")
-    joined = first.join(answer, (F.col("conv_id") == F.col("rc")) & (F.col("call_id") == F.col("ri")), "left").join(deep, (F.col("conv_id") == F.col("lc")) & (F.col("call_id") == F.col("li")))
+    deep = numbered(first.select("conv_id", "turn", "call_id").join(levels(first).withColumnsRenamed({"conv_id": "c", "call_id": "i"}), (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i"))).withColumn("last", F.coalesce("level", F.lit(2**62))), ["conv_id"], ["last", "turn", "call_id"], "position")
+    deep = deep.select(F.col("conv_id").alias("lc"), F.col("call_id").alias("li"), "level", "position")
+    # One row a key on either side: a hash join has no long lists.
+    both = first.join(answer.hint("shuffle_hash"), (F.col("conv_id") == F.col("rc")) & (F.col("call_id") == F.col("ri")), "full_outer")
+    joined = both.join(deep.hint("shuffle_hash"), (F.col("conv_id") == F.col("lc")) & (F.col("call_id") == F.col("li")), "left").withColumn("result", F.col("answer.content"))
     parsed = joined.withColumn("parsed", F.try_parse_json(F.coalesce("arguments", F.lit(""))))
     checked = parsed.withColumn("problems", argument_errors(F.col("name"), F.col("parsed"), schemas))
     error = F.concat_ws(";", F.when(F.col("problems") != "", F.col("problems")), F.when(F.col("level").isNull(), F.lit("cycle")))
-    quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit(""))
-    text = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(quoted(c))
-    final = checked.withColumn("result", F.col("answer.content"))
     message = F.concat(
-        F.lit('{"arguments":'), F.coalesce(F.to_json("parsed"), F.lit("null")), F.lit(',"depends_on":'), text("depends_on"), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), text("result"), F.lit("}")
+        F.lit('{"arguments":'), F.coalesce(F.to_json("parsed"), F.lit("null")), F.lit(',"depends_on":'), _json("depends_on"), F.lit(',"id":'), _json("call_id"), F.lit(',"name":'), _json("name"), F.lit(',"result":'), _json("result"), F.lit("}")
+    )
+    call = F.col("call_id").isNotNull()
+    own = lambda c: F.when(call, c)
+    error = own(error).otherwise("result:orphan")
+    linked = checked.select(
+        F.coalesce("conv_id", "rc").alias("conv_id"), F.coalesce("call_id", "ri").alias("call_id"), own(F.col("turn")).otherwise(F.col("answer.turn")).alias("turn"), F.coalesce("copies", F.lit(0)).alias("copies"), "level", "position",
+        (call & F.col("answer").isNotNull()).alias("linked"), error.alias("error"), (error == "").alias("valid"), own(message).alias("message"),
     )
-    return final.select("conv_id", "call_id", "turn", "copies", "level", F.col("answer").isNotNull().alias("linked"), error.alias("error"), (error == "").alias("valid"), message.alias("message"))
+    none = lambda t: F.lit(None).cast(t)
+    lost = lambda df, n, why: df.where(~known).select("conv_id", "call_id", "turn", F.lit(n).cast("long").alias("copies"), none("long").alias("level"), none("long").alias("position"), F.lit(False).alias("linked"), F.lit(why).alias("error"), F.lit(False).alias("valid"), none("string").alias("message"))
+    return linked.unionByName(lost(calls, 1, "call:unidentified")).unionByName(lost(results, 0, "result:orphan"))
 
 
 #: The tools of the query below.
@@ -92,14 +109,10 @@ TOOLS: Schemas = {
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads a chat as tool use: assistant turns call, the turn after each answers, and each call builds on the one two turns before.
-
-    A cut that the query's SQL fixes: the query or key argument is the turn's first 40 characters, the rest of it is not read.
-    """
-    n, text = F.length("text"), F.col("text")
+    """Reads a chat as tool use: assistant turns call, the turn after each answers, and each call builds on the one two turns before. A turn's whole text is the query or key argument."""
+    n = F.length("text")
     tool = F.element_at(F.array(*map(F.lit, ("search", "lookup", "compute"))), (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int"))
-    head = F.to_json(F.struct(F.substring(text, 1, 40).alias("v")))
-    value = F.regexp_extract(head, r"(?s)^\{\"v\":(.*)\}$", 1)
+    value = _json("text")
     limit = F.when(n % 7 == 0, F.lit("")).when(n % 11 == 0, F.concat(F.lit(', "limit": "'), n, F.lit('"'))).otherwise(F.concat(F.lit(', "limit": '), n))
     arguments = (
         F.when(tool == "search", F.concat(F.lit('{"query": '), value, limit, F.lit("}")))
@@ -116,7 +129,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n, to_json(substr(text, 1, 40)) :: VARCHAR AS v FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n, to_json(text) :: VARCHAR AS v FROM conversations),
 c0 AS (
   SELECT conv_id, turn, 'c' || turn AS call_id, 'c' || (turn - 2) AS depends_on, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'compute' END AS name, n, v, n % 17 = 0 AS broken
   FROM t WHERE role = 'assistant'
@@ -135,13 +148,15 @@ c1 AS (
 ),
 pick AS (SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS copies, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, args) AS k FROM c1),
 c AS (SELECT * FROM pick WHERE k = 1),
-r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min_by(text, (turn, text)) AS content FROM t WHERE role <> 'assistant' GROUP BY ALL),
+r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS turn, min_by(text, (turn, text)) AS content FROM t WHERE role <> 'assistant' GROUP BY ALL),
 lev AS (
   SELECT conv_id, call_id, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.depends_on)
   UNION ALL
   SELECT c.conv_id, c.call_id, lev.level + 1 FROM c JOIN lev ON c.conv_id = lev.conv_id AND c.depends_on = lev.call_id
 )
-SELECT c.conv_id, c.call_id, c.turn, c.copies, CAST(lev.level AS BIGINT) AS level, r.conv_id IS NOT NULL AS linked, c.error, c.error = '' AS valid,
+SELECT c.conv_id, c.call_id, c.turn, c.copies, CAST(lev.level AS BIGINT) AS level, row_number() OVER (PARTITION BY c.conv_id ORDER BY lev.level, c.turn, c.call_id) AS position, r.conv_id IS NOT NULL AS linked, c.error, c.error = '' AS valid,
   '{"arguments":' || c.args || ',"depends_on":"' || c.depends_on || '","id":"' || c.call_id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content) :: VARCHAR, 'null') || '}' AS message
 FROM c JOIN lev ON c.conv_id = lev.conv_id AND c.call_id = lev.call_id LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+UNION ALL
+SELECT conv_id, call_id, turn, 0, NULL, NULL, false, 'result:orphan', false, NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """

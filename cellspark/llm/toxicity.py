@@ -2,12 +2,14 @@
 
 Positives are documents labelled toxic; all text together is the unlabelled sample. Spark counts, over every
 document that may be learnt from, in how many of them each word of the positives stands; the words
-whose share among the positives most exceeds their share of all are the features of a logistic model,
+that stand in more positives than chance allows are the features of a logistic model,
 fitted in numpy on a bounded sample by the non-negative risk estimator
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the class prior ``pi`` from the labels.
 
-Bounds (documented parameters): ``MAX_FIT`` rows are fitted, a quarter of them positives;
-the ``MAX_CANDIDATES`` most frequent words of those are looked at and ``MAX_WORDS`` are features.
+Bound (a documented parameter): ``MAX_FIT`` rows are fitted, a quarter of them positives, those of the least hashes.
+Every word of those positives, of any length, is a candidate, and every one that passes is a feature: it stands in
+``MIN_POSITIVES`` of them at least, ``MIN_LIFT`` times as often as elsewhere, and so often that by chance (a Poisson
+bound over all candidates) ``CHANCE`` words would at most.
 Held out are rows whose ``crc32(doc_id as text) mod 5`` is 0 (a null id counts as an empty
 text); nothing of them, label or text, is learnt from.
 
@@ -29,10 +31,8 @@ from .common import read_table
 
 FOLDS = 5
 MAX_FIT = 20_000
-MAX_WORDS = 512
-MAX_CANDIDATES = 50_000
-#: A feature stands in at least so many positives and such a share of them, and the share is at least so many times that elsewhere.
-MIN_POSITIVES, MIN_SHARE, MIN_LIFT = 3, 0.01, 4.0
+#: A feature stands in at least so many positives, at least so many times the share elsewhere, and not by chance.
+MIN_POSITIVES, MIN_LIFT, CHANCE = 3, 4.0, 1.0
 #: Lengths of the beginnings of words that are features too: inflected forms share them.
 PREFIXES = (4, 5)
 #: The logistic loss is weighted so that a document without any feature scores below one half.
@@ -53,27 +53,60 @@ def _held_out(name: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit_weights(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative PU risk with logistic loss. x: 0/1 rows; positive: which rows are confirmed."""
-    xp, xu = x[positive].astype(np.float64), x[~positive].astype(np.float64)
-    w, b = np.zeros(x.shape[1]), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+class Rows:
+    """0/1 rows as the numbers of their features, one after the other."""
+
+    def __init__(self, own: list[list[int]], width: int):
+        self.n, self.width = len(own), width
+        self.column = np.concatenate([np.asarray(o, np.int64) for o in own]) if own else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(o) for o in own])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.n)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """Sums of the rows' numbers by feature."""
+        return np.bincount(self.column, weights=r[self.row], minlength=self.width)
+
+
+def fit_weights(x: Rows | np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative PU risk with logistic loss. x: 0/1 rows; positive: which rows are confirmed, the others being unlabelled."""
+    if isinstance(x, np.ndarray):
+        x = Rows([np.flatnonzero(row).tolist() for row in x], x.shape[1])
+    w, b = np.zeros(x.width), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    pull = np.zeros(x.n)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        z = x.dot(w) + b
+        zp, zu = z[positive], z[~positive]
         negative_part = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus, gp_minus, gu = (sigmoid(zp) - 1) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
         if negative_part >= 0:
-            rp, ru = prior * (gp_plus - gp_minus), gu
+            pull[positive], pull[~positive] = prior * (gp_plus - gp_minus), gu
         else:  # the estimate fell below what a risk can be: step back from the part that overfits
-            rp, ru = prior * gp_minus, -gu
-        g = np.concatenate([xp.T @ rp + xu.T @ ru + decay * w, [rp.sum() + ru.sum()]])
+            pull[positive], pull[~positive] = prior * gp_minus, -gu
+        g = np.concatenate([x.back(pull) + decay * w, [pull.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
+def chosen(in_p: dict[str, int], in_all: dict[str, int], n_p: int, n_all: int) -> list[str]:
+    """The words that mark positives.
+
+    The chance of k or more where e are expected is at most ``exp(k - e) * (e / k) ** k``; it is held against ``CHANCE`` over all candidates.
+    """
+    least = np.log(max(len(in_p), 1) / CHANCE)
+    out = []
+    for w, k in in_p.items():
+        e = n_p * in_all[w] / n_all
+        if k >= MIN_POSITIVES and k >= MIN_LIFT * e and k * np.log(k / e) - (k - e) >= least:
+            out.append(w)
+    return sorted(out)
+
+
 def _count_words(only: frozenset[str] | None):
     """mapInArrow function: in how many documents of each batch a word stands."""
 
@@ -82,7 +115,7 @@ def _count_words(only: frozenset[str] | None):
             counts: Counter[str] = Counter()
             for text in batch.column("text"):
                 own = words_of(text.as_py())
-                counts.update(w for w in own if len(w) <= 40) if only is None else counts.update(own & only)
+                counts.update(own if only is None else own & only)
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     return run
@@ -97,61 +130,60 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: int = MAX_WORDS) -> Model:
-    """No text is shuffled: the ids of the positives that are fitted (``max_fit / 4`` at most) are broadcast."""
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
+    """No text is shuffled: the ids of the positives that are fitted (``max_fit / 4`` at most) are broadcast, and so are their words."""
     learnt = docs.where(~_held_out()).select("doc_id", "text")
-    marks = labels.where(~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where(~_held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = marks.agg(F.count("toxic"), F.count_if(F.col("toxic") == 1)).first()
     prior = n_toxic / n if n else 0.0
     flat = Model([], np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     if not n_toxic:
         return flat
 
-    def sample(rows: DataFrame, size: int, total: int) -> DataFrame:
-        return rows if total <= size else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * 0.95 * size / total))
-
-    ids = sample(marks.where("toxic = 1"), max_fit // 4, n_toxic).select(F.col("doc_id").alias("m")).limit(max_fit // 4)
-    positives = learnt.join(F.broadcast(ids), F.col("doc_id") == F.col("m")).select("doc_id", "text")
-    n_p = positives.count()
-    found = positives.mapInArrow(_count_words(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= max(MIN_POSITIVES, MIN_SHARE * n_p))
-    in_p = {r["word"]: r["in_p"] for r in found.orderBy(F.desc("in_p"), "word").limit(MAX_CANDIDATES).collect()}
+    # The rows of the least hashes: a repeated run fits the same ones.
+    ids = marks.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit // 4).select(F.col("doc_id").alias("__label_of"))
+    positives = learnt.join(F.broadcast(ids), F.col("doc_id") == F.col("__label_of")).select("doc_id", "text")
+    found = positives.mapInArrow(_count_words(None), "word string, n long").groupBy("word").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= MIN_POSITIVES)
+    in_p = {r["word"]: r["in_p"] for r in found.collect()}  # words of max_fit / 4 texts
     if not in_p:
         return flat
 
     # Document frequencies of the candidates over all that may be learnt from.
-    n_all = learnt.count()
+    n_p, n_all = positives.count(), learnt.count()
     totals = learnt.select("text").mapInArrow(_count_words(frozenset(in_p)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    in_all = {r["word"]: r["n"] for r in totals.collect()}
-    lift = {w: (k / n_p) / (in_all[w] / n_all) for w, k in in_p.items()}
-    words = sorted((w for w in in_p if lift[w] >= MIN_LIFT), key=lambda w: (-in_p[w] * np.log(lift[w]), w))[:max_words]
+    words = chosen(in_p, {r["word"]: r["n"] for r in totals.collect()}, n_p, n_all)
     if not words:
         return flat
-
     place = {w: i for i, w in enumerate(words)}
 
     def features(batches):
         for batch in batches:
             own = [sorted(place[w] for w in words_of(t) & place.keys()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], ["own"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(own, pa.list_(pa.int32()))], ["u", "own"])
+
+    def sample(rows: DataFrame, size: int, total: int) -> list[list[int]]:
+        """``size`` rows at most; the hash is that of the row, so that rows of one id are not all in or all out."""
+        rows = rows.select(F.xxhash64("doc_id", "text").alias("u"), "text")
+        if total > size:
+            rows = rows.where(F.pmod("u", F.lit(1_000_000)) < int(1_000_000 * 1.1 * size / total) + 1)
+        return [r["own"] for r in rows.mapInArrow(features, "u long, own array<int>").orderBy(F.pmod("u", F.lit(1_000_000)), "u").limit(size).collect()]
 
     # The unlabelled sample is drawn from all text, confirmed or not: the risk estimator's prior is that of the whole.
-    parts = [rows.select("text").mapInArrow(features, "own array<int>").limit(size).collect() for rows, size in ((positives, max_fit // 4), (sample(learnt, max_fit - max_fit // 4, n_all), max_fit - max_fit // 4))]
-    positive = np.arange(sum(map(len, parts))) < len(parts[0])
-    x = np.zeros((len(positive), len(words)), np.float32)
-    for i, r in enumerate(parts[0] + parts[1]):
-        x[i, r["own"]] = 1
-    if positive.all() or not positive.any():
+    xp, xu = sample(positives, max_fit // 4, n_p), sample(learnt, max_fit - max_fit // 4, n_all)
+    if not xp or not xu:
         return flat
-    return Model(words, *fit_weights(x, positive, prior))
+    return Model(words, *fit_weights(Rows(xp + xu, len(words)), np.arange(len(xp) + len(xu)) < len(xp), prior))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([model.score(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
+    """``doc_id, held_out, score, predicted`` for each document."""
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
-    return base.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), scores("text").alias("score"))
+    return base.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)"
 #: Units of ``date`` in a block.
 BLOCK = 1 << 12
+#: The same where dates are page numbers.
+PAGE_BLOCK = 1 << 7
 
 
 def canonical_url(url: Column) -> Column:
@@ -72,20 +74,26 @@ def header_text(headers: Column) -> Column:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Each page as a full response at its id and as a revisit 50 later; a third of the revisits bring a stale entity tag."""
+    """Each page as a full response at its id and as a revisit 50 later.
+
+    Revisits bring, by turns, an entity tag, a last-modified date, a digest or no validator; a third of them are stale.
+    """
     text = F.coalesce("html", F.lit(""))
     digest = F.md5(text.cast("binary"))
     base = pages.select("page_id", "url", digest.alias("digest"), F.octet_length(text).cast("string").alias("size"))
     heads = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
-    day = F.col("page_id").cast("string")
-    full = base.select((2 * F.col("page_id")).alias("record_id"), F.col("url").alias("uri"), F.col("page_id").alias("date"), F.lit("response").alias("type"), F.col("digest").alias("etag"), F.lit(None).cast("string").alias("last_modified"), "digest", heads("Content-Type", "text/html", "Content-Length", F.col("size"), "Date", day, "ETag", F.col("digest")).alias("headers"))
-    tag = F.when(F.col("page_id") % 3 == 0, F.lit("stale")).otherwise(F.concat(F.lit("W/"), F.col("digest")))
-    again = base.select((2 * F.col("page_id") + 1).alias("record_id"), F.col("url").alias("uri"), (F.col("page_id") + 50).alias("date"), F.lit("revisit").alias("type"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), heads("Date", (F.col("page_id") + 50).cast("string"), "Content-Length", "0", "Cache-Control", "no-cache").alias("headers"))
+    day, modified = F.col("page_id").cast("string"), F.concat(F.lit("modified "), F.col("digest"))
+    full = base.select((2 * F.col("page_id")).alias("record_id"), F.col("url").alias("uri"), F.col("page_id").alias("date"), F.lit("response").alias("type"), F.col("digest").alias("etag"), modified.alias("last_modified"), "digest", heads("Content-Type", "text/html", "Content-Length", F.col("size"), "Date", day, "ETag", F.col("digest")).alias("headers"))
+    turn = lambda k, c: F.when(F.pmod("page_id", F.lit(4)) == k, F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit("stale")).otherwise(c))
+    again = base.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), F.col("url").alias("uri"), (F.col("page_id") + 50).alias("date"), F.lit("revisit").alias("type"), turn(0, F.concat(F.lit("W/"), F.col("digest"))).alias("etag"), turn(1, modified).alias("last_modified"), turn(2, F.col("digest")).alias("digest"),
+        heads("Date", (F.col("page_id") + 50).cast("string"), "Content-Length", "0", "Cache-Control", "no-cache").alias("headers"),
+    )
     return full.unionByName(again)
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve(page_records(read_table(spark, sf_dir, "pages")))
+    out = resolve(page_records(read_table(spark, sf_dir, "pages")), PAGE_BLOCK)
     return out.select("record_id", "url", "date", "refers_to", "verified", header_text(F.col("headers")).alias("headers"), "digest")
 
 
@@ -99,7 +107,7 @@ q AS (
 ),
 c AS (SELECT page_id, digest, size, base || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url FROM q),
 j AS (
-  SELECT v.page_id, v.url, r.page_id AS rid, r.digest, r.size, v.page_id % 3 <> 0 AND v.digest = r.digest AS same, row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
+  SELECT v.page_id, v.url, r.page_id AS rid, r.digest, r.size, v.page_id % 3 <> 0 AND v.page_id % 4 <> 3 AND v.digest = r.digest AS same, row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
   FROM c v LEFT JOIN c r ON r.url = v.url AND r.page_id < v.page_id + 50
 )
 SELECT 2 * page_id + 1 AS record_id, url, page_id + 50 AS date, 2 * rid AS refers_to, coalesce(same, false) AS verified,
