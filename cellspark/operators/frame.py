@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +56,17 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     means = df.agg(*(F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns))).first()
     centred = df.select(*((F.col(f"`{c}`").cast("double") - F.lit(means[i] or 0.0)).alias(f"z{i}") for i, c in enumerate(columns)))
     k = len(columns)
-    # One grouped pass over an array of products per row keeps the plan small for hundreds of columns.
-    z = F.array(*(f"z{i}" for i in range(k)))
-    products = centred.select(F.posexplode(F.flatten(F.transform(z, lambda a: F.transform(z, lambda b: a * b)))).alias("p", "v"))
-    sums = products.groupBy("p").agg(F.sum("v").alias("s")).select(F.floor(F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), "s")
+    places = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def gram(batches):
+        """The sums of products of one task: as many rows as there are pairs of columns, however many rows came in."""
+        total = np.zeros((k, k))
+        for batch in batches:
+            z = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in places], pa.int32()), pa.array([q for _, q in places], pa.int32()), pa.array([total[p, q] for p, q in places], pa.float64())], ["i", "j", "v"])
+
+    sums = centred.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("s"))
     own = sums.where("i = j")
     a, b = own.select(F.col("i").alias("ai"), F.col("s").alias("si")), own.select(F.col("i").alias("bj"), F.col("s").alias("sj"))
     pairs = sums.where("i < j").join(a, F.col("i") == F.col("ai")).join(b, F.col("j") == F.col("bj"))
@@ -103,10 +114,54 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
-def average_rank(value: Column, *keys: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2
+def materialized(df: DataFrame) -> DataFrame:
+    """Computed once: a checkpoint where a folder for them is set, else kept by the executors (and recomputed if one is lost)."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
+def running(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+    """Running values over one order of all rows (within the keys, for sums): inclusive sums, inclusive minima, and values of the row before.
+
+    Rows are sorted by ranges over all tasks, each range is run through by itself, and only one row of totals for each
+    range meets in one place: no window holds the table. ``order`` must tell all rows apart.
+    """
+    sums, least, previous = sums or {}, least or {}, previous or {}
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    inputs = {**{f"__s{i}": c for i, c in enumerate(sums.values())}, **{f"__l{i}": c for i, c in enumerate(least.values())}, **{f"__p{i}": c for i, c in enumerate(previous.values())}}
+    order = [*(F.col(k).asc() for k in keys), *order]
+    placed = df.withColumns(inputs).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialized(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    inside = Window.partitionBy("__part").orderBy("__at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({**{f"__rs{i}": F.sum(f"__s{i}").over(upto) for i in range(len(sums))}, **{f"__rl{i}": F.min(f"__l{i}").over(upto) for i in range(len(least))}, **{f"__rp{i}": F.lag(f"__p{i}").over(inside) for i in range(len(previous))}, "__first": F.row_number().over(inside) == 1})
+    totals = placed.groupBy(F.col("__part").alias("__tp")).agg(F.count("*").alias("__n"), *(F.sum(f"__s{i}").alias(f"__ts{i}") for i in range(len(sums))), *(F.min(f"__l{i}").alias(f"__tl{i}") for i in range(len(least))), *(F.max_by(f"__p{i}", "__at").alias(f"__tt{i}") for i in range(len(previous))))
+    earlier = Window.orderBy("__tp").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("__tp", *(F.sum(f"__ts{i}").over(earlier).alias(f"__bs{i}") for i in range(len(sums))), *(F.min(f"__tl{i}").over(earlier).alias(f"__bl{i}") for i in range(len(least))), *(F.lag(f"__tt{i}").over(Window.orderBy("__tp")).alias(f"__bp{i}") for i in range(len(previous))))
+    out = local.join(F.broadcast(totals), F.col("__part") == F.col("__tp"))
+    out = out.withColumns({**{f"__rs{i}": F.coalesce(f"__bs{i}", F.lit(0)) + F.coalesce(f"__rs{i}", F.lit(0)) for i in range(len(sums))}, **{f"__rl{i}": F.least(f"__rl{i}", f"__bl{i}") for i in range(len(least))}, **{f"__rp{i}": F.when(F.col("__first"), F.col(f"__bp{i}")).otherwise(F.col(f"__rp{i}")) for i in range(len(previous))}})
+    if keys and sums:
+        start = out.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(*(F.min(F.col(f"__rs{i}") - F.coalesce(f"__s{i}", F.lit(0))).alias(f"__from{i}") for i in range(len(sums))))
+        out = out.join(start, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))))
+    own = lambda i: F.col(f"__rs{i}") - F.col(f"__from{i}") if keys else F.col(f"__rs{i}")
+    return out.select(*columns, *(own(i).alias(n) for i, n in enumerate(sums)), *(F.col(f"__rl{i}").alias(n) for i, n in enumerate(least)), *(F.col(f"__rp{i}").alias(n) for i, n in enumerate(previous)))
+
+
+def numbered(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), name: str = "rn") -> DataFrame:
+    """Numbers from 1 by the order, within the keys; a key may hold any share of the rows."""
+    return running(df, order, keys, sums={name: F.lit(1).cast("long")})
+
+
+def with_average_rank(df: DataFrame, value: str, keys: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """Ranks from 1 within the keys, ties sharing their mean: a running sum over the counts of distinct values. Null values have none."""
+    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__t"))
+    ranks = running(ties, [F.col(value).asc()], keys, sums={"__upto": F.col("__t")})
+    ranks = ranks.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)), F.col(value).alias("__v"), (F.col("__upto") - F.col("__t") + (F.col("__t") + 1) / 2).alias(name))
+    same = reduce(lambda x, y: x & y, [F.col(value) == F.col("__v"), *(F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys))])
+    return df.join(ranks, same, "left").drop("__v", *(f"__r{i}" for i in range(len(keys))))
 
 
 def top_per_group(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -126,3 +181,27 @@ def with_copy(df: DataFrame, column: str, name: str) -> DataFrame:
 def minmax_by(df: DataFrame, key: str, value: str) -> DataFrame:
     ends = df.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     return df.join(ends, F.col(key).eqNullSafe(F.col("_k"))).withColumn("scaled", F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_k", "_lo", "_hi")
+
+
+def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows by the order."""
+    return df.orderBy(*order).limit(n)
+
+
+def significant(df: DataFrame, p: str = "p_adj", alpha: float = 0.05) -> DataFrame:
+    return df.where(F.col(p) < alpha)
+
+
+def n_significant(df: DataFrame, p: str = "p_adj", alpha: float = 0.05) -> DataFrame:
+    return df.agg(F.count_if(F.col(p) < alpha).alias("n_significant"))
+
+
+def centroid_columns(columns: list[str]) -> tuple[str, str]:
+    """The two columns of a place: ``centroid-0, centroid-1``, else ``centroid_0, centroid_1``, else the first two whose names hold ``centroid``."""
+    for pair in (("centroid-0", "centroid-1"), ("centroid_0", "centroid_1")):
+        if set(pair) <= set(columns):
+            return pair
+    named = [c for c in columns if "centroid" in c.lower()]
+    if len(named) < 2:
+        raise ValueError("no two columns hold a centroid")
+    return named[0], named[1]

@@ -2,14 +2,21 @@
 
 Bounded radii use a grid of cells as wide as the radius: an equi-join on (image, grid cell) with the
 targets told to the nine cells around them, so the work follows the neighbours and not the pairs of
-an image. Unbounded measures join on the image. Ties are broken by (rounded squared distance, id).
+an image. Nearest neighbours are looked for on grids of growing cells. Measures over all pairs of an image join on the image. Ties are broken by (rounded squared distance, id).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frame import materialized
+from .geometry import convex_hull
+
 T_CELL, DZ, LZ, OTHER = "T-cells", "DZ B-cells", "LZ B-cells", "n/a"
 
 
@@ -67,12 +74,79 @@ def ranked(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("image", "id", *keys).orderBy(F.round("d2", 9), "tid")))
 
 
+def k_nearest(cells: DataFrame, others: DataFrame, k: Column, same: Column | None = None) -> DataFrame:
+    """The k nearest others of each cell in its image: ``image, id, cell_type, tid, tt, d2, rn``; k may differ by image. ``same``: which pairs count.
+
+    Cells look around in the nine grid cells about them. Whoever has k there, none farther than the nine reach, is
+    done; the rest look again in a grid twice as wide, until the nine cover the image's others. So the work
+    follows the neighbours, an image is spread over its grid cells, and crowded and empty places each find their own scale.
+    """
+    told = _targets(others)
+    asked = cells.select("image", "id", "y", "x", "cell_type", k.cast("int").alias("k"))
+    ends = told.groupBy(F.col("ti").alias("ei")).agg(F.min("ty").alias("y0"), F.min("tx").alias("x0"), F.max("ty").alias("y1"), F.max("tx").alias("x1"), F.count("*").alias("n"))
+    most = asked.groupBy(F.col("image").alias("ki")).agg(F.max("k").alias("km"))
+    # The extent of both: a cell may lie far from a lone other.
+    places = asked.select("image", "y", "x").unionByName(told.select(F.col("ti").alias("image"), F.col("ty").alias("y"), F.col("tx").alias("x")))
+    extent = places.groupBy(F.col("image").alias("xi")).agg((F.max("y") - F.min("y")).alias("dy"), (F.max("x") - F.min("x")).alias("dx"))
+    span = F.greatest("dy", "dx")
+    area = F.greatest(F.col("dy") * F.col("dx"), span * span / 64)
+    # A circle of k others has a radius of 0.56 sqrt(k / density).
+    grids = ends.join(most, F.col("ei") == F.col("ki")).join(extent, F.col("ei") == F.col("xi")).select("ei", "y0", "x0", "y1", "x1", F.greatest((0.75 * F.sqrt(F.col("km") + 1) + 0.5) * F.sqrt(area / F.col("n")), span / (1 << 20), F.lit(1e-9)).alias("side"))
+    grids = materialized(grids)
+    still = asked.join(grids, F.col("image") == F.col("ei")).drop("ei")
+    sides = told.join(grids.select("ei", F.col("y0").alias("ey"), F.col("x0").alias("ex"), F.col("side").alias("es")), F.col("ti") == F.col("ei")).drop("ei")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, factor = [], 1.0
+    while True:
+        place = lambda c, zero, side: F.floor((F.col(c) - F.col(zero)) / (F.col(side) * factor))  # noqa: B023, E731
+        heard = sides.withColumn("o", around).select("ti", "tid", "ty", "tx", "tt", (place("ty", "ey", "es") + F.col("o.i")).alias("tgy"), (place("tx", "ex", "es") + F.col("o.j")).alias("tgx"))
+        keyed = still.withColumns({"gy": place("y", "y0", "side"), "gx": place("x", "x0", "side")})
+        # Few rows come in and many pairs go out, so that the bytes that come in must not decide on the number of tasks.
+        pairs = keyed.repartition(tasks, "image", "gy", "gx").join(heard, (F.col("image") == F.col("ti")) & (F.col("gy") == F.col("tgy")) & (F.col("gx") == F.col("tgx"))).withColumn("d2", _d2())
+        pairs = pairs if same is None else pairs.where(same)
+        near = materialized(ranked(pairs.select("image", "id", "cell_type", "k", "tid", "tt", "d2")).where(F.col("rn") <= F.col("k")))
+        got = near.groupBy(F.col("image").alias("gi"), F.col("id").alias("gid")).agg(F.count("*").alias("got"), F.max("d2").alias("far"))
+        s, beyond = F.col("side") * factor, F.lit(float("inf"))
+        # How far the nine cells reach on each side; endlessly where no others lie beyond.
+        low = lambda c, g, zero: F.when(F.col(g) <= 1, beyond).otherwise(F.col(c) - F.col(zero) - (F.col(g) - 1) * s)  # noqa: B023, E731
+        high = lambda c, g, zero, end: F.when(F.col(g) >= place(end, zero, "side") - 1, beyond).otherwise((F.col(g) + 2) * s - F.col(c) + F.col(zero))  # noqa: B023, E731
+        reach = F.least(low("y", "gy", "y0"), high("y", "gy", "y0", "y1"), low("x", "gx", "x0"), high("x", "gx", "x0", "x1"))
+        done = (reach == beyond) | F.coalesce((F.col("got") >= F.col("k")) & (reach > 0) & (F.col("far") + 1e-6 < reach * reach), F.lit(False))
+        judged = keyed.join(got, (F.col("image") == F.col("gi")) & (F.col("id") == F.col("gid")), "left").withColumn("done", done).drop("gi", "gid", "got", "far", "gy", "gx")
+        rest = materialized(judged.where(~F.col("done")).drop("done"))
+        if not rest.take(1):
+            parts.append(near)
+            break
+        parts.append(near.join(rest.select(F.col("image").alias("ri"), F.col("id").alias("rid")), (F.col("image") == F.col("ri")) & (F.col("id") == F.col("rid")), "left_anti"))
+        still, factor = rest, factor * 2
+    return reduce(DataFrame.unionByName, parts).drop("k")
+
+
 def knn_members(cells: DataFrame, k: int = 5, target: str = T_CELL) -> DataFrame:
     """Cells one of whose k + 1 nearest (themselves included) is of the class."""
-    near = ranked(image_pairs(cells)).where(F.col("rn") <= k + 1)
+    near = k_nearest(cells, cells, F.lit(k + 1))
     return near.groupBy("image", "id").agg(F.bool_or(F.col("tt") == target).alias("near_class")).where("near_class").select("image", "id")
 
 
+def farthest(cells: DataFrame) -> DataFrame:
+    """``image, far``: the greatest distance of two cells of an image. Its ends are corners of the convex hull, and each task sends the corners of its own rows only."""
+
+    def corners(frames):
+        for df in frames:
+            for image, part in df.groupby("image", sort=False):
+                hull = convex_hull(part[["y", "x"]].to_numpy(float))
+                yield pd.DataFrame({"image": [image] * len(hull), "y": hull[:, 0], "x": hull[:, 1]})
+
+    def widest(key, rows):
+        hull = convex_hull(rows[["y", "x"]].to_numpy(float))
+        return pd.DataFrame({"image": [key[0]], "far": [max(float(np.sqrt(((hull - h) ** 2).sum(axis=1).max())) for h in hull)]})
+
+    kind = dict(cells.dtypes)["image"]
+    own = cells.select("image", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).mapInPandas(corners, f"image {kind}, y double, x double")
+    return own.groupBy("image").applyInPandas(widest, f"image {kind}, far double")
+
+
 def class_distance_stats(cells: DataFrame, scaled: bool = False, target: str = T_CELL) -> DataFrame:
     """Mean, median and least distance of each cell to the class in its image; scaled by the image's least and greatest if asked."""
     pairs = image_pairs(cells, cells.where(F.col("cell_type") == target)).withColumn("d", F.sqrt("d2"))
@@ -97,27 +171,34 @@ def _bcells(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("cell_type").isin(DZ, LZ))
 
 
-def _opposite(cells: DataFrame, alpha: float, count_all: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of B cells, and per image ``k = max(1, int(alpha * cells))``, counted over all cells or over B cells."""
-    b = _bcells(cells)
-    counted = (cells if count_all else b).groupBy(F.col("image").alias("ki")).agg(F.greatest(F.lit(1), F.floor(alpha * F.count("*"))).cast("int").alias("k"))
-    return image_pairs(b), counted
+def _counted(cells: DataFrame, alpha: float) -> DataFrame:
+    """Per image ``k = max(1, int(alpha * cells))``."""
+    return cells.groupBy(F.col("image").alias("bi")).agg(F.greatest(F.lit(1), F.floor(alpha * F.count("*"))).cast("int").alias("bk"))
+
+
+def _opposite_means(b: DataFrame, counted: DataFrame) -> DataFrame:
+    """``image, id, d``: mean distance of each B cell to its k nearest of the other type."""
+    near = []
+    for own, other in ((DZ, LZ), (LZ, DZ)):
+        asked = b.where(F.col("cell_type") == own).join(counted, F.col("image") == F.col("bi")).drop("bi")
+        near.append(k_nearest(asked, b.where(F.col("cell_type") == other), F.col("bk")))
+    return near[0].unionByName(near[1]).groupBy("image", "id").agg(F.avg(F.sqrt("d2")).alias("d"))
 
 
 def border_scaled_distance(cells: DataFrame, alpha: float = 0.02, least: int = 10) -> DataFrame:
     """Mean of the k nearest distances to the other B-cell type over the image's greatest B-cell distance; images of fewer than ``least`` B cells are left out."""
-    pairs, counted = _opposite(cells, alpha, False)
-    sized = _bcells(cells).groupBy(F.col("image").alias("si")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    far = pairs.groupBy(F.col("image").alias("fi")).agg(F.sqrt(F.max("d2")).alias("far"))
-    near = ranked(pairs.where(F.col("cell_type") != F.col("tt"))).join(counted, F.col("image") == F.col("ki")).where(F.col("rn") <= F.col("k"))
-    means = near.groupBy("image", "id").agg(F.avg(F.sqrt("d2")).alias("d"))
+    b = _bcells(cells)
+    sized = b.groupBy(F.col("image").alias("si")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    far = farthest(b).withColumnRenamed("image", "fi")
+    means = _opposite_means(b, _counted(b, alpha))
     return means.join(sized, F.col("image") == F.col("si"), "left_semi").join(far, F.col("image") == F.col("fi")).select("image", "id", F.try_divide("d", "far").alias("scaled_distance"))
 
 
 def border_frequency(cells: DataFrame, n: int = 50, least: int = 10) -> DataFrame:
     """Share of a B cell's own type among its n nearest B cells, and its distance from one half."""
-    pairs = ranked(image_pairs(_bcells(cells)).where(F.col("id") != F.col("tid"))).where(F.col("rn") <= n)
-    sized = _bcells(cells).groupBy(F.col("image").alias("si")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    b = _bcells(cells)
+    pairs = k_nearest(b, b, F.lit(n), F.col("id") != F.col("tid"))
+    sized = b.groupBy(F.col("image").alias("si")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     share = pairs.groupBy("image", "id").agg(F.avg(F.when(F.col("cell_type") == F.col("tt"), 1.0).otherwise(0.0)).alias("same_type"))
     return share.join(sized, F.col("image") == F.col("si"), "left_semi").select("image", "id", "same_type", F.abs(F.col("same_type") - 0.5).alias("frequency_distance"))
 
@@ -128,11 +209,10 @@ def border_proximity(borders: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 def border_legacy(cells: DataFrame, alpha: float = 0.02) -> DataFrame:
     """Older measure: k over all cells of the image, distances scaled to 0..1 within it, and ``abs(2 f - 1)`` for the share f of DZ cells among the k nearest."""
-    pairs, counted = _opposite(cells, alpha, True)
-    near = ranked(pairs.where(F.col("cell_type") != F.col("tt"))).join(counted, F.col("image") == F.col("ki")).where(F.col("rn") <= F.col("k"))
-    means = near.groupBy("image", "id").agg(F.avg(F.sqrt("d2")).alias("d"))
+    b, counted = _bcells(cells), materialized(_counted(cells, alpha))
+    means = _opposite_means(b, counted)
     ends = means.groupBy(F.col("image").alias("ei")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    any_type = ranked(pairs.where(F.col("id") != F.col("tid"))).join(counted, F.col("image") == F.col("ki")).where(F.col("rn") <= F.col("k"))
+    any_type = k_nearest(b.join(counted, F.col("image") == F.col("bi")).drop("bi"), b, F.col("bk"), F.col("id") != F.col("tid"))
     share = any_type.groupBy(F.col("image").alias("fi"), F.col("id").alias("fid")).agg(F.avg(F.when(F.col("tt") == DZ, 1.0).otherwise(0.0)).alias("f"))
     out = means.join(ends, F.col("image") == F.col("ei")).join(share, (F.col("image") == F.col("fi")) & (F.col("id") == F.col("fid")))
     return out.select("image", "id", F.try_divide(F.col("d") - F.col("lo"), F.col("hi") - F.col("lo")).alias("scaled_distance"), F.abs(2 * F.col("f") - 1).alias("frequency_distance")).dropna()

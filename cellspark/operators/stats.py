@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspark.functions.special import t_p_value, z_p_value
 
-from .frame import average_rank
+from .frame import numbered, running, with_average_rank
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -24,16 +24,17 @@ def welch(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column
 
 
 def adjust_fdr(df: DataFrame, p: str, order: list[str], method: str = "fdr_bh", name: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg over all rows; a missing p counts as 1.
+    """Benjamini-Hochberg over all rows; a missing p counts as 1. ``order`` tells rows of one p apart.
 
-    The running minimum needs one order over the family of tests, a table of features and not of data.
+    Ranks and the running minimum come from range-sorted passes, so that the tests may be as many as the data.
     """
     if method != "fdr_bh":
         raise ValueError(f"unknown correction {method!r}")
     filled = df.withColumn("_p", F.coalesce(p, F.lit(1.0)))
-    ranked = filled.withColumn("_rank", F.row_number().over(Window.orderBy("_p", *order))).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    back = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(back))).drop("_p", "_rank", "_m")
+    total = filled.agg(F.count("*").alias("_m"))
+    ranked = numbered(filled, [F.col("_p").asc(), *(F.col(c).asc() for c in order)], name="_rank").join(F.broadcast(total))  # one row
+    out = running(ranked, [F.desc("_rank")], least={"_q": F.col("_p") * F.col("_m") / F.col("_rank")})
+    return out.withColumn(name, F.least(F.lit(1.0), "_q")).drop("_p", "_rank", "_m", "_q")
 
 
 def _sums(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,8 +85,7 @@ def rank_sums(long: DataFrame) -> DataFrame:
     """
     counts = long.groupBy("feature", "label", "value").agg(F.count("*").alias("k"))
     ties = counts.groupBy("feature", "value").agg(F.sum("k").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ties = ties.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ties = running(ties, [F.col("value").asc()], ("feature",), sums={"upto": F.col("t")}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     total = ties.groupBy(F.col("feature").alias("tf")).agg(F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
     joined = counts.join(ties.select(F.col("feature").alias("rf"), F.col("value").alias("rv"), "rank"), (F.col("feature") == F.col("rf")) & (F.col("value") == F.col("rv")))
     sums = joined.groupBy("feature", "label").agg(F.sum(F.col("k") * F.col("rank")).alias("r1"), F.sum("k").alias("n1")).join(total, F.col("feature") == F.col("tf"))
@@ -99,7 +99,7 @@ def rank_sums(long: DataFrame) -> DataFrame:
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Signed-rank sums of ``a - b``, zeros left out; ``w`` is the lesser, z its normal score with ties corrected."""
     d = pairs.withColumn("d", F.col("a") - F.col("b")).where("d <> 0").withColumn("m", F.abs("d"))
-    ranked = d.withColumn("r", average_rank(F.col("m"), *keys))
+    ranked = with_average_rank(d, "m", tuple(keys), "r")
     g = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.count("*").cast("double").alias("n"))
     ties = d.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), "m").agg(F.count("*").cast("double").alias("t")).groupBy(*(f"_{k}" for k in keys)).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
     n, w = F.col("n"), F.least("up", "down")
@@ -108,8 +108,24 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, w.alias("w"), F.col("n").cast("long").alias("n"), z.alias("z")).withColumn("pval", z_p_value(F.col("z")))
 
 
-def group_difference(long: DataFrame, group: str, first: str, second: str) -> DataFrame:
-    """Means, sample spreads, counts, Welch test and Cohen's d (mean of the two variances) of two groups, by feature."""
+def group_difference(long: DataFrame, group: str, first: str, second: str, test: str = "welch", key: str | None = None) -> DataFrame:
+    """Means, sample spreads, counts, a test and Cohen's d (mean of the two variances) of two groups, by feature.
+
+    ``test``: welch, mannwhitneyu, or wilcoxon, which pairs the groups' rows by their places in the order of ``key``.
+    """
+    if test not in ("welch", "mannwhitneyu", "wilcoxon"):
+        raise ValueError(f"unknown test {test!r}")
+    both = group_difference(long, group, first, second) if test != "welch" else None
+    if test == "mannwhitneyu":
+        two = long.where(F.col(group).isin(first, second)).select("feature", F.col(group).alias("label"), "value")
+        u = rank_sums(two).where(F.col("label") == first).select(F.col("feature").alias("_f"), F.col("u").alias("statistic"), z_p_value(F.col("z")).alias("pval"))
+        return both.drop("statistic", "df", "pval").join(u, F.col("feature") == F.col("_f"), "left").drop("_f")
+    if test == "wilcoxon":
+        if key is None:
+            raise ValueError("a paired test needs the column that orders the rows")
+        side = lambda g, name: numbered(long.where((F.col(group) == g) & F.col("value").isNotNull()).select("feature", key, F.col("value").alias(name)), [F.col(key).asc()], ("feature",), "_at").drop(key)
+        w = wilcoxon(side(first, "a").join(side(second, "b"), ["feature", "_at"]), ["feature"]).select(F.col("feature").alias("_f"), F.col("w").alias("statistic"), "pval")
+        return both.drop("statistic", "df", "pval").join(w, F.col("feature") == F.col("_f"), "left").drop("_f")
     in1, in2 = F.col(group) == first, F.col(group) == second
     side = lambda f, c: f(F.when(c, F.col("value")))
     g = long.where(in1 | in2).groupBy("feature").agg(
@@ -136,23 +152,33 @@ def boundary_differences(long: DataFrame, least: int = 10) -> DataFrame:
 def correlations(long: DataFrame) -> DataFrame:
     """``feature, n, pearson_r, spearman_r, spearman_p`` from ``feature, value, target``; at least three pairs."""
     rows = long.where("value is not null and target is not null")
-    ranks = rows.withColumn("rv", average_rank(F.col("value"), "feature")).withColumn("rt", average_rank(F.col("target"), "feature"))
-    g = ranks.groupBy("feature").agg(F.count("*").alias("n"), F.corr("value", "target").alias("pearson_r"), F.corr("rv", "rt").alias("spearman_r")).where("n >= 3")
+    ranks = with_average_rank(with_average_rank(rows, "value", ("feature",), "rv"), "target", ("feature",), "rt")
+    # Null, not an error, for a column without spread.
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    g = ranks.groupBy("feature").agg(F.count("*").alias("n"), corr("value", "target").alias("pearson_r"), corr("rv", "rt").alias("spearman_r")).where("n >= 3")
     rho = F.col("spearman_r")
     t = F.try_divide(rho * F.sqrt((F.col("n") - 2).cast("double")), F.sqrt(F.greatest(1 - rho * rho, F.lit(0.0))))
     p = F.when(F.abs(rho) >= 1, F.lit(0.0)).otherwise(t_p_value(t, (F.col("n") - 2).cast("double")))
     return g.withColumn("spearman_p", p)
 
 
+#: Rows of one feature that a permutation test takes: each task holds a feature's two columns and ``_CELLS`` shuffled numbers.
+MAX_PAIRS, _CELLS = 1_000_000, 4_000_000
+
+
 def permutation_p(long: DataFrame, n_permutations: int = 10_000, seed: int = 42, method: str = "pearson", block: int = 512) -> DataFrame:
     """``feature, p``: share of shuffles of the target whose correlation is at least as strong; 1 / (n + 1) for none.
 
-    Rows are the medians of images or cells of one feature; shuffles are dealt over tasks in blocks and only
-    their counts come together.
+    Rows are the medians of images, or the cells, of one feature; shuffles are dealt over tasks in blocks and only
+    their counts come together. A feature of more than ``MAX_PAIRS`` rows is an error, raised before any work: a
+    shuffle needs all of them in one place.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
     blocks = -(-n_permutations // block)
+    most = long.where("value is not null and target is not null").groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_PAIRS:
+        raise ValueError(f"a feature has {most} pairs; permutation tests take {MAX_PAIRS}: aggregate them first")
     packed = long.where("value is not null and target is not null").groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("value", "target"))).alias("rows"))
     dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(F.col("feature"), F.col("block"))
 
@@ -168,9 +194,12 @@ def permutation_p(long: DataFrame, n_permutations: int = 10_000, seed: int = 42,
                 if len(x) < 3 or scale == 0:
                     continue
                 rng = np.random.default_rng([seed, int(b)])
-                n = min(block, n_permutations - b * block)
-                shuffled = rng.permuted(np.broadcast_to(y, (n, len(y))), axis=1)
-                out.append((feature, int((np.abs(shuffled @ x) >= abs(float(x @ y)) * (1 - 1e-12)).sum())))
+                n, hits = min(block, n_permutations - b * block), 0
+                at_once = max(1, min(n, _CELLS // len(y)))
+                for k in range(0, n, at_once):
+                    shuffled = rng.permuted(np.broadcast_to(y, (min(at_once, n - k), len(y))), axis=1)
+                    hits += int((np.abs(shuffled @ x) >= abs(float(x @ y)) * (1 - 1e-12)).sum())
+                out.append((feature, hits))
             yield pd.DataFrame(out, columns=["feature", "hits"])
 
     counts = dealt.mapInPandas(run, f"feature {dict(long.dtypes)['feature']}, hits long").groupBy("feature").agg(F.sum("hits").alias("hits"))
@@ -185,5 +214,30 @@ def correlation_screen(long: DataFrame, n_permutations: int = 10_000, seed: int
     return out.orderBy("pearson_p_adj", "feature")
 
 
+def legacy_correlation(rows: DataFrame, value: str, target: str, kinds: list[str] | None = None, n_permutations: int = 100_000, seed: int = 1234) -> DataFrame:
+    """``n, pearson_r, p`` of one feature and target by permutation, over cells of the given types only if any are given."""
+    rows = rows if kinds is None else rows.where(F.col("cell_type").isin(*kinds))
+    long = rows.select(F.lit(value).alias("feature"), F.col(value).cast("double").alias("value"), F.col(target).cast("double").alias("target"))
+    p = permutation_p(long, n_permutations, seed).select(F.col("feature").alias("pf"), "p")
+    return correlations(long).join(p, F.col("feature") == F.col("pf"), "left").select("feature", "n", "pearson_r", "p")
+
+
+def legacy_screen(long: DataFrame, n_permutations: int = 100_000, seed: int = 1234) -> DataFrame:
+    """Permutation screen of each feature with the target: features without a correlation are left out, p is adjusted."""
+    found = correlations(long).where("pearson_r is not null and not isnan(pearson_r)").select("feature", "n", "pearson_r")
+    p = permutation_p(long, n_permutations, seed).select(F.col("feature").alias("pf"), "p")
+    return adjust_fdr(found.join(p, F.col("feature") == F.col("pf")).drop("pf"), "p", ["feature"])
+
+
+def sorted_markers(markers: DataFrame) -> DataFrame:
+    """By adjusted p over all labels, then by p within a label."""
+    return markers.orderBy("p_adj", "label", "pval", "feature")
+
+
+def first_markers(markers: DataFrame, n: int = 6, alpha: float = 0.05) -> DataFrame:
+    """The first n significant markers by adjusted p."""
+    return markers.where(F.col("p_adj") < alpha).orderBy("p_adj", "pval", "label", "feature").limit(n)
+
+
 def regression_lines(rows: DataFrame, hue: str, x: str, y: str) -> DataFrame:
     return rows.groupBy(hue).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.count("*").alias("n"))

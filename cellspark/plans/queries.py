@@ -524,7 +524,7 @@ def bh_adjust(d: Views) -> DataFrame:
 
 @query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS avg_rank FROM part")
 def avg_ranks(d: Views) -> DataFrame:
-    return d.table("part").select("p_partkey", frame.average_rank(F.col("p_size"), "p_brand").alias("avg_rank"))
+    return frame.with_average_rank(d.table("part").select("p_partkey", "p_brand", "p_size"), "p_size", ("p_brand",), "avg_rank").select("p_partkey", "avg_rank")
 
 
 _MWU = "v AS (SELECT c_nationkey AS feature, c_mktsegment AS label, round(c_acctbal, -2) AS value FROM customer), k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rk FROM v), tie AS (SELECT feature, sum(t * t * t - t) AS tie, sum(t) AS n FROM (SELECT feature, value, CAST(count(*) AS DOUBLE) AS t FROM v GROUP BY ALL) GROUP BY ALL), s AS (SELECT feature, label, sum(rk) AS r1, CAST(count(*) AS DOUBLE) AS n1 FROM k GROUP BY ALL)"

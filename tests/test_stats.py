@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from cellspark.functions import special
 from cellspark.operators import celltype, frame, ml, stats
@@ -127,3 +128,66 @@ def test_queries_leave_nothing_out(spark, monkeypatch):
     assert seen["forest"] == [(every, "kind", "nuc_id", {})] * 2 and seen["embedding"] == [(every, {})]
     assert seen["probability"][0][-1] == {} and seen["screen"] == [({},)]
     assert seen["metadata"][0][0] == ["c_acctbal", "name_length"] and len(seen["metadata"][0]) == 3 and seen["metadata"][0][-1] == {}
+
+
+def test_running_values_over_ranges(spark):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 101, i) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, v int, i int").repartition(6)
+    got = frame.running(df, [F.col("v").asc(), F.col("i").asc()], sums={"upto": F.col("v")}, least={"low": -F.col("i")}, previous={"before": F.col("i")}).collect()
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    want = {}
+    for n, r in enumerate(order):
+        want[r[2]] = (sum(x[1] for x in order[: n + 1]), min(-x[2] for x in order[: n + 1]), order[n - 1][2] if n else None)
+    assert {r.i: (r.upto, r.low, r.before) for r in got} == want
+    keyed = frame.numbered(df, [F.col("v").asc(), F.col("i").asc()], ("k",)).collect()
+    for k in (None, 0, 1, 2):
+        mine = [r[2] for r in order if r[0] == k]
+        assert {r.i: r.rn for r in keyed if r.k == k} == {i: n + 1 for n, i in enumerate(mine)}
+    assert frame.running(df.where("false"), [F.col("v").asc()], sums={"upto": F.col("v")}).count() == 0
+
+
+def test_evaluation_variants(spark):
+    rows = [(i, i % 10 // 2 % 3, "ab"[(i * 7) % 3 == 0], "ab"[(i * 5) % 4 == 0], ((i * 31) % 17) / 17) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, fold int, truth string, predicted string, score double")
+    scores = {r.fold: r for r in ml.fold_scores(df, "truth").collect()}
+    shares = {}
+    for f in range(3):
+        mine = [(t, p) for _, g, t, p, _ in rows if g == f]
+        assert abs(scores[f].accuracy - np.mean([t == p for t, p in mine])) < 1e-12
+        recall = [np.mean([p == c for t, p in mine if t == c]) for c in "ab"]
+        f1 = [2 * sum(t == p == c for t, p in mine) / (sum(t == c for t, _ in mine) + sum(p == c for _, p in mine)) for c in "ab"]
+        assert abs(scores[f].balanced_accuracy - np.mean(recall)) < 1e-12 and abs(scores[f].f1_macro - np.mean(f1)) < 1e-12
+        for c in "ab":
+            for q in "ab":
+                shares.setdefault((c, q), []).append(np.mean([p == q for t, p in mine if t == c]))
+    assert {(r.truth, r.predicted): round(r.share, 9) for r in ml.mean_fold_confusion(df, "truth").collect()} == {k: round(float(np.mean(v)), 9) for k, v in shares.items()}
+    curve = {round(r.fpr * 10): r.tpr for r in ml.mean_roc(df.withColumn("y", (F.col("truth") == "b").cast("int")), "y", "score", points=11).collect()}
+    want = np.zeros(11)
+    for f in range(3):
+        y, s = (np.array(x) for x in zip(*[(t == "b", s) for _, g, t, _, s in rows if g == f], strict=True))
+        at = np.sort(np.unique(s))[::-1]
+        fpr, tpr = [0.0, *((s[~y] >= a).mean() for a in at)], [0.0, *((s[y] >= a).mean() for a in at)]
+        want += [max([t for x, t in zip(fpr, tpr, strict=True) if abs(x - g) < 1e-9], default=np.interp(g, fpr, tpr)) for g in np.linspace(0, 1, 11)]
+    want = want / 3
+    want[0], want[-1] = 0, 1
+    assert np.allclose([curve[i] for i in range(11)], want)
+    folds = ml.ordered_folds(df, "truth", "id", 4).collect()
+    for c in "ab":
+        ids = [r.fold for r in sorted(folds, key=lambda r: r.id) if r.truth == c]
+        assert ids == sorted(ids) and max(ids.count(k) for k in range(4)) - min(ids.count(k) for k in range(4)) <= 1
+    assert ml.accuracy(df, "truth", "predicted").first()[0] == np.mean([t == p for _, _, t, p, _ in rows])
+    assert ml.n_clusters(spark.createDataFrame([(0,), (1,), (1,), (-1,)], "cluster int")).first()[0] == 2
+
+
+def test_paired_and_rank_tests_of_two_groups(spark):
+    rows = [("f", g, i, float((i * 13 + (g == "x") * 5) % 29)) for i in range(30) for g in "xy"]
+    df = spark.createDataFrame(rows, "feature string, g string, id int, value double")
+    (w,) = stats.group_difference(df, "g", "x", "y", "wilcoxon", "id").collect()
+    d = np.array([a[3] for a in rows if a[1] == "x"]) - np.array([a[3] for a in rows if a[1] == "y"])
+    ranks = pd.Series(np.abs(d[d != 0])).rank().to_numpy()
+    assert w.statistic == min(ranks[d[d != 0] > 0].sum(), ranks[d[d != 0] < 0].sum()) and 0 < w.pval <= 1 and w.n1 == 30
+    (u,) = stats.group_difference(df, "g", "x", "y", "mannwhitneyu").collect()
+    assert u.statistic == sum((a[3] > b[3]) + 0.5 * (a[3] == b[3]) for a in rows if a[1] == "x" for b in rows if b[1] == "y")
+    markers = stats.sorted_markers(stats.find_markers(df.withColumnRenamed("g", "label"))).collect()
+    assert [m.p_adj for m in markers] == sorted(m.p_adj for m in markers)
+    assert frame.centroid_columns(["a", "x_Centroid", "centroid_0", "centroid_1"]) == ("centroid_0", "centroid_1") and frame.centroid_columns(["My_centroid_y", "b", "centroidX"]) == ("My_centroid_y", "centroidX")
