@@ -185,21 +185,39 @@ def _open_ends(length: int):
 
 
 def _contexts(length: int):
-    """mapInArrow function: the bytes that the windows of each wanted anchor reach."""
+    """mapInArrow function: the bytes that the windows of each wanted anchor reach.
+
+    An anchor that its document leaves open has a row of its own (``dk, pos``). Of the others, which only lend their
+    bytes, those that a task meets again are counted in one row.
+    """
+
+    def flat(rows):
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kh", "c1", "c2", "dk", "pos", "off", "n", "ctx"])
 
     def run(batches):
+        lent: dict[tuple, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for dk, text, wanted in zip(part.column("dk").to_pylist(), part.column("text"), part.column("wanted").to_pylist(), strict=True):
-                    raw = text.as_buffer().to_pybytes()
+                for dk, text, wanted, grams in zip(part.column("dk").to_pylist(), part.column("text"), part.column("wanted").to_pylist(), part.column("grams").to_pylist(), strict=True):
+                    raw, still = text.as_buffer().to_pybytes(), set(grams)
                     for m in wanted:
-                        ctx = raw[m["lo"] : m["hi"] + length]
-                        digest = xxhash.xxh3_128_intdigest(ctx + (m["pos"] - m["lo"]).to_bytes(4, "little"))
-                        rows.append((m["h"], (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63, dk, m["pos"], m["pos"] - m["lo"], ctx))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kh", "c1", "c2", "dk", "pos", "off", "ctx"])
+                        ctx, off = raw[m["lo"] : m["hi"] + length], m["pos"] - m["lo"]
+                        digest = xxhash.xxh3_128_intdigest(ctx + off.to_bytes(4, "little"))
+                        key = (m["h"], (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63)
+                        if m["h"] in still:
+                            rows.append((*key, dk, m["pos"], off, 1, ctx))
+                        elif key in lent:
+                            lent[key][1] += 1
+                        else:
+                            lent[key] = [off, 1, ctx]
+                if len(lent) > 20_000:
+                    rows += [(*key, None, None, *rest) for key, rest in lent.items()]
+                    lent.clear()
+                yield flat(rows)
+        yield flat([(*key, None, None, *rest) for key, rest in lent.items()])
 
     return run
 
@@ -405,10 +423,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     partners = _among(grams, ["h"], wanted, many).groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
     # Repeated rows have one key, one list of marks for all of them and so one context for each.
     once = partners.withColumn("wanted", F.array_distinct("wanted"))
-    cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted")
-    contexts = store(cut.mapInArrow(_contexts(length), "kh long, c1 long, c2 long, dk long, pos int, off int, ctx binary"), "contexts")
+    once = once.join(covered.select(F.col("dk").alias("ck"), "grams"), F.col("pk") == F.col("ck"))
+    cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted", "grams")
+    contexts = store(cut.mapInArrow(_contexts(length), "kh long, c1 long, c2 long, dk long, pos int, off int, n long, ctx binary"), "contexts")
 
-    distinct = contexts.groupBy("kh", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.count("*").alias("n"))
+    distinct = contexts.groupBy("kh", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.sum("n").alias("n"))
     sizes = contexts.select("kh", "c1", "c2").distinct().groupBy(F.col("kh").alias("gk")).agg(F.count("*").alias("size"))
     distinct = store(distinct.join(sizes, F.col("kh") == F.col("gk")).drop("gk"), "distinct-contexts")
     n_buckets = max(1, distinct.count() // 1000)
@@ -422,7 +441,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         hits = each.join(again, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi")
         solved = solved.unionByName(hits.groupBy("c1", "c2").agg(F.max("l").cast("int").alias("most"), F.min("l").cast("int").alias("least")))
     solved = solved.withColumnsRenamed({"c1": "s1", "c2": "s2"})
-    ends = contexts.join(solved, (F.col("c1") == F.col("s1")) & (F.col("c2") == F.col("s2"))).select("dk", F.struct((F.col("pos") - F.col("most")).alias("s"), (F.col("pos") - F.col("least") + length).alias("e")).alias("part"))
+    ends = contexts.where("dk is not null").join(solved, (F.col("c1") == F.col("s1")) & (F.col("c2") == F.col("s2"))).select("dk", F.struct((F.col("pos") - F.col("most")).alias("s"), (F.col("pos") - F.col("least") + length).alias("e")).alias("part"))
     stretches = covered.select("dk", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("dk", F.struct(F.col("x.starts").alias("s"), F.col("x.ends").alias("e")).alias("part"))
     parts = ends.unionByName(stretches).groupBy("dk").agg(F.collect_list("part").alias("parts"))
 
