@@ -16,6 +16,7 @@ one in a hundred bytes. Prefix polynomial hashes give the hash of any string in
    right share a window. Grams of more than ``HOT`` distinct contexts are counted window by
    window in Spark instead, so that no task gathers them.
 
+The texts are dealt once, into buckets of their keys; the joins that follow move marks and intervals to them.
 Grams and windows that hold a large share of the rows are told to all tasks as a bounded list instead of being
 joined, so that no task gathers them.
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .common import drop, read_table, store
+from .common import drop, read_table, store, store_by
 
 LENGTH, GRAM = 400, 200
 #: Distinct contexts of one gram that are sorted in one task at most.
@@ -400,10 +401,15 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     With ``words``, strings of that many words instead of ``length`` bytes are held against each other, and the intervals are in ``CODE`` bytes a word.
     """
-    texts = docs.select(_key().alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    return _spans(store_by(docs.select(_key().alias("__dk"), "text"), "__dk", "texts"), length, gram, hot, words)
+
+
+def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
+    """docs: ``__dk, text``, stored in buckets of ``__dk``."""
+    texts = docs.select(F.col("__dk").alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
     if words:
         length, gram = CODE * words, CODE * (words // 2)
-        texts = texts_of = store(texts.where(F.octet_length("text") >= 2 * words - 1).select("dk", _word_codes("text").alias("text")), "word-codes")
+        texts = texts_of = store_by(texts.where(F.octet_length("text") >= 2 * words - 1).select("dk", _word_codes("text").alias("text")), "dk", "word-codes", deal=False)
     texts = texts.select("dk", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = store(texts.mapInArrow(_scan(length, gram), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, f1 array<long>, f2 array<int>"), "anchors")
     marks = found.select("dk", F.explode(F.arrays_zip("pos", "lo", "hi", "kh", "f1", "f2")).alias("x")).select(F.col("x.kh").alias("h"), "dk", "x.pos", "x.lo", "x.hi", "x.f1", "x.f2")
@@ -487,8 +493,9 @@ def _rest_of_words(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Arra
 
 def _with_spans(docs: DataFrame, **sizes: int) -> DataFrame:
     """All columns of docs and ``__starts, __ends``, null where nothing goes."""
-    found = spans(docs, **sizes).select(F.col("dk").alias("__sk"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    return docs.withColumn("__dk", _key()).join(found, F.col("__dk") == F.col("__sk"), "left").drop("__dk", "__sk")
+    keyed = store_by(docs.withColumn("__dk", _key()), "__dk", "keyed-documents")
+    found = _spans(keyed, **sizes).select(F.col("dk").alias("__sk"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    return keyed.join(found, F.col("__dk") == F.col("__sk"), "left").drop("__dk", "__sk")
 
 
 #: Python gets the texts that lose something only.
