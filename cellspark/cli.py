@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspark.functions.scalar import nuc_id, parse_channels
-from cellspark.operators import geometry, intensity, pixels
+from cellspark.operators import frame, geometry, intensity, pixels
 from cellspark.plans import analysis
 from cellspark.plans.config import default_config, load_config, save_config
 from cellspark.session import session
@@ -84,29 +84,70 @@ def segment(spark, source: str, output: str, cut: float = 0.43) -> None:
     pixels.connected_objects(pixels.threshold_objects(scaled, cut * 255)).write.mode("overwrite").partitionBy("image").parquet(output)
 
 
-def nuclear_features(raw: DataFrame, labelled: DataFrame) -> DataFrame:
-    """One wide row for each object: shape, outline, intensity, texture and moments."""
-    rows = pixels.levels(raw, labelled).persist()
+#: Feature families that can be asked for.
+FAMILIES = ("simple_geometry", "calliper_distances", "radii_features", "curvature", "int_dist_features", "hc_ec_ratios_features", "gclm_features", "moments_features")
+
+
+def moment_features(rows: DataFrame) -> DataFrame:
+    """All 112: raw, central, normalised and Hu moments, weighted by intensity and not, and the weighted centroid from the box's corner."""
+    keys, out = ["image", "label"], None
+    grid = [(p, q) for p in range(4) for q in range(4)]
+    for head, weighted in (("weighted_moments", True), ("moments", False)):
+        raw = intensity.raw_moments(rows, weighted=weighted)
+        central = intensity.central_moments(raw)
+        normal = intensity.normalized_moments(central)
+        tables_ = [
+            raw.select(*keys, *(F.col(f"m_{p}{q}").alias(f"{head}-{p}-{q}") for p, q in grid)),
+            central.select(*keys, *([F.col("cy").alias("weighted_centroid-0"), F.col("cx").alias("weighted_centroid-1")] if weighted else []), *(F.col(f"mu_{p}{q}").alias(f"{head}_central-{p}-{q}") for p, q in grid)),
+            normal.select(*keys, *(F.col(f"nu_{p}{q}").alias(f"{head}_normalized-{p}-{q}") for p, q in grid)),
+            intensity.hu_moments(normal).withColumnsRenamed({f"hu_{i}": f"{head}_hu-{i}" for i in range(7)}),
+        ]
+        for t in tables_:
+            out = t if out is None else out.join(t, keys)
+    return out
+
+
+def nuclear_features(raw: DataFrame, labelled: DataFrame, families: tuple[str, ...] = FAMILIES, normalize: bool = True) -> DataFrame:
+    """One wide row for each object with the families asked for; ``normalize`` stretches each image to 0..255 first."""
+    if unknown := set(families) - set(FAMILIES):
+        raise ValueError(f"unknown families {sorted(unknown)}")
+    if normalize:
+        raw = pixels.minmax_normalize(raw).select("image", "y", "x", F.coalesce("scaled", F.lit(0.0)).alias("v"))
+    rows = frame.materialized(pixels.levels(raw, labelled))
     keys = ["image", "label"]
-    raws = intensity.raw_moments(rows)
-    normal = intensity.normalized_moments(intensity.central_moments(raws))
-    texture = intensity.glcm(rows)
-    names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation")
-    wide = texture.groupBy(*keys).agg(*(F.max(F.when(F.col("d") == d, F.col(c))).alias(f"{c}_{d}") for d in (1, 5, 20) for c in names))
-    out = intensity.shape_from_moments(rows)
-    for part in (geometry.geometry(rows), intensity.intensity_stats(rows), intensity.entropy(rows), intensity.condensation(rows), wide, raws, intensity.central_moments(raws).drop("cy", "cx"), intensity.hu_moments(normal)):
+    out, parts = rows.select(*keys).distinct(), []
+    shaped = [c for name, columns in (("radii_features", geometry.RADII), ("calliper_distances", geometry.CALLIPER), ("simple_geometry", geometry.HULL), ("curvature", geometry.CURVATURE)) if name in families for c in columns]
+    if "simple_geometry" in families:
+        parts.append(intensity.shape_from_moments(rows))
+    if shaped:
+        parts.append(geometry.geometry(rows).select(*keys, *shaped))
+    if "int_dist_features" in families:
+        parts += [intensity.intensity_stats(rows), intensity.entropy(rows)]
+    if "hc_ec_ratios_features" in families:
+        parts.append(intensity.condensation(rows))
+    if "gclm_features" in families:
+        names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation")
+        parts.append(intensity.glcm(rows).groupBy(*keys).agg(*(F.max(F.when(F.col("d") == d, F.col(c))).alias(f"{c}_{d}") for d in (1, 5, 20) for c in names)))
+    if "moments_features" in families:
+        parts.append(moment_features(rows))
+    for part in parts:
         out = out.join(part, keys, "left")
     return out.withColumn("nuc_id", nuc_id())
 
 
+def protein_levels(picture: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The eleven intensity statistics of each object."""
+    found = pixels.levels(picture, labelled)
+    return intensity.intensity_stats(found).join(intensity.entropy(found), ["image", "label"]).withColumn("nuc_id", nuc_id())
+
+
 def extract(spark, raw: str, labels: str, output: str, proteins: list[str], cells: bool = False, radius: int = 10) -> None:
     picture, labelled = spark.read.parquet(raw), spark.read.parquet(labels)
     tables.write_results({"nuc_features": nuclear_features(picture, labelled), "spatial_coordinates": pixels.regions(labelled).select("image", "label", nuc_id().alias("nuc_id"), F.col("centroid_y").alias("centroid-0"), F.col("centroid_x").alias("centroid-1"))}, output)
     where = pixels.expand_labels(labelled, picture, radius) if cells else labelled
     for path in proteins:
         name = path.rstrip("/").rsplit("/", 1)[-1]
-        found = pixels.levels(spark.read.parquet(path), where)
-        tables.write_results({f"{name}_levels": intensity.intensity_stats(found).withColumn("nuc_id", nuc_id())}, output)
+        tables.write_results({f"{name}_levels": protein_levels(spark.read.parquet(path), where)}, output)
 
 
 def main(argv: list[str] | None = None) -> int:

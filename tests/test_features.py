@@ -132,3 +132,25 @@ def test_connected_objects(spark):
     df = spark.createDataFrame([("a", y, x, 1 if c == "#" else 0) for y, line in enumerate(rows) for x, c in enumerate(line)], "image string, y int, x int, label int")
     got = {(r.y, r.x): r.label for r in pixels.connected_objects(df).collect()}
     assert got[0, 0] == got[1, 1] == 1 and got[0, 4] == got[3, 3] == 2 and got[3, 0] == 3 and len(got) == 10
+
+
+def test_every_family_of_nuclear_features(spark):
+    from cellspark import cli
+
+    rng = np.random.default_rng(3)
+    rows = [("i", y, x, float(rng.integers(1, 99)), 1 if x < 6 else 2) for y in range(9) for x in range(12)]
+    raw = spark.createDataFrame([r[:4] for r in rows], "image string, y int, x int, v double")
+    labels = spark.createDataFrame([(r[0], r[1], r[2], r[4]) for r in rows], "image string, y int, x int, label int")
+    out = cli.nuclear_features(raw, labels, ("moments_features", "simple_geometry"), normalize=False)
+    r = {x.label: x for x in out.collect()}[2]
+    mine = [(y, x - 6, v) for _, y, x, v, lab in rows if lab == 2]
+    m = lambda p, q, w: sum(y**p * x**q * (v if w else 1) for y, x, v in mine)
+    assert len([c for c in out.columns if "moments" in c or "weighted_centroid" in c]) == 112
+    assert r["moments-2-1"] == m(2, 1, 0) and r["weighted_moments-1-3"] == m(1, 3, 1)
+    assert abs(r["weighted_centroid-1"] - m(0, 1, 1) / m(0, 0, 1)) < 1e-9
+    assert abs(r["moments_central-2-0"] - sum((y - 4) ** 2 for y, _, _ in mine)) < 1e-6 and r["moments_normalized-0-1"] is None
+    assert abs(r["moments_hu-0"] - (r["moments_normalized-2-0"] + r["moments_normalized-0-2"])) < 1e-12
+    whole = cli.nuclear_features(raw, labels)
+    assert {"min_radius", "entropy", "i80_i20", "contrast_20", "avg_curvature", "min_calliper"} <= set(whole.columns) and whole.count() == 2
+    levels = cli.protein_levels(raw, labels)
+    assert "entropy" in levels.columns and levels.count() == 2
