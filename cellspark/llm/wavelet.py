@@ -4,9 +4,11 @@ Documents are tokenised, dealt to shards by ranges of ``doc_id`` and written, in
 ``doc_id`` order, as succinct bit planes with rank samples; token access, counting and
 occurrence lookup work on the one compressed file.
 
-File layout (little endian): magic, version, numbers of ids, planes and documents, then the
-lengths of two zlib blocks: the directory (doc ids, null flags, first ids) and the planes'
-packed bits. The rank samples are rebuilt from the planes by one popcount pass on loading.
+File layout (little endian): magic, version, numbers of ids, planes and documents, lengths of the
+directory and the table; the directory (doc ids, first ids); the table (ones before each block of
+each plane: the rank samples; ends of the blocks); the planes' packed bits in blocks of
+``BLOCK_BITS``. Each part is a zstd frame of its own, so a lookup inflates only the blocks that it
+passes, one for each plane and place.
 
 Defined results: a null or empty text holds only the end id; null ``doc_id`` rows come first
 (in the order of their texts, as do repeated ids); an empty table has no files.
@@ -22,11 +24,13 @@ import sys
 import uuid
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,123 +45,159 @@ SHARD_BYTES = 8 << 20
 #: Words held per Python worker before the memo is emptied.
 MEMO = 400_000
 _MAGIC, _HEAD = b"WVMX", struct.Struct("<4sHHQQQQ")
-_BLOCK = 64  # bits between two rank samples
+#: Bits of a plane that are compressed together.
+BLOCK_BITS = 1 << 18
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned ids, most significant first; each plane stably sorts the ids by its bit."""
-
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self.words, self.samples, self.zeros = [], [], []
-        for plane in planes:
-            padded = np.zeros(-(-n // _BLOCK) * 8 + 8, np.uint8)
-            padded[: len(plane)] = plane
-            words = padded.view("<u8")
-            ones = np.bitwise_count(words).astype(np.int64)
-            self.words.append(words)
-            self.samples.append(np.concatenate([[0], np.cumsum(ones)])[:-1])
-            self.zeros.append(n - int(ones.sum()))
+    """Bit planes of a sequence of unsigned ids, most significant first; each plane stably sorts the ids by its bit.
+
+    ``ranks``: ones before each block of each plane, and in the whole plane; ``load(plane, block)``: the packed bits.
+    """
+
+    def __init__(self, n: int, ranks: np.ndarray, load: Callable[[int, int], bytes]):
+        self.n, self.ranks, self.load = n, ranks, load
+        self.bits, self.blocks = ranks.shape[0], ranks.shape[1] - 1
+        self.zeros = (n - ranks[:, -1]).tolist()
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         ids = np.asarray(ids)
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        planes, now = [], ids
-        for level in range(bits - 1, -1, -1):
-            bit = ((now >> level) & 1).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
+        size = BLOCK_BITS // 8
+        cuts = range(0, -(-len(ids) // 8), size)
+        planes, ranks, now = [], np.zeros((bits, len(cuts) + 1), np.int64), ids
+        for plane, level in enumerate(range(bits - 1, -1, -1)):
+            bit = (now & ids.dtype.type(1 << level)) != 0
+            packed = np.packbits(bit, bitorder="little")
+            ranks[plane, 1:] = np.cumsum([int(np.bitwise_count(packed[c : c + size]).sum(dtype=np.int64)) for c in cuts])
+            planes.append(packed)
             now = np.concatenate([now[~bit], now[bit]])
-        return cls(len(ids), planes)
-
-    def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return (self.words[level][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones before each position."""
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.samples[level][at >> 6] + np.bitwise_count(self.words[level][at >> 6] & below).astype(np.int64)
+        return cls(len(ids), ranks, lambda plane, block: planes[plane][block * size : (block + 1) * size].tobytes())
+
+    def _block(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a block, and the ones of the plane before each word."""
+        if (plane, block) not in self.held:
+            packed = self.load(plane, block) if block < self.blocks else b""
+            words = np.frombuffer(packed.ljust(BLOCK_BITS // 8, b"\0"), "<u8")
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self.held[plane, block] = words, self.ranks[plane, block] + np.concatenate([[0], ones[:-1]])
+        return self.held[plane, block]
+
+    def _look(self, plane: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each place and the ones before it."""
+        bit, ones = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        block = at // BLOCK_BITS
+        for b in np.unique(block).tolist():
+            own = block == b
+            words, before = self._block(plane, b)
+            word, inside = at[own] % BLOCK_BITS >> 6, (at[own] & 63).astype(np.uint64)
+            bit[own] = (words[word] >> inside) & np.uint64(1)
+            ones[own] = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << inside) - np.uint64(1)))
+        return bit, ones
+
+    def _nth(self, plane: int, one: bool, want: np.ndarray) -> np.ndarray:
+        """The places of the ones (or zeros) that have so many of their kind before them."""
+        edges = np.minimum(np.arange(self.blocks + 1) * BLOCK_BITS, self.n)
+        block = np.searchsorted(self.ranks[plane] if one else edges - self.ranks[plane], want, side="right") - 1
+        out = np.empty(len(want), np.int64)
+        for b in np.unique(block).tolist():
+            own, first = block == b, b * BLOCK_BITS
+            words, before = self._block(plane, b)
+            count = before if one else first + np.arange(len(words)) * 64 - before
+            word = np.searchsorted(count, want[own], side="right") - 1
+            kind = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
+            out[own] = first + word * 64 + np.argmax(np.cumsum(kind, axis=1) == (want[own] - count[word] + 1)[:, None], axis=1)
+        return out
 
     def access(self, at) -> np.ndarray:
-        """The ids at the positions."""
+        """The ids at the places."""
         at = np.atleast_1d(np.asarray(at, np.int64))
         out = np.zeros(len(at), np.uint32)
-        for level in range(len(self.planes)):
-            bit = self._bit(level, at).astype(np.int64)
-            ones = self._ones(level, at)
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+        for plane in range(self.bits):
+            bit, ones = self._look(plane, at)
+            at = np.where(bit == 1, self.zeros[plane] + ones, at - ones)
             out = (out << np.uint32(1)) | bit.astype(np.uint32)
         return out
 
     def to_ids(self) -> np.ndarray:
         """All ids, by undoing the stable sorts from the last plane up."""
-        ids = np.zeros(self.n, np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            before = np.empty(self.n, np.uint32)
-            zeros = self.zeros[level]
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
+        for plane in range(self.bits - 1, -1, -1):
+            packed = b"".join([self.load(plane, b) for b in range(self.blocks)])
+            bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool)
+            before, zeros = np.empty(self.n, kind), self.zeros[plane]
             before[~bit] = ids[:zeros]
-            before[bit] = ids[zeros:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            before[bit] = ids[zeros:] | kind(1 << (self.bits - 1 - plane))
             ids = before
         return ids
 
-    def rank(self, token: int, before: int) -> int:
-        """Occurrences of the id before a position."""
-        low, high = self._range(token, before)
-        return high - low
-
     def _range(self, token: int, before: int) -> tuple[int, int]:
+        """Where the id's occurrences before a place stand below the last plane."""
         low, high = 0, before
-        if token >> len(self.planes):
+        if token >> self.bits:
             return 0, 0
-        for level in range(len(self.planes)):
-            ones = self._ones(level, np.array([low, high]))
-            if token >> (len(self.planes) - 1 - level) & 1:
-                low, high = self.zeros[level] + int(ones[0]), self.zeros[level] + int(ones[1])
+        for plane in range(self.bits):
+            ones = self._look(plane, np.array([low, high]))[1].tolist()
+            if token >> (self.bits - 1 - plane) & 1:
+                low, high = self.zeros[plane] + ones[0], self.zeros[plane] + ones[1]
             else:
-                low, high = low - int(ones[0]), high - int(ones[1])
+                low, high = low - ones[0], high - ones[1]
         return low, high
 
+    def rank(self, token: int, before: int) -> int:
+        """Occurrences of the id before a place."""
+        low, high = self._range(token, before)
+        return high - low
+
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def select(self, token: int, k: int) -> int:
-        """Position of the k-th occurrence, counted from 0; -1 if there are fewer."""
+    def positions(self, token: int, first: int = 0, end: int | None = None) -> np.ndarray:
+        """The places of the id's occurrences from the ``first``-th, counted from 0, to the one before ``end``."""
         low, high = self._range(token, self.n)
-        if not 0 <= k < high - low:
-            return -1
-        at = low + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            zeros = self.zeros[level]
-            want, one = (at - zeros, True) if at >= zeros else (at, False)
-            lo, hi = 0, self.n - 1
-            while lo < hi:  # the first position with more than ``want`` such bits up to it
-                mid = (lo + hi) // 2
-                ones = int(self._ones(level, np.array([mid + 1]))[0])
-                if (ones if one else mid + 1 - ones) > want:
-                    hi = mid
-                else:
-                    lo = mid + 1
-            at = lo
+        at = np.arange(low + first, high if end is None else min(low + end, high))
+        for plane in range(self.bits - 1, -1, -1):
+            one = bool(token >> (self.bits - 1 - plane) & 1)
+            at = self._nth(plane, one, at - self.zeros[plane] if one else at)
         return at
 
+    def select(self, token: int, k: int) -> int:
+        """Place of the k-th occurrence, counted from 0; -1 if there are fewer."""
+        found = self.positions(token, k, k + 1) if k >= 0 else []
+        return int(found[0]) if len(found) else -1
+
 
 def to_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int = 16) -> bytes:
     wm = WaveletMatrix.build(ids, bits)
-    directory = zlib.compress(np.concatenate([doc_ids, starts]).astype("<i8").tobytes(), 1)
-    planes = zlib.compress(b"".join(p.tobytes() for p in wm.planes), 1)
-    return _HEAD.pack(_MAGIC, 1, bits, len(ids), len(doc_ids), len(directory), len(planes)) + directory + planes
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=True).compress
+    blocks = [pack(wm.load(plane, b)) for plane in range(bits) for b in range(wm.blocks)]
+    directory = pack(np.concatenate([doc_ids, starts]).astype("<i8").tobytes())
+    table = pack(np.concatenate([wm.ranks.ravel(), np.cumsum([0, *map(len, blocks)])]).astype("<i8").tobytes())
+    return _HEAD.pack(_MAGIC, 2, bits, len(ids), len(doc_ids), len(directory), len(table)) + b"".join([directory, table, *blocks])
 
 
 def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, the place of each one's first id in the shard, and the ids."""
-    magic, version, bits, n, n_docs, d, p = _HEAD.unpack_from(data)
-    if (magic, version) != (_MAGIC, 1) or len(data) != _HEAD.size + d + p:
+    """Document ids, the place of each one's first id in the shard, and the ids, whose blocks are inflated once they are looked at."""
+    magic, version, bits, n, n_docs, d, t = _HEAD.unpack_from(data)
+    body = _HEAD.size + d + t
+    if (magic, version) != (_MAGIC, 2) or len(data) < body:
+        raise ValueError("not a whole wavelet-matrix file")
+    unpack = zstandard.ZstdDecompressor().decompress
+    directory = np.frombuffer(unpack(data[_HEAD.size : _HEAD.size + d]), "<i8")
+    table = np.frombuffer(unpack(data[_HEAD.size + d : body]), "<i8")
+    blocks = -(-n // BLOCK_BITS)
+    ranks, ends = table[: bits * (blocks + 1)].reshape(bits, blocks + 1), (body + table[bits * (blocks + 1) :]).tolist()
+    if len(data) != ends[-1]:
         raise ValueError("not a whole wavelet-matrix file")
-    directory = np.frombuffer(zlib.decompress(data[_HEAD.size : _HEAD.size + d]), "<i8")
-    raw = np.frombuffer(zlib.decompress(data[_HEAD.size + d :]), np.uint8)
-    width = -(-n // 8)
-    return directory[:n_docs], directory[n_docs:], WaveletMatrix(n, [raw[i * width : (i + 1) * width] for i in range(bits)])
+
+    def load(plane: int, block: int) -> bytes:
+        i = plane * blocks + block
+        return unpack(data[ends[i] : ends[i + 1]])
+
+    return directory[:n_docs], directory[n_docs:], WaveletMatrix(n, ranks, load)
 
 
 @functools.lru_cache(maxsize=2)
@@ -286,6 +326,24 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
     return docs.join(first, docs["shard"] == first["s"]).select(id_back("did").alias("doc_id"), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """``token, doc_id, place``: each occurrence of the ids, by select on the shards' files; ``place`` counts from the document's first id."""
+    wanted = sorted(set(tokens))
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                doc_ids, starts, wm = from_file(data.as_py())
+                for token in wanted:
+                    for first in range(0, wm.count(token), 50_000):
+                        at = wm.positions(token, first, first + 50_000)
+                        doc = np.searchsorted(starts, at, side="right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), token)), pa.array(doc_ids[doc]), pa.array(at - starts[doc])], ["token", "did", "place"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("content")
+    return files.mapInArrow(run, "token long, did long, place long").select("token", id_back("did").alias("doc_id"), "place")
+
+
 def op9_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

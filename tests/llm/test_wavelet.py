@@ -55,3 +55,38 @@ def test_same_as_library(spark, shard_bytes):
 def test_empty_table(spark):
     folder, shards = wavelet.write_shards(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert wavelet.read_shards(spark, folder, shards).count() == 0
+
+
+def test_lookup_inflates_few_blocks(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK_BITS", 1 << 10)
+    ids = np.random.default_rng(5).zipf(1.3, 5 * 1024 + 77).clip(max=60_000).astype("<u2")
+    data = wavelet.to_file(np.array([7]), np.array([0]), ids)
+    for at in (0, 1023, 1024, 3000, len(ids) - 1):
+        wm = wavelet.from_file(data)[2]
+        assert wm.access(at).tolist() == [ids[at]]
+        assert len(wm.held) == wm.bits == 16
+    wm = wavelet.from_file(data)[2]
+    assert (wm.access(np.arange(len(ids))) == ids).all() and (wm.to_ids() == ids).all()
+    for token in (1, 2, 3, 60_000, 59_999, 70_000):
+        places = np.flatnonzero(ids == token)
+        assert wm.count(token) == len(places)
+        assert wm.positions(token).tolist() == places.tolist()
+        assert wm.positions(token, 3, 9).tolist() == places[3:9].tolist()
+        assert [wm.select(token, k) for k in (-1, 0, len(places))] == [-1, places[0] if len(places) else -1, -1]
+        assert wm.rank(token, 2048) == (ids[:2048] == token).sum()
+
+
+def test_whole_blocks_and_no_ids(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK_BITS", 1 << 10)
+    ids = np.arange(2048, dtype="<u2") % 5
+    wm = wavelet.from_file(wavelet.to_file(np.array([7]), np.array([0]), ids))[2]
+    assert wm.count(4) == 409 and wm.select(4, 408) == 2044 and (wm.to_ids() == ids).all()
+    assert WaveletMatrix.build(np.zeros(0, "<u2"), 16).count(3) == 0
+
+
+def test_occurrences(spark):
+    docs = spark.createDataFrame([(3, "one two one"), (None, "two"), (1, ""), (2, None)], "doc_id long, text string")
+    folder, shards = wavelet.write_shards(docs, PATH, shard_bytes=8)
+    one, two = (int(np.frombuffer(wavelet.tokenize_text(w, PATH), "<u2")[0]) for w in ("one", "two"))
+    found = {tuple(r) for r in wavelet.occurrences(spark, folder, [one, two, 49_000]).collect()}
+    assert found == {(one, 3, 0), (two, 3, 1), (one, 3, 2), (two, None, 0)}
