@@ -90,6 +90,9 @@ def pair_by_stem(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def label_for_image(images: DataFrame, labels: DataFrame) -> DataFrame:
     """The label file of an image's own name, else the first that starts with its stem."""
-    rows = images.select(F.col("stem").alias("image"), "path").join(labels.select(F.col("stem").alias("label_stem"), F.col("path").alias("label_path")), F.col("label_stem").startswith(F.col("image")))
+    # Each label is listed under every beginning of its stem, so that the join is one of equal keys.
+    begins = F.transform(F.sequence(F.lit(0), F.length("stem")), lambda k: F.substring("stem", F.lit(1), k))
+    begun = labels.select(F.col("stem").alias("label_stem"), F.col("path").alias("label_path"), F.explode(begins).alias("begin"))
+    rows = images.select(F.col("stem").alias("image"), "path").join(begun, F.col("begin") == F.col("image"))
     best = rows.groupBy("image", "path").agg(F.min(F.struct((F.col("label_stem") != F.col("image")).alias("longer"), "label_path")).alias("b"))
     return best.select("image", "path", "b.label_path")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEPS = ("preprocess", "segment", "extract", "analyze")
-STATE = "step string, status string, at timestamp, processed long, error string"
+STATE = "step string, status string, at timestamp, processed long, error string, seq long"
 
 
 def process_new_files(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, fmt: str = "parquet", files_per_batch: int = 64) -> None:
@@ -35,7 +35,8 @@ class StepState:
     def _put(self, step: str, status: str, processed: int = 0, error: str | None = None) -> None:
         if step not in STEPS:
             raise ValueError(f"unknown step {step!r}")
-        row = self.spark.range(1).select(F.lit(step).alias("step"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), F.lit(processed).cast("long").alias("processed"), F.lit(error).cast("string").alias("error"))
+        seq = (self._rows().agg(F.max("seq")).first()[0] or 0) + 1  # two changes in one tick keep their order
+        row = self.spark.range(1).select(F.lit(step).alias("step"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), F.lit(processed).cast("long").alias("processed"), F.lit(error).cast("string").alias("error"), F.lit(seq).cast("long").alias("seq"))
         row.write.mode("append").parquet(self.path)
 
     def start(self, step: str) -> None:
@@ -53,7 +54,7 @@ class StepState:
 
     def status(self) -> DataFrame:
         """One row for each step, pending where nothing is known."""
-        last = self._rows().groupBy("step").agg(F.max_by(F.struct("status", "at", "processed", "error"), "at").alias("s")).select(F.col("step").alias("k"), "s.*")
+        last = self._rows().groupBy("step").agg(F.max_by(F.struct("status", "at", "processed", "error"), F.struct("seq", "at")).alias("s")).select(F.col("step").alias("k"), "s.*")
         steps = self.spark.createDataFrame([(i, s) for i, s in enumerate(STEPS)], "place int, step string")
         return steps.join(last, F.col("step") == F.col("k"), "left").select("place", "step", F.coalesce("status", F.lit("pending")).alias("status"), "at", "processed", "error").orderBy("place").drop("place")
 
