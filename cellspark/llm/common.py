@@ -52,11 +52,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store_by(df: DataFrame, key: str, name: str, deal: bool = True) -> DataFrame:
-    """:func:`store` in buckets of a key, so that joins on it move the other side only. ``deal`` off: the rows are dealt by the key already."""
+def store_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """:func:`store` in buckets of a key, so that joins on it move the other side only."""
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    rows = df.repartition(n, key) if deal else df
+    rows = df.repartition(n, key)
     rows.write.option("compression", "zstd").option("path", new_folder(spark, name)).bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 

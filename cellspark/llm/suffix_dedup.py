@@ -20,6 +20,9 @@ The texts are dealt once, into buckets of their keys; the joins that follow move
 Grams and windows that hold a large share of the rows are told to all tasks as a bounded list instead of being
 joined, so that no task gathers them.
 
+Strings of words are held against each other in the same way: a text's symbols are then 64-bit codes of its words
+instead of its bytes, and lengths and places count words.
+
 Defined results: null texts are empty; shorter texts lose nothing; repeated rows are repeats of
 each other; a null ``doc_id`` is kept. Rows are told apart by a 64-bit hash of id and text.
 """
@@ -42,8 +45,8 @@ from .common import drop, read_table, store, store_by
 LENGTH, GRAM = 400, 200
 #: Distinct contexts of one gram that are sorted in one task at most.
 HOT = 2000
-#: Bytes that stand for a word where strings of words are compared.
-CODE = 8
+#: Words of the strings that ``digests`` reports beside the bytes: passages of over 50.
+WORDS = 51
 #: Keys with more than this part of the rows, and of more than ``MANY`` rows, are not joined but told.
 SHARE, MANY = 256, 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -81,9 +84,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def symbols(words: bool):
+    """Function from the bytes of a text to its symbols: the bytes, or a code for each word."""
+    if not words:
+        return lambda raw: np.frombuffer(raw, np.uint8)
+    codes: dict[bytes, bytes] = {}
+
+    def code(word: bytes) -> bytes:
+        if word not in codes:
+            if len(codes) >= 100_000:
+                codes.clear()
+            codes[word] = xxhash.xxh3_64_digest(word)
+        return codes[word]
+
+    return lambda raw: np.frombuffer(b"".join([code(w) for w in bytes(raw).split()]), np.uint64)
+
+
 def prefix_hashes(a: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_values()[a] * powers(len(a))[0][: len(a)], out=out[1:])
+    np.cumsum((_values()[a] if a.dtype == np.uint8 else a) * powers(len(a))[0][: len(a)], out=out[1:])
     return out
 
 
@@ -114,7 +133,7 @@ def anchors(a: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[
     return np.concatenate(at), np.concatenate(first), np.concatenate(last)
 
 
-def _scan(length: int, gram: int):
+def _scan(length: int, gram: int, words: bool):
     """mapInArrow function: one row for each document of at least one window, with its anchors.
 
     The first and the last window of a text are listed too (``lo`` and ``hi`` -1), under the gram of their anchor.
@@ -123,15 +142,15 @@ def _scan(length: int, gram: int):
     fields = ["dk", "pos", "lo", "hi", "kh", "f1", "f2"]
 
     def run(batches):
+        symbols_of = symbols(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[tuple] = []
                 for dk, text in zip(part.column("dk").to_pylist(), part.column("text"), strict=True):
-                    raw = text.as_buffer()
-                    if raw is None or raw.size < length:
+                    a = symbols_of(text.as_buffer())
+                    if len(a) < length:
                         continue
-                    a = np.frombuffer(raw, np.uint8)
                     prefix = prefix_hashes(a)
                     pos, lo, hi = anchors(a, prefix, length, gram)
                     kh = _mix(substring_hashes(prefix, pos, gram)).view(np.int64)
@@ -143,8 +162,8 @@ def _scan(length: int, gram: int):
                     pos, lo, hi = np.concatenate([pos, ends]), np.concatenate([lo, none]), np.concatenate([hi, none])
                     f1, f2 = np.zeros(len(pos), np.int64), np.full(len(pos), -1, np.int32)
                     f1[whole] = _mix(substring_hashes(prefix, pos[whole], length)).view(np.int64)
-                    view = memoryview(raw)
-                    f2[whole] = [xxhash.xxh3_64_intdigest(view[p : p + length]) & 0x7FFFFFFF for p in pos[whole].tolist()]
+                    view, size = memoryview(a.view(np.uint8)), a.itemsize
+                    f2[whole] = [xxhash.xxh3_64_intdigest(view[p * size : (p + length) * size]) & 0x7FFFFFFF for p in pos[whole].tolist()]
                     rows.append((dk, pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), kh, f1, f2))
                 types = [pa.int64(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], fields)
@@ -185,8 +204,8 @@ def _open_ends(length: int):
     return run
 
 
-def _contexts(length: int):
-    """mapInArrow function: the bytes that the windows of each wanted anchor reach.
+def _contexts(length: int, words: bool):
+    """mapInArrow function: the bytes of the symbols that the windows of each wanted anchor reach.
 
     An anchor that its document leaves open has a row of its own (``dk, pos``). Of the others, which only lend their
     bytes, those that a task meets again are counted in one row.
@@ -198,14 +217,15 @@ def _contexts(length: int):
 
     def run(batches):
         lent: dict[tuple, list] = {}
+        symbols_of = symbols(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
                 for dk, text, wanted, grams in zip(part.column("dk").to_pylist(), part.column("text"), part.column("wanted").to_pylist(), part.column("grams").to_pylist(), strict=True):
-                    raw, still = text.as_buffer().to_pybytes(), set(grams)
+                    a, still = symbols_of(text.as_buffer()), set(grams)
                     for m in wanted:
-                        ctx, off = raw[m["lo"] : m["hi"] + length], m["pos"] - m["lo"]
+                        ctx, off = a[m["lo"] : m["hi"] + length].tobytes(), m["pos"] - m["lo"]
                         digest = xxhash.xxh3_128_intdigest(ctx + off.to_bytes(4, "little"))
                         key = (m["h"], (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63)
                         if m["h"] in still:
@@ -224,13 +244,13 @@ def _contexts(length: int):
 
 
 class SuffixSorter:
-    """Orders suffixes of a byte array up to given sizes; compares by common extensions."""
+    """Orders suffixes of an array of symbols up to given sizes; compares by common extensions."""
 
     def __init__(self, a: np.ndarray):
         self.a, self.prefix = a, prefix_hashes(a)
 
     def common(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Bytes, up to size, that the suffixes at x and y share: binary search over prefix hashes."""
+        """Symbols, up to size, that the suffixes at x and y share: binary search over prefix hashes."""
         low, high = np.zeros(len(x), np.int64), size.astype(np.int64)
         while (low < high).any():
             mid = (low + high + 1) // 2
@@ -283,7 +303,7 @@ class SuffixSorter:
         return order
 
     def neighbours(self, order: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Common bytes of each suffix with the one before it in order; verified, so that a hash collision can't lengthen one."""
+        """Common symbols of each suffix with the one before it in order; verified, so that a hash collision can't lengthen one."""
         out = np.zeros(len(order), np.int64)
         x, y = order[:-1], order[1:]
         most = np.where(group[x] == group[y], np.minimum(size[x], size[y]), 0)
@@ -295,12 +315,12 @@ class SuffixSorter:
         return out
 
 
-def shared_windows(contexts: list[bytes], offs: np.ndarray, grams: np.ndarray, counts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the greatest and the least ``l`` whose window (from ``l`` bytes before the anchor) is shared; -1 without."""
+def shared_windows(contexts: list[bytes], offs: np.ndarray, grams: np.ndarray, counts: np.ndarray, length: int, gram: int, kind: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the greatest and the least ``l`` whose window (from ``l`` symbols before the anchor) is shared; -1 without."""
     n = len(contexts)
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    sizes = np.array([len(c) for c in contexts], np.int64) // np.dtype(kind).itemsize
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    a = np.frombuffer(b"".join(contexts), np.uint8)
+    a = np.frombuffer(b"".join(contexts), kind)
     group = np.unique(grams, return_inverse=True)[1]
     right_size, left_size = sizes - offs, offs.astype(np.int64)
     right = SuffixSorter(a)
@@ -327,26 +347,26 @@ def shared_windows(contexts: list[bytes], offs: np.ndarray, grams: np.ndarray, c
     return most, least
 
 
-def _sort_bucket(length: int, gram: int):
+def _sort_bucket(length: int, gram: int, kind: type):
     def run(rows):
-        most, least = shared_windows([bytes(c) for c in rows["ctx"]], rows["off"].to_numpy(np.int64), rows["kh"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), length, gram)
+        most, least = shared_windows([bytes(c) for c in rows["ctx"]], rows["off"].to_numpy(np.int64), rows["kh"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), length, gram, kind)
         out = pd.DataFrame({"c1": rows["c1"], "c2": rows["c2"], "most": most, "least": least})
         return out[out["most"] >= 0]
 
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, kind: type):
     """mapInArrow function for hot grams: a row with two hashes for each window of a context."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column("ctx")[i].as_py()
+                a = np.frombuffer(batch.column("ctx")[i].as_py(), kind)
                 off = batch.column("off")[i].as_py()
-                prefix = prefix_hashes(np.frombuffer(raw, np.uint8))
-                s = np.arange(len(raw) - length + 1)
-                w2 = [xxhash.xxh3_64_intdigest(raw[k : k + length]) - 2**63 for k in s.tolist()]
+                prefix = prefix_hashes(a)
+                s = np.arange(len(a) - length + 1)
+                w2 = [xxhash.xxh3_64_intdigest(a[k : k + length].tobytes()) - 2**63 for k in s.tolist()]
                 k = len(s)
                 same = lambda c: pa.array([batch.column(c)[i].as_py()] * k, pa.int64())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([same("c1"), same("c2"), same("n"), pa.array((off - s).astype(np.int32)), pa.array(substring_hashes(prefix, s, length).view(np.int64)), pa.array(w2, pa.int64())], ["c1", "c2", "n", "l", "w1", "w2"])
@@ -359,21 +379,6 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-@F.arrow_udf(BinaryType())
-def _word_codes(texts: pa.Array) -> pa.Array:
-    """``CODE`` bytes for each word, so that strings of words are byte strings of a fixed length."""
-    codes: dict[bytes, bytes] = {}
-
-    def code(word: bytes) -> bytes:
-        if word not in codes:
-            if len(codes) >= 100_000:
-                codes.clear()
-            codes[word] = xxhash.xxh3_64_digest(word)
-        return codes[word]
-
-    return pa.array([b"".join([code(w) for w in t.as_buffer().to_pybytes().split()]) if t.is_valid else b"" for t in texts], pa.binary())
-
-
 def _among(rows: DataFrame, keys: list[str], wanted: DataFrame, many: list[tuple]) -> DataFrame:
     """The rows whose keys are in ``wanted`` (``__k0, ...``). The keys ``many``, a bounded list, are told to all tasks, so that no join gathers the rows of one."""
     same = functools.reduce(lambda x, y: x & y, (F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)))
@@ -399,7 +404,7 @@ def _repeated(rows: DataFrame, keys: list[str], counted: str = "true") -> tuple[
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
     """``dk, starts, ends``: the byte intervals that go, for each document that loses any.
 
-    With ``words``, strings of that many words instead of ``length`` bytes are held against each other, and the intervals are in ``CODE`` bytes a word.
+    With ``words``, strings of that many words instead of ``length`` bytes are held against each other, and the intervals count words.
     """
     return _spans(store_by(docs.select(_key().alias("__dk"), "text"), "__dk", "texts"), length, gram, hot, words)
 
@@ -407,11 +412,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: int | None = None) -> DataFrame:
     """docs: ``__dk, text``, stored in buckets of ``__dk``."""
     texts = docs.select(F.col("__dk").alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    least, kind = length, np.uint8
     if words:
-        length, gram = CODE * words, CODE * (words // 2)
-        texts = texts_of = store_by(texts.where(F.octet_length("text") >= 2 * words - 1).select("dk", _word_codes("text").alias("text")), "dk", "word-codes", deal=False)
-    texts = texts.select("dk", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    found = store(texts.mapInArrow(_scan(length, gram), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, f1 array<long>, f2 array<int>"), "anchors")
+        length, gram, least, kind = words, words // 2, 2 * words - 1, np.uint64
+    texts = texts.select("dk", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= least)
+    found = store(texts.mapInArrow(_scan(length, gram, bool(words)), "dk long, pos array<int>, lo array<int>, hi array<int>, kh array<long>, f1 array<long>, f2 array<int>"), "anchors")
     marks = found.select("dk", F.explode(F.arrays_zip("pos", "lo", "hi", "kh", "f1", "f2")).alias("x")).select(F.col("x.kh").alias("h"), "dk", "x.pos", "x.lo", "x.hi", "x.f1", "x.f2")
     rows, keys, many = _repeated(marks, ["h"], "hi >= 0")
     shared = store(rows, "shared-grams")
@@ -431,17 +436,17 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     once = partners.withColumn("wanted", F.array_distinct("wanted"))
     once = once.join(covered.select(F.col("dk").alias("ck"), "grams"), F.col("pk") == F.col("ck"))
     cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted", "grams")
-    contexts = store(cut.mapInArrow(_contexts(length), "kh long, c1 long, c2 long, dk long, pos int, off int, n long, ctx binary"), "contexts")
+    contexts = store(cut.mapInArrow(_contexts(length, bool(words)), "kh long, c1 long, c2 long, dk long, pos int, off int, n long, ctx binary"), "contexts")
 
     distinct = contexts.groupBy("kh", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.sum("n").alias("n"))
     sizes = contexts.select("kh", "c1", "c2").distinct().groupBy(F.col("kh").alias("gk")).agg(F.count("*").alias("size"))
     distinct = store(distinct.join(sizes, F.col("kh") == F.col("gk")).drop("gk"), "distinct-contexts")
     n_buckets = max(1, distinct.count() // 1000)
     shape = "c1 long, c2 long, most int, least int"
-    solved = distinct.where(F.col("size") <= hot).withColumn("bucket", F.pmod(F.xxhash64("kh"), F.lit(n_buckets))).groupBy("bucket").applyInPandas(_sort_bucket(length, gram), shape)
+    solved = distinct.where(F.col("size") <= hot).withColumn("bucket", F.pmod(F.xxhash64("kh"), F.lit(n_buckets))).groupBy("bucket").applyInPandas(_sort_bucket(length, gram, kind), shape)
     busy = distinct.where(F.col("size") > hot)
     if busy.take(1):
-        each = busy.mapInArrow(_windows(length), "c1 long, c2 long, n long, l int, w1 long, w2 long")
+        each = busy.mapInArrow(_windows(length, kind), "c1 long, c2 long, n long, l int, w1 long, w2 long")
         each = store(each, "windows")
         again = each.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.sum("n").alias("times")).where("times > 1")
         hits = each.join(again, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi")
@@ -457,7 +462,7 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["dk", "starts", "ends"])
 
     out = store(parts.mapInArrow(union, "dk long, starts array<int>, ends array<int>"), "spans")
-    for table in (shared, covered, wanted, contexts, distinct, *([texts_of] if words else [])):
+    for table in (shared, covered, wanted, contexts, distinct):
         drop(table)
     return out
 
@@ -477,7 +482,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 @F.arrow_udf(StringType())
 def _rest_of_words(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """The text without the words inside the intervals (in bytes of word codes) and the white space after them; null where there are no intervals."""
+    """The text without the words inside the intervals and the white space after them; null where there are no intervals."""
     out = []
     for text, s, e in zip(texts, starts.to_pylist(), ends.to_pylist(), strict=True):
         if not s:
@@ -485,28 +490,33 @@ def _rest_of_words(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Arra
             continue
         raw = text.as_buffer().to_pybytes()
         at = [*(m.start() for m in _WORD.finditer(raw)), len(raw)]
-        # A match can begin or end inside a code only by chance: whole words count.
-        cut = [(at[-(-a // CODE)], at[b // CODE]) for a, b in zip(s, e, strict=True) if -(-a // CODE) < b // CODE]
+        cut = [(at[a], at[b]) for a, b in zip(s, e, strict=True)]
         out.append(b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(raw)], strict=True)).decode("utf-8", "ignore"))
     return pa.array(out, pa.string())
 
 
-def _with_spans(docs: DataFrame, **sizes: int) -> DataFrame:
-    """All columns of docs and ``__starts, __ends``, null where nothing goes."""
-    keyed = store_by(docs.withColumn("__dk", _key()), "__dk", "keyed-documents")
+def _join_spans(keyed: DataFrame, **sizes: int) -> DataFrame:
+    """All columns of a table stored in buckets of ``__dk`` and ``__starts, __ends``, null where nothing goes."""
     found = _spans(keyed, **sizes).select(F.col("dk").alias("__sk"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    return keyed.join(found, F.col("__dk") == F.col("__sk"), "left").drop("__dk", "__sk")
+    return keyed.join(found, F.col("__dk") == F.col("__sk"), "left").drop("__sk")
 
 
 #: Python gets the texts that lose something only.
 _CUT = lambda cut: cut(F.when(F.col("__starts").isNotNull(), F.col("text")), F.col("__starts"), F.col("__ends"))
 
 
-def digests(docs: DataFrame, **sizes: int) -> DataFrame:
-    out = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), **sizes)
-    out = out.select("doc_id", F.col("text").cast("binary").alias("text"), "__starts", _CUT(_rest).alias("rest"))
+def digests(docs: DataFrame, words: int = WORDS, **sizes: int) -> DataFrame:
+    """Bytes that go and what stays, by strings of ``length`` bytes; beside them ``n_passage_words``.
+
+    That column reports and removes nothing: the words of a text that lie in a string of ``words`` words that starts
+    anywhere else too, whatever its bytes and the white space in it. A passage of over 50 words can have fewer than 400 bytes.
+    """
+    keyed = store_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__dk", _key()), "__dk", "keyed-documents")
+    passages = _spans(keyed, words=words).select(F.col("dk").alias("__pk"), F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("__words"))
+    out = _join_spans(keyed, **sizes).join(passages, F.col("__dk") == F.col("__pk"), "left")
+    out = out.select("doc_id", F.col("text").cast("binary").alias("text"), "__starts", _CUT(_rest).alias("rest"), "__words")
     n, rest = F.octet_length("text").cast("long"), F.coalesce("rest", "text")
-    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length(rest)).cast("long").alias("n_removed"), F.coalesce(F.size("__starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"))
+    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length(rest)).cast("long").alias("n_removed"), F.coalesce(F.size("__starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), F.coalesce("__words", F.lit(0)).cast("long").alias("n_passage_words"))
 
 
 def strip_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -514,7 +524,7 @@ def strip_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
 
     By words (``words=51``: strings of over 50) nothing is cut inside a word; by bytes a character that is cut goes.
     """
-    out = _with_spans(docs, **sizes)
+    out = _join_spans(store_by(docs.withColumn("__dk", _key()), "__dk", "keyed-documents"), **sizes)
     rest = _CUT(_rest_of_words) if sizes.get("words") else _decode(_CUT(_rest))
     fixed = out.withColumn("__new", F.coalesce(rest, "text"))
     return fixed.select(*(F.col("__new").alias("text") if c == "text" else F.length("__new").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))

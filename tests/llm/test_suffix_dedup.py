@@ -7,7 +7,7 @@ import pytest
 from cellspark.llm import suffix_dedup as s
 
 
-def brute(rows, length):
+def brute(rows, length, words):
     raws = [(t or "").encode() for _, t, *_ in rows]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     out = []
@@ -18,12 +18,13 @@ def brute(rows, length):
                 gone[i : i + length] = True
         rest = bytes(b for b, g in zip(r, gone, strict=False) if not g)
         out.append((doc_id, len(r), len(r) - len(rest), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(rest).hexdigest()))
-    return sorted(out, key=str)
+    left = brute_words([t for _, t, *_ in rows], words)
+    return sorted(((*o, len((t or "").split()) - len(k)) for o, (_, t, *_), k in zip(out, rows, left, strict=True)), key=str)
 
 
 def corpus(seed, length):
     rng = random.Random(seed)
-    text = lambda n: "".join(rng.choice("abcdefgé") for _ in range(n))
+    text = lambda n: "".join(rng.choice("abcdefgé  \n") for _ in range(n))
     passages = [text(rng.randint(length // 2, 4 * length)) for _ in range(8)]
     rows = [(0, None), (1, ""), (2, "x"), (3, "q" * (3 * length)), (4, "ab" * (2 * length)), (5, text(length)), (6, text(length - 1))]
     for i in range(50):
@@ -43,8 +44,8 @@ def test_same_as_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(s, "MANY", hot)
     rows = corpus(seed, length)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pos string")
-    got = sorted((tuple(r) for r in s.digests(df, length=length, gram=gram, hot=hot).collect()), key=str)
-    assert got == brute(rows, length)
+    got = sorted((tuple(r) for r in s.digests(df, length=length, gram=gram, hot=hot, words=4).collect()), key=str)
+    assert got == brute(rows, length, 4) and any(r[-1] for r in got)
 
 
 def test_suffix_sorter():
@@ -83,6 +84,14 @@ def test_strip_repeats_and_empty_table(spark):
     assert s.digests(docs.where("false")).count() == 0
 
 
+def test_passages_of_words_below_the_bytes(spark):
+    """A passage of 51 short words in two texts, set with other white space, is reported and nothing is removed."""
+    words = [f"w{i}" for i in range(51)]
+    rows = [(1, "a b " + " ".join(words) + " c"), (2, "\n".join(words)), (3, " ".join(words[:50])), (None, None)]
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in s.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 51), 2: (0, 51), 3: (0, 0), None: (0, 0)}
+
+
 def brute_words(rows, n):
     seen = Counter(tuple(w[i : i + n]) for t in rows for w in [(t or "").split()] for i in range(len(w) - n + 1))
     out = []
