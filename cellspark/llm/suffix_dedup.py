@@ -35,6 +35,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,20 +85,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def symbols(words: bool):
-    """Function from the bytes of a text to its symbols: the bytes, or a code for each word."""
+def symbols(texts: pa.Array, words: bool) -> list[np.ndarray]:
+    """The symbols of each text: its bytes, or a code for each word; every different word is hashed once a call."""
     if not words:
-        return lambda raw: np.frombuffer(raw, np.uint8)
-    codes: dict[bytes, bytes] = {}
-
-    def code(word: bytes) -> bytes:
-        if word not in codes:
-            if len(codes) >= 100_000:
-                codes.clear()
-            codes[word] = xxhash.xxh3_64_digest(word)
-        return codes[word]
-
-    return lambda raw: np.frombuffer(b"".join([code(w) for w in bytes(raw).split()]), np.uint64)
+        return [np.frombuffer(t.as_buffer(), np.uint8) for t in texts]
+    split = pc.ascii_split_whitespace(pc.cast(texts, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True)))
+    flat, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    whole = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end makes an empty one
+    coded = flat.dictionary_encode()
+    codes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    values = codes[coded.indices.to_numpy()[whole]]
+    at = np.concatenate([[0], np.cumsum(whole)])[bounds]
+    return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def prefix_hashes(a: np.ndarray) -> np.ndarray:
@@ -142,13 +141,11 @@ def _scan(length: int, gram: int, words: bool):
     fields = ["dk", "pos", "lo", "hi", "kh", "f1", "f2"]
 
     def run(batches):
-        symbols_of = symbols(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[tuple] = []
-                for dk, text in zip(part.column("dk").to_pylist(), part.column("text"), strict=True):
-                    a = symbols_of(text.as_buffer())
+                for dk, a in zip(part.column("dk").to_pylist(), symbols(part.column("text"), words), strict=True):
                     if len(a) < length:
                         continue
                     prefix = prefix_hashes(a)
@@ -188,17 +185,18 @@ def _open_ends(length: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for dk, marks in zip(batch.column("dk").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                forward = [m["pos"] for m in marks if m["hi"] < 0]
-                starts, ends = merge(forward, [p + length for p in forward])
-                still = []
-                s, e = np.array(starts or [0]), np.array(ends or [0])
-                for m in marks:
-                    if m["hi"] >= 0:
-                        k = int(np.searchsorted(s, m["lo"], side="right")) - 1
-                        if k < 0 or e[k] < m["hi"] + length:
-                            still.append(m["h"])
-                rows.append((dk, starts, ends, sorted(set(still))))
+            marks = batch.column("marks")
+            bounds = marks.offsets.to_numpy()
+            pos_of, lo_of, hi_of, h_of = (marks.values.field(c).to_numpy() for c in ("pos", "lo", "hi", "h"))
+            for dk, x, y in zip(batch.column("dk").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                pos, lo, hi, h = pos_of[x:y], lo_of[x:y], hi_of[x:y], h_of[x:y]
+                forward = np.sort(pos[hi < 0])
+                gap = np.flatnonzero(np.diff(forward) > length)
+                starts, ends = forward[np.append(0, gap + 1)[: len(forward)]], forward[np.append(gap, len(forward) - 1)[: len(forward)]] + np.int32(length)
+                own = hi >= 0
+                k = np.searchsorted(starts, lo[own], side="right") - 1
+                covered = (k >= 0) & (np.append(ends, 0)[k] >= hi[own] + length)
+                rows.append((dk, starts, ends, np.unique(h[own][~covered])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["dk", "starts", "ends", "grams"])
 
     return run
@@ -217,13 +215,12 @@ def _contexts(length: int, words: bool):
 
     def run(batches):
         lent: dict[tuple, list] = {}
-        symbols_of = symbols(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for dk, text, wanted, grams in zip(part.column("dk").to_pylist(), part.column("text"), part.column("wanted").to_pylist(), part.column("grams").to_pylist(), strict=True):
-                    a, still = symbols_of(text.as_buffer()), set(grams)
+                for dk, a, wanted, grams in zip(part.column("dk").to_pylist(), symbols(part.column("text"), words), part.column("wanted").to_pylist(), part.column("grams").to_pylist(), strict=True):
+                    still = set(grams)
                     for m in wanted:
                         ctx, off = a[m["lo"] : m["hi"] + length].tobytes(), m["pos"] - m["lo"]
                         digest = xxhash.xxh3_128_intdigest(ctx + off.to_bytes(4, "little"))
@@ -427,14 +424,13 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     grams = shared.where("hi >= 0").select("h", "dk", "pos", "lo", "hi")
     repeated = grams.unionByName(windows)
 
-    by_doc = repeated.groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("marks"))
+    by_doc = repeated.groupBy("dk").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("marks"))
     covered = store(by_doc.mapInArrow(_open_ends(length), "dk long, starts array<int>, ends array<int>, grams array<long>"), "covered")
     drop(again)
     wanted = store(covered.select(F.explode("grams").alias("__k0")).distinct(), "open-grams")
-    partners = _among(grams, ["h"], wanted, many).groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
-    # Repeated rows have one key, one list of marks for all of them and so one context for each.
-    once = partners.withColumn("wanted", F.array_distinct("wanted"))
-    once = once.join(covered.select(F.col("dk").alias("ck"), "grams"), F.col("pk") == F.col("ck"))
+    partners = _among(grams, ["h"], wanted, many).groupBy("dk").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("wanted")).withColumnRenamed("dk", "pk")
+    # Repeated rows have one key, one set of marks for all of them and so one context for each.
+    once = partners.join(covered.select(F.col("dk").alias("ck"), "grams"), F.col("pk") == F.col("ck"))
     cut = texts.join(once, F.col("dk") == F.col("pk")).select("dk", "text", "wanted", "grams")
     contexts = store(cut.mapInArrow(_contexts(length, bool(words)), "kh long, c1 long, c2 long, dk long, pos int, off int, n long, ctx binary"), "contexts")
 
