@@ -385,7 +385,6 @@ def _among(rows: DataFrame, keys: list[str], wanted: DataFrame, many: list[tuple
     names = [f"__k{i}" for i in range(len(keys))]
     found = [tuple(r) for r in wanted.where(listed(names)).select(*names).distinct().collect()]
     rest = rows.where(~listed(keys)).join(wanted, same, "left_semi")
-    many = found  # of the common keys those that are wanted
     return rest.unionByName(rows.where(listed(keys))) if found else rest
 
 
@@ -501,18 +500,27 @@ def _join_spans(keyed: DataFrame, **sizes: int) -> DataFrame:
 _CUT = lambda cut: cut(F.when(F.col("__starts").isNotNull(), F.col("text")), F.col("__starts"), F.col("__ends"))
 
 
-def digests(docs: DataFrame, words: int = WORDS, **sizes: int) -> DataFrame:
-    """Bytes that go and what stays, by strings of ``length`` bytes; beside them ``n_passage_words``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return store_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__dk", _key()), "__dk", "keyed-documents")
 
-    That column reports and removes nothing: the words of a text that lie in a string of ``words`` words that starts
-    anywhere else too, whatever its bytes and the white space in it. A passage of over 50 words can have fewer than 400 bytes.
-    """
-    keyed = store_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__dk", _key()), "__dk", "keyed-documents")
-    passages = _spans(keyed, words=words).select(F.col("dk").alias("__pk"), F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("__words"))
-    out = _join_spans(keyed, **sizes).join(passages, F.col("__dk") == F.col("__pk"), "left")
-    out = out.select("doc_id", F.col("text").cast("binary").alias("text"), "__starts", _CUT(_rest).alias("rest"), "__words")
+
+def digests(docs: DataFrame, **sizes: int) -> DataFrame:
+    """Bytes that go and what stays, by strings of ``length`` bytes; ``has_repeats`` tells the documents that lose any."""
+    out = _join_spans(_keyed(docs), **sizes)
+    out = out.select("doc_id", F.col("text").cast("binary").alias("text"), "__starts", _CUT(_rest).alias("rest"))
     n, rest = F.octet_length("text").cast("long"), F.coalesce("rest", "text")
-    return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length(rest)).cast("long").alias("n_removed"), F.coalesce(F.size("__starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), F.coalesce("__words", F.lit(0)).cast("long").alias("n_passage_words"))
+    removed = (n - F.octet_length(rest)).cast("long")
+    return out.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.coalesce(F.size("__starts"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"))
+
+
+def passage_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_passage_words``: the words of each text that lie in a string of ``words`` words that starts anywhere else too.
+
+    It reports only. A passage of over 50 words can have fewer than 400 bytes.
+    """
+    keyed = _keyed(docs)
+    found = _spans(keyed, words=words).select(F.col("dk").alias("__pk"), F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("__words"))
+    return keyed.join(found, F.col("__dk") == F.col("__pk"), "left").select("doc_id", F.coalesce("__words", F.lit(0)).cast("long").alias("n_passage_words"))
 
 
 def strip_repeats(docs: DataFrame, **sizes: int) -> DataFrame:

@@ -88,8 +88,9 @@ def test_passages_of_words_below_the_bytes(spark):
     """A passage of 51 short words in two texts, set with other white space, is reported and nothing is removed."""
     words = [f"w{i}" for i in range(51)]
     rows = [(1, "a b " + " ".join(words) + " c"), (2, "\n".join(words)), (3, " ".join(words[:50])), (None, None)]
-    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in s.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (0, 51), 2: (0, 51), 3: (0, 0), None: (0, 0)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_passage_words for r in s.passage_words(docs).collect()} == {1: 51, 2: 51, 3: 0, None: 0}
+    assert {(r.n_removed, r.has_repeats) for r in s.digests(docs).collect()} == {(0, False)}
 
 
 def brute_words(rows, n):
