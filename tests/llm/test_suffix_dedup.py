@@ -19,7 +19,8 @@ def brute(rows, length, words):
         rest = bytes(b for b, g in zip(r, gone, strict=False) if not g)
         out.append((doc_id, len(r), len(r) - len(rest), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(rest).hexdigest()))
     left = brute_words([t for _, t, *_ in rows], words)
-    return sorted(((*o, len((t or "").split()) - len(k)) for o, (_, t, *_), k in zip(out, rows, left, strict=True)), key=str)
+    lost = sorted(((o[0], len((t or "").split()) - len(k)) for o, (_, t, *_), k in zip(out, rows, left, strict=True)), key=str)
+    return sorted(((*o, o[2] > 0) for o in out), key=str), lost
 
 
 def corpus(seed, length):
@@ -44,8 +45,9 @@ def test_same_as_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(s, "MANY", hot)
     rows = corpus(seed, length)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pos string")
-    got = sorted((tuple(r) for r in s.digests(df, length=length, gram=gram, hot=hot, words=4).collect()), key=str)
-    assert got == brute(rows, length, 4) and any(r[-1] for r in got)
+    got = sorted((tuple(r) for r in s.digests(df, length=length, gram=gram, hot=hot).collect()), key=str)
+    lost = sorted((tuple(r) for r in s.passage_words(df, words=4).collect()), key=str)
+    assert (got, lost) == brute(rows, length, 4) and any(r[-1] for r in got) and any(r[-1] for r in lost)
 
 
 def test_suffix_sorter():
