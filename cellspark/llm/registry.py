@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, packing, periodic, quality_classifier, quality_rules, suffix_dedup, tool_calls, toxicity, warc, wavelet
+from . import alignment, bpe, decontaminate, minhash, packing, periodic, quality_classifier, quality_rules, suffix_dedup, tool_calls, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_wavelet_ids": wavelet.op9_wavelet_ids,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_best_fit_packing": packing.op12_best_fit_packing,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
