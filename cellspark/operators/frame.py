@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 import numpy as np
@@ -115,12 +117,19 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Computed once: a checkpoint where a folder for them is set, else kept by the executors (and recomputed if one is lost)."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    """Computed once and written to the checkpoint folder that driver and executors share, so that plans stay short and a lost executor loses nothing.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where all runs in one process and none is set, a temporary one is made.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="cellspark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def running(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:

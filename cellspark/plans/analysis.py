@@ -62,7 +62,8 @@ def analyze(
             out |= _spatial(cells, columns, todo, pixel_size, contact, signal, border, permutations, folds, seed, trees)
     if "umap" in todo:
         kinds = ["cell_type"] if "cell_type" in typed.columns else []
-        out["embedding"] = ml.clusters(ml.embedding(typed, columns).select("nuc_id", "image", *kinds, "e0", "e1"), ["e0", "e1"], seed=seed)
+        placed = frame.materialized(ml.embedding(typed, columns).select("nuc_id", "image", *kinds, "e0", "e1"))
+        out["embedding"] = ml.clusters(placed, ["e0", "e1"], seed=seed)
     if "correlation" in todo and metadata is not None:
         out |= correlate_metadata(out["processed_features"], columns, metadata, permutations, seed)
     n_before = len(kept) + len(dropped)

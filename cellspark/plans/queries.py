@@ -682,8 +682,8 @@ def dz_probability(d: Views) -> DataFrame:
 
 @query()
 def embedding_clusters(d: Views) -> DataFrame:
-    e = ml.embedding(_wide(d), _COMPONENTS)
-    return ml.clusters(e, ["e0", "e1"]).select("nuc_id", "kind", "e0", "e1", "cluster")
+    e = ml.embedding(_wide(d), _COMPONENTS).select("nuc_id", "kind", "e0", "e1")
+    return ml.clusters(frame.materialized(e), ["e0", "e1"]).select("nuc_id", "kind", "e0", "e1", "cluster")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
