@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, drop, new_folder, read_table, store
+from .common import bound_batches, drop, new_folder, read_table, release, store
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments (and id pairs) of at least this share of all occurrences are told to all tasks; there are at most as many.
@@ -200,18 +200,23 @@ def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     table, folder = f"aligned_{uuid.uuid4().hex}", new_folder(spark, "aligned")
     with co_partitioned(spark):
         dealt = found.where("ok").select("sid", "n", "a_ids", "a_lens", "b_ids", "b_lens").repartition(n, "sid")
+        release(spark)
         align(dealt).write.option("compression", "zstd").option("path", folder).bucketBy(n, "sid").saveAsTable(table)
+        release(spark)
         placed = spark.table(table)
         linked, texts = store(links(placed), "links"), store(group_texts(placed), "group-texts")
     drop(placed)
     spark.sql(f"DROP TABLE {table}")
+    release(spark)
     counted = store(_counted(linked), "segment-links")
     drop(linked)
+    release(spark)
     own = texts.join(counted.withColumnRenamed("sid", "cid"), F.col("sid") == F.col("cid")).drop("cid").withColumnRenamed("sid", "tid")
     out = found.select("sid", "seg", "n", "ok").join(own, F.col("sid") == F.col("tid"), "left")
     out = store(out.select("seg", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in _SUMS), F.coalesce("groups", F.lit("")).alias("groups"), "ok"), "aligned-segments")
     for t in (found, texts, counted):
         drop(t)
+    release(spark)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -70,6 +71,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver collects the plans that name them; between the phases of a long job this is now, not at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Rows numbered from 1 within the keys, by the order. DataFrame functions only, and no group is gathered.
 
