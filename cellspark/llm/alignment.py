@@ -8,7 +8,7 @@ A corpus is aligned by its segments: a text falls apart wherever white space fol
 has a token over that place (checked on the vocabularies), and each tokenizer encodes a segment in the text as it does by itself.
 So :func:`segments` counts the distinct segments, only these are tokenised and aligned, and links are counted
 with the segments' numbers of occurrences. :func:`documents` puts the texts together again: segments that make up at least a
-``2**-20``-th of all occurrences (at most ``2**20`` of them, whose lengths add up to at most as many mean
+``2**-21``-th of all occurrences (at most ``2**21`` of them, whose lengths add up to at most as many mean
 lengths) are told to all tasks; the others, none of which is frequent, are joined.
 
 Defined results: a text that is null or empty, or whose joined tokens differ from space + text in either tokenizer, has no tokens, all
@@ -38,7 +38,7 @@ from .common import bound_batches, drop, new_folder, read_table, release, store
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments (and id pairs) of at least this share of all occurrences are told to all tasks; there are at most as many.
-TOLD = 1 << 20
+TOLD = 1 << 21
 #: Bytes of a block in the join of overlapping tokens.
 BLOCK = 64
 #: Segments of a task of the alignment.
@@ -265,8 +265,8 @@ def _texts(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[first]), did, *sums, pa.array(ok), parts, rest], ["rid", "did", *_SUMS, "ok", "parts", "open"])
 
 
-def documents(docs: DataFrame, aligned: DataFrame) -> DataFrame:
-    """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each text from its segments (:func:`aligned_segments`)."""
+def documents(docs: DataFrame, aligned: DataFrame, digest: bool = False) -> DataFrame:
+    """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each text from its segments (:func:`aligned_segments`); with ``digest``, ``groups_sha256`` instead of the groups."""
     total = aligned.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * TOLD >= total
     side = aligned.withColumnsRenamed({"seg": "key"})
@@ -275,16 +275,33 @@ def documents(docs: DataFrame, aligned: DataFrame) -> DataFrame:
     near = rows.join(F.broadcast(side.where(often).drop("n")), F.col("seg") == F.col("key"), "left")
     near = near.select("rid", "did", F.when(F.col("key").isNull(), F.col("seg")).alias("seg"), *_SUMS, "groups", "ok")
     sums = ", ".join(f"{c} long" for c in _SUMS)
-    texts = store(near.mapInArrow(_regroup, f"rid long, did long, {sums}, ok boolean, parts array<string>, open array<string>"), "texts")
+    spark = docs.sparkSession
+    # A text's row stays where it was read: the table's buckets are those of the tasks that read, and what is joined comes to them.
+    part = F.shiftright("rid", 33).cast("int").alias("part")
+    table, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = near.mapInArrow(_regroup, f"rid long, did long, {sums}, ok boolean, parts array<string>, open array<string>").select(part, "*")
+    whole.write.option("compression", "zstd").option("path", new_folder(spark, "texts")).bucketBy(n, "part").saveAsTable(table)
+    release(spark)
+    texts = spark.table(table)
     each = texts.select("rid", F.posexplode("open").alias("j", "seg"))
     found = each.join(side.where(~often).drop("n"), F.col("seg") == F.col("key"))
-    more = found.groupBy(F.col("rid").alias("mid")).agg(*(F.sum(c).alias(f"m_{c}") for c in _SUMS), F.min("ok").alias("m_ok"), F.transform(F.sort_array(F.collect_list(F.struct("j", "groups"))), lambda x: x["groups"]).alias("filled"))
-    out = texts.where("size(open) > 0").join(more, F.col("rid") == F.col("mid"))
-    mixed = F.flatten(F.transform(F.arrays_zip("parts", "filled"), lambda x: F.array(x["parts"], x["filled"])))
-    whole = F.array_join(F.filter(mixed, lambda x: x.isNotNull() & (x != "")), ";")
-    out = out.select("did", *((F.col(c) + F.col(f"m_{c}")).alias(c) for c in _SUMS), (F.col("ok") & F.col("m_ok")).alias("ok"), whole.alias("groups"))
-    out = out.unionByName(texts.where("size(open) = 0").select("did", *_SUMS, "ok", F.col("parts")[0].alias("groups")))
-    return out.select(F.col("did").alias("doc_id"), *(F.when(F.col("ok"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in _SUMS), F.when(F.col("ok"), F.col("groups")).otherwise(F.lit("")).alias("groups"))
+    dealt = found.select(part, "rid", "j", "groups", *_SUMS, "ok").repartition(n, "part")
+    more = dealt.groupBy("part", F.col("rid").alias("mid")).agg(*(F.sum(c).alias(f"m_{c}") for c in _SUMS), F.min("ok").alias("m_ok"), F.transform(F.sort_array(F.collect_list(F.struct("j", "groups"))), lambda x: x["groups"]).alias("filled"))
+    more = more.withColumnRenamed("part", "mpart")
+    out = texts.join(more, (F.col("part") == F.col("mpart")) & (F.col("rid") == F.col("mid")), "left")
+    # Parts and open segments take turns; where there are none of these, the one part is all.
+    mixed = F.flatten(F.transform(F.arrays_zip("parts", F.coalesce("filled", F.array().cast("array<string>")).alias("filled")), lambda x: F.array(x["parts"], x["filled"])))
+    joined = F.array_join(F.filter(mixed, lambda x: x.isNotNull() & (x != "")), ";")
+    out = out.select("did", *((F.col(c) + F.coalesce(f"m_{c}", F.lit(0))).alias(c) for c in _SUMS), (F.col("ok") & F.coalesce("m_ok", F.lit(True))).alias("ok"), joined.alias("groups"))
+    ok = F.col("ok")
+    text = F.when(ok, F.col("groups")).otherwise(F.lit(""))
+    last = F.when(text == "", F.lit("")).otherwise(F.sha2(text.cast("binary"), 256)).alias("groups_sha256") if digest else text.alias("groups")
+    out = out.select(F.col("did").alias("doc_id"), *(F.when(ok, F.col(c)).otherwise(F.lit(0)).alias(c) for c in _SUMS), last)
+    with co_partitioned(spark):
+        out = store(out, "aligned-texts")
+    drop(texts)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,5 +309,4 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     bound_batches(spark)
-    out = documents(docs, aligned_segments(docs, public_tokenizers.path(A_VOCABULARY), public_tokenizers.path(B_VOCABULARY)))
-    return out.select("doc_id", *_SUMS, F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"))
+    return documents(docs, aligned_segments(docs, public_tokenizers.path(A_VOCABULARY), public_tokenizers.path(B_VOCABULARY)), digest=True)
