@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns that describe an object but are no features of it.
@@ -116,20 +117,31 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Computed once and written to the checkpoint folder that driver and executors share, so that plans stay short and a lost executor loses nothing.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where all runs in one process and none is set, a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="cellspark-")
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share. Only where all runs in one process and none is set, a temporary one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="cellspark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Computed once and written as Parquet to the shared folder: plans stay short, also in loops, and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of :func:`materialized` tables that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions.special import t_p_value, z_p_value
 
-from .frame import numbered, running, with_average_rank
+from .frame import materialized, numbered, running, with_average_rank
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -162,47 +164,76 @@ def correlations(long: DataFrame) -> DataFrame:
     return g.withColumn("spearman_p", p)
 
 
-#: Rows of one feature that a permutation test takes: each task holds a feature's two columns and ``_CELLS`` shuffled numbers.
-MAX_PAIRS, _CELLS = 1_000_000, 4_000_000
+#: Rows of a feature that are shuffled among themselves, and shuffled numbers held at once.
+CHUNK, _CELLS = 4096, 4_000_000
+
+
+def keyed_permutation(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A pseudo-random permutation of 0 .. n - 1 by a key: a Feistel network of four rounds on the next even number of bits, walked until inside."""
+    half = max(1, (int(n - 1).bit_length() + 1) // 2)
+    mask, out = np.uint64((1 << half) - 1), i.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in range(4):
+            mixed = (right + np.uint64((key * 4 + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ (mixed >> np.uint64(64 - half)) & mask
+        out[todo] = left << np.uint64(half) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
 
 
-def permutation_p(long: DataFrame, n_permutations: int = 10_000, seed: int = 42, method: str = "pearson", block: int = 512) -> DataFrame:
+def permutation_p(long: DataFrame, n_permutations: int = 10_000, seed: int = 42, method: str = "pearson", block: int = 512, chunk: int = CHUNK) -> DataFrame:
     """``feature, p``: share of shuffles of the target whose correlation is at least as strong; 1 / (n + 1) for none.
 
-    Rows are the medians of images, or the cells, of one feature; shuffles are dealt over tasks in blocks and only
-    their counts come together. A feature of more than ``MAX_PAIRS`` rows is an error, raised before any work: a
-    shuffle needs all of them in one place.
+    A feature may have any number of rows. For every ``block`` shuffles a keyed permutation of the row numbers deals the targets
+    anew to chunks of ``chunk`` rows; within a chunk they are shuffled against its values, and the chunks' sums of products come
+    together by shuffle. Since the deal is uniform, so is each shuffle; those of one deal share the chunks' means only, a
+    ``1 / chunk``-th of the variance, and nothing where one chunk holds the feature.
+    Cost: ``2 n / block`` rows moved and ``n`` products for each shuffle. 10,000 shuffles of a million rows are 40 million rows moved,
+    ten thousand million products, and 2.5 million sums.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
-    blocks = -(-n_permutations // block)
-    most = long.where("value is not null and target is not null").groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_PAIRS:
-        raise ValueError(f"a feature has {most} pairs; permutation tests take {MAX_PAIRS}: aggregate them first")
-    packed = long.where("value is not null and target is not null").groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("value", "target"))).alias("rows"))
-    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(F.col("feature"), F.col("block"))
-
-    def run(frames):
+    kind, deals = dict(long.dtypes)["feature"], -(-n_permutations // block)
+    rows = long.where("value is not null and target is not null").select("feature", F.col("value").cast("double").alias("value"), F.col("target").cast("double").alias("target"))
+    if method == "spearman":
+        ranked = with_average_rank(with_average_rank(rows, "value", ("feature",), "rv"), "target", ("feature",), "rt")
+        rows = ranked.select("feature", F.col("rv").alias("value"), F.col("rt").alias("target"))
+    rows = numbered(rows, [F.xxhash64(F.lit(seed), "value", "target"), F.col("value"), F.col("target")], ("feature",), "i")
+    sums = rows.groupBy(F.col("feature").alias("f")).agg(F.count("*").alias("n"), F.avg("value").alias("mx"), F.avg("target").alias("my"), F.stddev_pop("value").alias("sx"), F.stddev_pop("target").alias("sy"))
+    rows = rows.join(sums.where("n >= 3 and sx > 0 and sy > 0"), F.col("feature") == F.col("f")).select("feature", (F.col("i") - 1).alias("i"), "n", (F.col("value") - F.col("mx")).alias("x"), (F.col("target") - F.col("my")).alias("y"))
+    rows = materialized(rows)
+    real = rows.groupBy(F.col("feature").alias("of")).agg(F.sum(F.col("x") * F.col("y")).alias("real"))
+
+    def deal(frames):
         for df in frames:
-            out = []
-            for feature, rows, b in zip(df["feature"], df["rows"], df["block"], strict=True):
-                x, y = (np.array([r[k] for r in rows], float) for k in ("value", "target"))
-                if method == "spearman":
-                    x, y = (pd.Series(v).rank().to_numpy() for v in (x, y))
-                x, y = x - x.mean(), y - y.mean()
-                scale = np.sqrt((x * x).sum() * (y * y).sum())
-                if len(x) < 3 or scale == 0:
-                    continue
-                rng = np.random.default_rng([seed, int(b)])
-                n, hits = min(block, n_permutations - b * block), 0
-                at_once = max(1, min(n, _CELLS // len(y)))
-                for k in range(0, n, at_once):
-                    shuffled = rng.permuted(np.broadcast_to(y, (min(at_once, n - k), len(y))), axis=1)
-                    hits += int((np.abs(shuffled @ x) >= abs(float(x @ y)) * (1 - 1e-12)).sum())
-                out.append((feature, hits))
-            yield pd.DataFrame(out, columns=["feature", "hits"])
-
-    counts = dealt.mapInPandas(run, f"feature {dict(long.dtypes)['feature']}, hits long").groupBy("feature").agg(F.sum("hits").alias("hits"))
+            for at in range(0, len(df), max(1, 100_000 // deals)):
+                part = df.iloc[at : at + max(1, 100_000 // deals)]
+                for d in range(deals):
+                    place = part["i"].to_numpy(np.int64).copy()
+                    for n in part["n"].unique():
+                        own = (part["n"] == n).to_numpy()
+                        place[own] = keyed_permutation(place[own], int(n), seed * 1_000_003 + d)
+                    yield pd.DataFrame({"feature": part["feature"], "d": np.int32(d), "chunk": place // chunk, "slot": place % chunk, "y": part["y"]})
+
+    dealt = rows.select("feature", "i", "n", "y").mapInPandas(deal, f"feature {kind}, d int, chunk long, slot long, y double")
+    fixed = rows.select("feature", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("d"), F.expr(f"i div {chunk}").alias("chunk"), (F.col("i") % chunk).alias("slot"), "x")
+    keys = ["feature", "d", "chunk"]
+
+    def shuffled(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        x, y = xs.sort_values("slot")["x"].to_numpy(), ys.sort_values("slot")["y"].to_numpy()
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1]), int(key[2])])
+        n = min(block, n_permutations - int(key[1]) * block)
+        at_once = max(1, min(n, _CELLS // len(y)))
+        got = np.concatenate([rng.permuted(np.broadcast_to(y, (min(at_once, n - k), len(y))), axis=1) @ x for k in range(0, n, at_once)])
+        return pd.DataFrame({"feature": [key[0]] * n, "d": np.int32(key[1]), "k": np.arange(n, dtype=np.int32), "s": got})
+
+    parts = fixed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(shuffled, f"feature {kind}, d int, k int, s double")
+    tried = parts.groupBy("feature", "d", "k").agg(F.sum("s").alias("s")).join(real, F.col("feature") == F.col("of"))
+    counts = tried.groupBy("feature").agg(F.count_if(F.abs("s") >= F.abs("real") * (1 - 1e-12)).alias("hits"))
     return counts.select("feature", F.when(F.col("hits") > 0, F.col("hits") / n_permutations).otherwise(1 / (n_permutations + 1)).alias("p"))
 
 

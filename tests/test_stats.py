@@ -53,6 +53,26 @@ def test_permutation(spark):
     assert screen[0].feature == "strong" and len(screen) == 2
 
 
+def test_permutation_over_chunks(spark):
+    """Rows over many chunks, the last one not full: p within the sampling error of whole shuffles, by values and by ranks."""
+    for n in (1, 2, 3, 4, 5, 7, 64, 1000):
+        assert sorted(stats.keyed_permutation(np.arange(n), n, 9)) == list(range(n))
+    assert (stats.keyed_permutation(np.arange(1000), 1000, 1) != stats.keyed_permutation(np.arange(1000), 1000, 2)).mean() > 0.9
+    rng = np.random.default_rng(8)
+    data = {}
+    for name, share in (("weak", 0.055), ("none", 0.0), ("odd", 0.05)):
+        x = rng.normal(size=997) if name != "odd" else rng.exponential(size=997) ** 3
+        data[name] = (x, share * x + rng.normal(size=997))
+    df = spark.createDataFrame([(f, float(v), float(w)) for f, (x, y) in data.items() for v, w in zip(x, y, strict=True)], "feature string, value double, target double")
+    for method in ("pearson", "spearman"):
+        got = {r.feature: r.p for r in stats.permutation_p(df, 2000, method=method, block=256, chunk=64).collect()}
+        for f, (x, y) in data.items():
+            x, y = (v.argsort().argsort() + 1.0 if method == "spearman" else v for v in (x, y))
+            x, y = x - x.mean(), y - y.mean()
+            want = (np.abs(rng.permuted(np.broadcast_to(y, (4000, 997)), axis=1) @ x) >= abs(x @ y)).mean()
+            assert abs(got[f] - want) < 5 * np.sqrt(want * (1 - want) * (1 / 2000 + 1 / 4000)) + 1e-3, (method, f)
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(2)
     rows = [("a", float(v)) for v in np.concatenate([rng.normal(0, 1, 300), rng.normal(10, 1, 200)])] + [("one", 1.0), ("nan", float("nan")), ("null", None), ("same", 2.0), ("same", 2.0)]
