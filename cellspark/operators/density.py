@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
-from .frame import materialized
+from .frame import components, materialized
 
 #: The least reachability whose reciprocal counts.
 FLOOR = 1e-9
@@ -100,21 +100,6 @@ def _settle(state: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame,
         edges = materialized(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("w").alias("w")))
 
 
-def _connected(edges: DataFrame) -> DataFrame:
-    """``v, label``: the least name of each node's component, by least labels of neighbours and jumps."""
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("o")))
-    both = materialized(both.distinct())
-    labels = both.groupBy("v").agg(F.least("v", F.min("o")).alias("label"))
-    while True:
-        labels = materialized(labels.select("v", "label"))
-        heard = both.join(labels.select(F.col("v").alias("o"), F.col("label").alias("l")), "o").groupBy("v").agg(F.min("l").alias("l"))
-        least = labels.join(heard, "v").select("v", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("v").alias("jv"), F.col("label").alias("further"))
-        labels = materialized(least.join(jump, F.col("label") == F.col("jv"), "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
-        if not labels.where("label != old").take(1):
-            return labels.select("v", "label")
-
-
 def _intervals(key: tuple, leaves: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Per image: the nodes of the condensed tree above each leaf, with the bounds between which a node's component exists. Edges of one weight merge at once."""
     names = leaves["leaf"].tolist()
@@ -210,7 +195,7 @@ def density_clusters(points: DataFrame, min_cluster_size: int = 100, min_samples
         conn = F.col("comp")
         if between.take(1):
             graph = between if graph is None else materialized(graph.unionByName(between))
-            labels = _connected(graph)
+            labels = components(graph)
             state = state.join(labels, F.col("comp") == F.col("v"), "left")
             conn = F.coalesce("label", "comp")
         elif graph is not None:

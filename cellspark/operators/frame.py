@@ -144,6 +144,21 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``v, label``: the least name of each node's component, by least labels of neighbours and jumps; edges: ``a, b`` of any type that has an order."""
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("o")))
+    both = materialized(both.distinct())
+    labels = both.groupBy("v").agg(F.least("v", F.min("o")).alias("label"))
+    while True:
+        labels = materialized(labels.select("v", "label"))
+        heard = both.join(labels.select(F.col("v").alias("o"), F.col("label").alias("l")), "o").groupBy("v").agg(F.min("l").alias("l"))
+        least = labels.join(heard, "v").select("v", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        jump = labels.select(F.col("v").alias("jv"), F.col("label").alias("further"))
+        labels = materialized(least.join(jump, F.col("label") == F.col("jv"), "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        if not labels.where("label != old").take(1):
+            return labels.select("v", "label")
+
+
 def running(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
     """Running values over one order of all rows (within the keys, for sums): inclusive sums, inclusive minima, and values of the row before.
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frame import components, materialized, numbered
+
+#: Pixels along a side of the tiles in which labels are worked on.
+TILE = 256
+
 
 def extract_channel(pixels: DataFrame, index: int, channel: str = "c", n_channels: str | None = None) -> DataFrame:
     """The channel ``index`` places from the end, counted from 1; channels are numbered from 0 in each image."""
@@ -76,14 +83,40 @@ def boundary(labelled: DataFrame) -> DataFrame:
     return counted.where("own > 0 and neighbours < 4").select("image", "y", "x", "label", "neighbours")
 
 
-def expand_labels(labelled: DataFrame, grid: DataFrame, distance: int) -> DataFrame:
-    """Each background pixel of the grid within the distance gets the nearest label, ties the least; labels keep their pixels."""
-    inside = labelled.where("label > 0").select("image", "y", "x", "label")
-    reach = [(dy, dx) for dy in range(-distance, distance + 1) for dx in range(-distance, distance + 1) if dy * dy + dx * dx <= distance * distance]
-    # Only edge pixels can be the nearest ones of a pixel outside.
-    claims = _shifted(boundary(inside).select("image", "y", "x", "label"), reach).select("image", "y", "x", "label", (F.col("arm.dy") * F.col("arm.dy") + F.col("arm.dx") * F.col("arm.dx")).alias("d2"))
-    best = claims.unionByName(inside.withColumn("d2", F.lit(-1))).groupBy("image", "y", "x").agg(F.min(F.struct("d2", "label")).alias("best"))
-    return best.select("image", "y", "x", F.col("best.label").alias("label")).join(grid.select("image", "y", "x").distinct(), ["image", "y", "x"], "left_semi")
+def expand_labels(labelled: DataFrame, grid: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
+    """Each background pixel of the grid within the distance gets the nearest label, ties the least; labels keep their pixels.
+
+    An exact distance transform in tiles with a margin of the distance: a scan along each row finds the nearest label in it, then each pixel
+    takes the best of the rows around it. Labels are told to the tiles that they can reach; the work for a pixel grows with the distance, not its square.
+    """
+    side, kind = max(tile, 2 * distance, 1), dict(labelled.dtypes)
+    own = grid.select("image", "y", "x").distinct().withColumns({"ty": F.floor(F.col("y") / side), "tx": F.floor(F.col("x") / side)})
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - distance) / side), F.floor((F.col(c) + distance) / side)))
+    told = labelled.where("label > 0").select("image", "y", "x", "label").withColumn("ty", reach("y")).withColumn("tx", reach("x"))
+
+    def grow(key: tuple, pixels: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[1]) * side - distance, int(key[2]) * side - distance
+        n = side + 2 * distance
+        seen = np.zeros((n, n), np.int64)
+        y, x, label = (labels[c].to_numpy(np.int64) for c in ("y", "x", "label"))
+        order = np.argsort(-label, kind="stable")  # of one pixel's labels the least is set last
+        seen[y[order] - top, x[order] - left] = label[order]
+        columns = np.broadcast_to(np.arange(n), (n, n))
+        before = np.maximum.accumulate(np.where(seen > 0, columns, -1), axis=1)
+        after = np.minimum.accumulate(np.where(seen > 0, columns, n)[:, ::-1], axis=1)[:, ::-1]
+        none = np.int64(1) << 62
+        # Squared distance and label in one number, so that the least is the nearest and then the least label.
+        pack = lambda far, at, there: np.where(there, (far * far << 32) | np.take_along_axis(seen, np.where(there, at, 0), axis=1), none)
+        best = np.minimum(pack(columns - before, before, before >= 0), pack(after - columns, after, after < n))
+        y, x = pixels["y"].to_numpy(np.int64) - top, pixels["x"].to_numpy(np.int64) - left
+        found = np.full(len(y), none)
+        for dy in range(-distance, distance + 1):
+            found = np.minimum(found, best[y + dy, x] + (np.int64(dy * dy) << 32))
+        near = found >> 32 <= distance * distance
+        return pd.DataFrame({"image": key[0], "y": pixels["y"][near], "x": pixels["x"][near], "label": found[near] & 0xFFFFFFFF})
+
+    keys = ["image", "ty", "tx"]
+    return own.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(grow, ", ".join(f"{c} {kind[c]}" for c in ("image", "y", "x", "label")))
 
 
 def threshold_objects(pixels: DataFrame, cut: Column | float) -> DataFrame:
@@ -91,20 +124,46 @@ def threshold_objects(pixels: DataFrame, cut: Column | float) -> DataFrame:
     return pixels.select("image", "y", "x", F.when(F.col("v") > cut, 1).otherwise(0).alias("label"))
 
 
-def connected_objects(mask: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def connected_objects(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Four-connected objects of the pixels with label > 0: labels run from 1 in each image, in reading order of their first pixels.
 
-    Every pixel takes the least id among itself and its neighbours until none changes; each round is one grouped minimum.
+    Tiles are labelled by themselves; pieces that touch across the tiles' borders are edges, whose components are found by
+    labels and jumps. The number of rounds follows the pieces that an object has, by their logarithm, not its pixels.
     """
-    width = Window.partitionBy("image")
-    now = mask.where("label > 0").select("image", "y", "x", F.struct("y", "x").alias("root"))
-    for _ in range(max_rounds):
-        arms = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)))))
-        told = now.withColumn("arm", arms).select("image", (F.col("y") + F.col("arm.dy")).alias("y"), (F.col("x") + F.col("arm.dx")).alias("x"), "root", ((F.col("arm.dy") == 0) & (F.col("arm.dx") == 0)).alias("own"))
-        new = told.groupBy("image", "y", "x").agg(F.min("root").alias("new"), F.max_by("root", F.col("own").cast("int")).alias("root"), F.bool_or("own").alias("own")).where("own")
-        new = new.select("image", "y", "x", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")).checkpoint() if mask.sparkSession.sparkContext.getCheckpointDir() else new.select("image", "y", "x", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")).persist()
-        now = new.drop("moved")
-        if not new.where("moved").take(1):
-            break
-    roots = now.select("image", "root").distinct().withColumn("label", F.row_number().over(width.orderBy("root")))
-    return now.join(roots, ["image", "root"]).select("image", "y", "x", "label")
+    kind = dict(mask.dtypes)
+    inside = mask.where("label > 0").select("image", "y", "x").distinct()
+    tiled = inside.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+
+    def pieces(key: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
+        y, x = pixels["y"].to_numpy(np.int64) - int(key[1]) * tile, pixels["x"].to_numpy(np.int64) - int(key[2]) * tile
+        none = tile * tile
+        root = np.full((tile + 2, tile + 2), none)
+        root[y + 1, x + 1] = y * tile + x
+        there = root < none
+        while True:
+            least = np.minimum.reduce([root, np.roll(root, 1, 0), np.roll(root, -1, 0), np.roll(root, 1, 1), np.roll(root, -1, 1)])
+            least = np.where(there, least, none)
+            # The root's own root, for the root first and then for its pixel.
+            flat = np.append(least[1:-1, 1:-1].ravel(), none)
+            hooked = flat.copy()
+            np.minimum.at(hooked, root[1:-1, 1:-1].ravel()[there[1:-1, 1:-1].ravel()], least[1:-1, 1:-1].ravel()[there[1:-1, 1:-1].ravel()])
+            jumped = hooked[hooked]
+            new = np.full_like(root, none)
+            new[1:-1, 1:-1] = np.where(there[1:-1, 1:-1], jumped[:-1].reshape(tile, tile), none)
+            if (new == root).all():
+                break
+            root = new
+        first = root[y + 1, x + 1]
+        return pd.DataFrame({"image": key[0], "y": pixels["y"], "x": pixels["x"], "ry": first // tile + int(key[1]) * tile, "rx": first % tile + int(key[2]) * tile})
+
+    shape = f"image {kind['image']}, y {kind['y']}, x {kind['x']}, ry long, rx long"
+    local = materialized(tiled.groupBy("image", "ty", "tx").applyInPandas(pieces, shape).select("image", "y", "x", F.struct("image", "ry", "rx").alias("piece")))
+    edges = []
+    for dy, dx, c in ((1, 0, "y"), (0, 1, "x")):
+        last = local.where(F.pmod(F.col(c) + 1, F.lit(tile)) == 0).select("image", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("piece").alias("a"))
+        edges.append(last.join(local.where(F.pmod(F.col(c), F.lit(tile)) == 0).withColumnRenamed("piece", "b"), ["image", "y", "x"]).select("a", "b"))
+    whole = components(edges[0].unionByName(edges[1]).distinct())
+    joined = materialized(local.join(whole, F.col("piece") == F.col("v"), "left").select("image", "y", "x", F.coalesce("label", "piece").alias("root")))
+    order = numbered(joined.groupBy("image", "root").agg(F.min(F.struct("y", "x")).alias("first")), [F.col("first")], ("image",), "number")
+    order = order.select(F.col("image").alias("i"), F.col("root").alias("r"), F.col("number").cast("int").alias("label"))
+    return joined.join(order, (F.col("image") == F.col("i")) & (F.col("root") == F.col("r"))).select("image", "y", "x", "label")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions import scalar
 from cellspark.functions.special import t_p_value
-from cellspark.operators import celltype, frame, geometry, intensity, ml, pixels, spatial, stats
+from cellspark.operators import celltype, density, frame, geometry, intensity, ml, pixels, spatial, stats
 from cellspark.plans import analysis
 from cellspark.plans.fixtures import Views, with_views
 from cellspark.streaming.incremental import windowed_counts
@@ -686,6 +686,18 @@ def embedding_clusters(d: Views) -> DataFrame:
     return ml.clusters(frame.materialized(e), ["e0", "e1"]).select("nuc_id", "kind", "e0", "e1", "cluster")
 
 
+@query()
+def density_clusters(d: Views) -> DataFrame:
+    return density.density_clusters(d.cells, 5, 3)
+
+
+@query()
+def density_cluster_sizes(d: Views) -> DataFrame:
+    """Clusters of all cells at once, by the embedding's first two components, with the sizes that ``analyze`` takes."""
+    points = d.table("embeddings").select(F.lit("all").alias("image"), F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("y"), F.col("embedding")[1].cast("double").alias("x"))
+    return frame.value_counts(density.density_clusters(points, 20, 10), "cluster")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def event_windows(d: Views) -> DataFrame:
     return rounded(windowed_counts(d.table("events")))

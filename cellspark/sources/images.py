@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import struct
-import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspark.functions.scalar import file_stem
 
-PIXELS = "image string, c int, y int, x int, v double"
+from .tiff import decode, layout, read_tiffs
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".tif", recursive: bool = False) -> DataFrame:
@@ -25,30 +24,15 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".tif", recursive
 
 
 def read_tiff(data: bytes) -> np.ndarray:
-    """Baseline TIFF, first directory: strips, 8, 16 or 32 bits, uncompressed or deflate. Height x width x channels."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    kinds = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
-    tags: dict[int, list[int]] = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        entry = at + 2 + 12 * i
-        tag, kind, n = struct.unpack_from(order + "HHI", data, entry)
-        if kind in kinds:
-            code, width = kinds[kind]
-            place = entry + 8 if n * width <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            tags[tag] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
-    width, height, bits = tags[256][0], tags[257][0], tags.get(258, [1])[0]
-    channels, packing, kind = tags.get(277, [1])[0], tags.get(259, [1])[0], tags.get(339, [1])[0]
-    if bits not in (8, 16, 32) or packing not in (1, 8, 32946):
-        raise ValueError(f"unsupported TIFF: {bits} bits, compression {packing}")
-    strips = [data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(strips if packing == 1 else [zlib.decompress(s) for s in strips])
-    dtype = np.dtype(f"{order}{'f' if kind == 3 else 'i' if kind == 2 else 'u'}{bits // 8}")
-    flat = np.frombuffer(raw, dtype, height * width * channels)
-    planar = tags.get(284, [1])[0] == 2
-    return flat.reshape(channels, height, width).transpose(1, 2, 0) if planar else flat.reshape(height, width, channels)
+    """The first image of a TIFF file in memory: height x width x channels."""
+    file = io.BytesIO(data)
+    shape = layout(file)
+    out = np.zeros((shape.height, shape.width, shape.channels), shape.dtype.newbyteorder("="))
+    for i in range(len(shape.offsets)):
+        plane, top, left = shape.place(i)
+        part = decode(file, shape, i)
+        out[top : top + part.shape[0], left : left + part.shape[1], slice(None) if plane is None else slice(plane, plane + 1)] = part
+    return out
 
 
 def write_tiff(image: np.ndarray) -> bytes:
@@ -62,25 +46,10 @@ def write_tiff(image: np.ndarray) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 8 + len(raw)) + raw + body
 
 
-def scan_images(spark: SparkSession, folder: str, suffix: str = ".tif") -> tuple[DataFrame, DataFrame]:
-    """Pixels of all readable images, and ``image, error`` of the others. A bad file never stops the scan."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select(file_stem(F.col("path")).alias("image"), "content")
-
-    def decode(frames):
-        for df in frames:
-            for name, content in zip(df["image"], df["content"], strict=True):
-                try:
-                    a = read_tiff(bytes(content))
-                except Exception as e:  # noqa: BLE001  the error becomes a row
-                    yield pd.DataFrame({"image": [name], "c": [None], "y": [None], "x": [None], "v": [None], "error": [f"{type(e).__name__}: {e}"]})
-                    continue
-                for top in range(0, a.shape[0], 256):
-                    part = a[top : top + 256]
-                    y, x, c = np.indices(part.shape)[[0, 1, 2]]
-                    yield pd.DataFrame({"image": name, "c": c.ravel(), "y": y.ravel() + top, "x": x.ravel(), "v": part.ravel().astype(float), "error": None})
-
-    rows = files.mapInPandas(decode, PIXELS + ", error string")
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("image", "error")
+def scan_images(spark: SparkSession, folder: str, suffix: str = ".tif", channels: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pixels of all readable images, and ``image, error`` of the others. A bad file never stops the scan; a folder without files raises."""
+    rows = read_tiffs(spark, folder, suffix, channels)
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("image", "error").distinct()
 
 
 def pair_by_stem(left: DataFrame, right: DataFrame) -> DataFrame:
