@@ -13,7 +13,7 @@ from cellspark.plans import analysis
 from cellspark.plans.config import default_config, load_config, save_config
 from cellspark.session import session
 from cellspark.sources import images, tables
-from cellspark.streaming.incremental import STEPS, StepState
+from cellspark.streaming.incremental import STEPS, FileLog, StepState, process_each_file
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -150,6 +150,28 @@ def extract(spark, raw: str, labels: str, output: str, proteins: list[str], cell
         tables.write_results({f"{name}_levels": protein_levels(spark.read.parquet(path), where)}, output)
 
 
+def extract_by_image(spark, raw: str, labels: str, output: str, proteins: list[str], state: str, cells: bool = False, radius: int = 10, per_batch: int = 64, resume: bool = False) -> FileLog:
+    """As :func:`extract`, a batch of images at a time: an image's rows are replaced as a whole, each image is logged, and bad ones become rows of ``failed_images``. With ``resume``, images that are done stay as they are and failed ones are tried again."""
+    log = FileLog(spark, f"{state}/log")
+    if not resume:
+        log.reset("extract")
+
+    def work(names: list[str]) -> None:
+        own = lambda path: spark.read.parquet(path).withColumn("image", F.col("image").cast("string")).where(F.col("image").isin(names))
+        picture, labelled = own(raw), own(labels)
+        results = {"nuc_features": nuclear_features(picture, labelled), "spatial_coordinates": pixels.regions(labelled).select("image", "label", nuc_id().alias("nuc_id"), F.col("centroid_y").alias("centroid-0"), F.col("centroid_x").alias("centroid-1"))}
+        where = pixels.expand_labels(labelled, picture, radius) if cells else labelled
+        for path in proteins:
+            results[f"{path.rstrip('/').rsplit('/', 1)[-1]}_levels"] = protein_levels(own(path), where)
+        for name, df in results.items():
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image").parquet(f"{output}/{name}")
+
+    image = F.url_decode(F.replace(F.regexp_extract("path", "/image=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    process_each_file(spark, labels, "extract", work, log, f"{state}/stream", image, "*.parquet", per_batch, resume)
+    log.status("extract").where("status = 'failed'").select(F.col("file").alias("image"), "error").write.mode("overwrite").parquet(f"{output}/failed_images")
+    return log
+
+
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     if args.command == "init":
@@ -188,7 +210,7 @@ def run_pipeline(spark, config: dict, args) -> int:
     work = {
         "preprocess": lambda: preprocess(spark, pre.get("input_dir", "input"), f"{out}/images", pre["channels"], pre["quantiles"]),
         "segment": lambda: segment(spark, f"{out}/images/dapi_scaled", f"{out}/labels", config["segmentation"].get("prob_thresh", 0.43)),
-        "extract": lambda: extract(spark, f"{out}/images/dapi", f"{out}/labels", f"{out}/features", [f"{out}/images/{c}" for c in pre["channels"] if c != "dapi"]),
+        "extract": lambda: extract_by_image(spark, f"{out}/images/dapi", f"{out}/labels", f"{out}/features", [f"{out}/images/{c}" for c in pre["channels"] if c != "dapi"], f"{out}/state_extract", resume=args.resume),
         "analyze": lambda: _analyze(spark, f"{out}/features", f"{out}/results", options.get("types", ["cell_type"]), options.get("metadata"), threshold=options.get("correlation_threshold", 0.8), seed=options.get("random_seed", 1234)),
     }
     for step in [s for s in STEPS if s in (state.remaining(args.steps) if args.resume else args.steps)]:

@@ -10,8 +10,9 @@ from cellspark.functions.scalar import nan_to_null
 
 
 def read_features(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header (or Parquet); no column becomes an index, NaN becomes null."""
-    if path.rstrip("/").endswith(".parquet"):
+    """CSV with a header, or Parquet by its name or that of its files; no column becomes an index, NaN becomes null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    if path.rstrip("/").endswith(".parquet") or files.load(path).select("path").take(1):
         df = spark.read.parquet(path)
     else:
         reader = spark.read.option("header", "true")
