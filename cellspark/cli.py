@@ -69,8 +69,13 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def preprocess(spark, source: str, output: str, channels: dict[str, int], quantiles: list[float], skip: bool = False) -> None:
+    """Channels of merged images and the scaled one. Whether images are merged is told by the first; single ones are the dapi channel as they are."""
     raw, failed = images.scan_images(spark, source)
-    for name, index in channels.items():
+    first = pixels.is_multichannel(raw, max(channels.values())).orderBy("image").first()
+    merged = first is None or first["multichannel"]
+    if not merged:
+        raw.where("c = 0").drop("c").write.mode("overwrite").partitionBy("image").parquet(f"{output}/dapi")
+    for name, index in channels.items() if merged else ():
         pixels.extract_channel(raw, index).write.mode("overwrite").partitionBy("image").parquet(f"{output}/{name}")
     if not skip:
         dapi = spark.read.parquet(f"{output}/dapi")

@@ -45,7 +45,8 @@ def mixture_thresholds(levels: DataFrame, value: str = "int_mean", group: str |
     rows = levels.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v"))
     if not group:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
-    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n")).persist()
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    counts = frame.materialized(counts)
     sizes = counts.groupBy(F.col(keys[0]).alias("_k")).agg(F.count("*").alias("d"), F.sum("n").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("k > 1")
     kind = dict(rows.dtypes)[keys[0]]
 
@@ -136,6 +137,11 @@ def positive_cells(levels: DataFrame, value: str = "int_mean", group: str | None
     return levels.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).where(F.col(value) > F.col("threshold")).drop("_g", "threshold")
 
 
+def positive_ids_of_images(levels: DataFrame, images: list[str], value: str = "int_mean", key: str = "nuc_id") -> DataFrame:
+    """The ids over their image's threshold, for the images named only; an image without rows, or of fewer than two values, has none."""
+    return positive_cells(levels.where(F.col("image").isin(images)), value).select(key)
+
+
 def assign_cell_types(features: DataFrame, aicda: DataFrame, cd3: DataFrame, mask: DataFrame | None = None, mask_threshold: float = 0.0, key: str = "nuc_id") -> DataFrame:
     """Statuses from the positive ids, and ``cell_type``: CD3 decides for T cells whatever AICDA says."""
     out = frame.mark(frame.mark(features, aicda, "aicda_status", key=key), cd3, "cd3_status", key=key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,4 +168,7 @@ def glcm(pixels: DataFrame, distances: tuple[int, ...] = (1, 5, 20), keys: tuple
     by_angle = sums.select(*keys, "d", (F.col("contrast") / t).alias("contrast"), (F.col("dis") / t).alias("dissimilarity"), ((F.col("hom") + rest) / t).alias("homogeneity"), asm.alias("asm"), F.sqrt(asm).alias("energy"), F.when(flat, F.lit(1.0)).otherwise(c / F.sqrt(F.greatest(vi * vj, F.lit(1e-300)))).alias("correlation"))
     # An angle whose shift leaves the box has no pairs: its properties are zeros, and its correlation one.
     names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy")
-    return by_angle.groupBy(*keys, "d").agg(*((F.sum(c) / 4).alias(c) for c in names), ((F.sum("correlation") + (4 - F.count("*"))) / 4).alias("correlation"))
+    found = by_angle.groupBy(*(F.col(k).alias(f"__{k}") for k in keys), F.col("d").alias("__d")).agg(*((F.sum(c) / 4).alias(c) for c in names), ((F.sum("correlation") + (4 - F.count("*"))) / 4).alias("correlation"))
+    every = top.select(*(F.col(f"_{k}").alias(k) for k in keys), F.explode(F.array(*map(F.lit, distances))).alias("d"))
+    same = reduce(lambda x, y: x & y, [F.col("d") == F.col("__d"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)])
+    return every.join(found, same, "left").select(*keys, "d", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names), F.coalesce("correlation", F.lit(1.0)).alias("correlation"))

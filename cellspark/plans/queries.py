@@ -216,17 +216,17 @@ def shape_axes(d: Views) -> DataFrame:
 @query(
     f"""WITH o AS (SELECT * FROM obj WHERE label > 0), t AS (SELECT image, label, max(v) AS top, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM o GROUP BY ALL),
 dense AS (SELECT t.image, t.label, gy AS y, gx AS x, coalesce(CAST(CASE WHEN top > 0 THEN floor(o.v / top * 255) ELSE 0 END AS INTEGER), 0) AS g FROM t, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS gy) a, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS gx) b LEFT JOIN o ON o.image = t.image AND o.label = t.label AND o.y = gy AND o.x = gx),
-s AS (SELECT * FROM (VALUES (1, 0, 0, 1), (1, 1, 1, 1), (1, 2, 1, 0), (1, 3, 1, -1), (5, 0, 0, 5), (5, 1, 4, 4), (5, 2, 5, 0), (5, 3, 4, -4)) s(d, a, dy, dx)),
+s AS (SELECT * FROM (VALUES (1, 0, 0, 1), (1, 1, 1, 1), (1, 2, 1, 0), (1, 3, 1, -1), (5, 0, 0, 5), (5, 1, 4, 4), (5, 2, 5, 0), (5, 3, 4, -4), (20, 0, 0, 20), (20, 1, 14, 14), (20, 2, 20, 0), (20, 3, 14, -14)) s(d, a, dy, dx)),
 pr AS (SELECT p.image, p.label, d, a, p.g AS i, q.g AS j, count(*) AS n FROM dense p, s, dense q WHERE q.image = p.image AND q.label = p.label AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL),
 tot AS (SELECT image, label, d, a, sum(n) AS t FROM pr GROUP BY ALL),
 m AS (SELECT image, label, d, a, sum(n / t * (i - j) * (i - j)) AS contrast, sum(n / t * abs(i - j)) AS dissimilarity, sum(n / t / (1 + (i - j) * (i - j))) AS homogeneity, sum(n / t * (n / t)) AS asm, sqrt(sum(n / t * (n / t))) AS energy,
   sum(n / t * i * i) - sum(n / t * i) * sum(n / t * i) AS vi, sum(n / t * j * j) - sum(n / t * j) * sum(n / t * j) AS vj, sum(n / t * i * j) - sum(n / t * i) * sum(n / t * j) AS c FROM pr JOIN tot USING (image, label, d, a) GROUP BY ALL),
 q AS (SELECT image, label, d, sum(contrast) / 4 AS contrast, sum(dissimilarity) / 4 AS dissimilarity, sum(homogeneity) / 4 AS homogeneity, sum(asm) / 4 AS asm, sum(energy) / 4 AS energy, (sum(CASE WHEN vi < 1e-9 OR vj < 1e-9 THEN 1.0e0 ELSE c / sqrt(vi * vj) END) + 4 - count(*)) / 4 AS correlation FROM m GROUP BY ALL)
-SELECT image, label, d, {", ".join(f"round({c} + 1.3e-8, 5) + 0.0e0 AS {c}" for c in "contrast dissimilarity homogeneity asm energy correlation".split())} FROM q""",
+SELECT t.image, t.label, dd.d, {", ".join(f"round(coalesce({c}, {int(c == 'correlation')}) + 1.3e-8, 5) + 0.0e0 AS {c}" for c in "contrast dissimilarity homogeneity asm energy correlation".split())} FROM t CROSS JOIN (VALUES (1), (5), (20)) dd(d) LEFT JOIN q ON q.image = t.image AND q.label = t.label AND q.d = dd.d""",
     "obj",
 )
 def glcm_props(d: Views) -> DataFrame:
-    return rounded(nudged(intensity.glcm(d.obj.where("label > 0"), (1, 5))), 5)
+    return rounded(nudged(intensity.glcm(d.obj.where("label > 0"), (1, 5, 20))), 5)
 
 
 @query(
@@ -497,9 +497,11 @@ def find_markers(d: Views) -> DataFrame:
     return rounded(stats.find_markers(d.feat).select("label", "feature", "n1", "n2", "mean_in", "mean_out", "delta", "abs_delta_fc", "statistic"), 6, statistic=4)
 
 
-@query(f"WITH {_WELCH} SELECT label, feature, round((m1 + 1e-15) / (m2 + 1e-15), 3) + 0.0e0 AS fold_change, round(statistic, 4) + 0.0e0 AS statistic FROM w WHERE abs(m2) > 0.002", "feat")
+@query(f"WITH {_WELCH} SELECT label, feature, CAST(printf('%.4e', (m1 + 1e-15) / (m2 + 1e-15)) AS DOUBLE) AS fold_change, round(statistic, 4) + 0.0e0 AS statistic FROM w", "feat")
 def find_markers_legacy(d: Views) -> DataFrame:
-    return rounded(stats.find_markers(d.feat, legacy=True).where("abs(mean_out) > 0.002").select("label", "feature", "fold_change", "statistic"), 3, statistic=4)
+    """Ratios of means have any size: five digits of each."""
+    m = stats.find_markers(d.feat, legacy=True)
+    return m.select("label", "feature", F.format_string("%.4e", "fold_change").cast("double").alias("fold_change"), r("statistic", 4).alias("statistic"))
 
 
 @query(f"WITH {_WELCH}, k AS (SELECT label, feature, round(abs(m1 - m2), 9) AS delta, row_number() OVER (PARTITION BY label ORDER BY round(abs(m1 - m2), 9) DESC, feature) AS rn FROM w) SELECT label, feature, round(delta, 6) AS delta, rn FROM k WHERE rn <= 10", "feat")
@@ -608,6 +610,12 @@ def positive_cells(d: Views) -> DataFrame:
     return celltype.positive_cells(d.table("customer").select(F.col("c_nationkey").alias("image"), F.col("c_custkey").alias("nuc_id"), F.col("c_acctbal").alias("int_mean"))).select("image", "nuc_id")
 
 
+@query()
+def positive_ids_of_images(d: Views) -> DataFrame:
+    names = [str(r[0]) for r in d.table("nation").select("n_nationkey").where("n_regionkey = 2").collect()]
+    return celltype.positive_ids_of_images(d.table("customer").select(F.col("c_nationkey").cast("string").alias("image"), F.col("c_custkey").alias("nuc_id"), F.col("c_acctbal").alias("int_mean")), names)
+
+
 @query(
     """SELECT p_partkey AS nuc_id, CASE WHEN p_size > 25 THEN 'positive' ELSE 'negative' END AS aicda_status, CASE WHEN p_type LIKE 'PROMO%' THEN 'positive' ELSE 'negative' END AS cd3_status, CASE WHEN p_type LIKE 'PROMO%' THEN 'T-cells' WHEN p_size > 25 THEN 'DZ B-cells' ELSE 'LZ B-cells' END AS cell_type FROM part"""
 )

@@ -154,3 +154,36 @@ def test_every_family_of_nuclear_features(spark):
     assert {"min_radius", "entropy", "i80_i20", "contrast_20", "avg_curvature", "min_calliper"} <= set(whole.columns) and whole.count() == 2
     levels = cli.protein_levels(raw, labels)
     assert "entropy" in levels.columns and levels.count() == 2
+
+
+def test_single_images_are_the_dapi_channel(spark, tmp_path):
+    from cellspark import cli
+    from cellspark.sources import images
+
+    (tmp_path / "in").mkdir()
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.tif").write_bytes(images.write_tiff(a))
+    cli.preprocess(spark, f"{tmp_path}/in", f"{tmp_path}/out", {"dapi": 1, "cd3": 2}, [0.0, 1.0])
+    got = {(r.image, r.y, r.x): r.v for r in spark.read.parquet(f"{tmp_path}/out/dapi").collect()}
+    assert len(got) == 24 and got["b", 2, 3] == 11 and not (tmp_path / "out" / "cd3").exists()
+    assert spark.read.parquet(f"{tmp_path}/out/dapi_scaled").agg({"v": "max"}).first()[0] == 255
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        cli.preprocess(spark, f"{tmp_path}/none", f"{tmp_path}/out", {"dapi": 1}, [0.0, 1.0])
+
+
+def test_texture_at_distances_beyond_the_object(spark):
+    from cellspark.operators import intensity
+
+    df = spark.createDataFrame([("a", 1, y, x, float(x + y)) for y in range(3) for x in range(3)], "image string, label int, y int, x int, v double")
+    got = {r.d: r for r in intensity.glcm(df).collect()}
+    assert set(got) == {1, 5, 20} and got[20].contrast == 0 and got[20].correlation == 1 and got[1].contrast > 0
+
+
+def test_positive_ids_of_named_images(spark):
+    from cellspark.operators import celltype
+
+    rows = [(i, f"{i}{k}", float(k % 10 + (50 if k >= 10 else 0))) for i in "abc" for k in range(20)]
+    got = celltype.positive_ids_of_images(spark.createDataFrame(rows, "image string, nuc_id string, int_mean double"), ["a", "c", "none"])
+    assert {r.nuc_id for r in got.collect()} == {f"{i}{k}" for i in "ac" for k in range(10, 20)}
