@@ -662,6 +662,81 @@ def auc_trapezoid(d: Views) -> DataFrame:
     return rounded(ml.auc(ml.roc_points(d.scored, "truth", "score")))
 
 
+_FOLDED = "p AS (SELECT *, CAST(id % 5 AS INTEGER) AS fold FROM scored)"
+
+
+def _folded(d: Views) -> DataFrame:
+    return d.scored.withColumn("fold", (F.col("id") % 5).cast("int"))
+
+
+@query(
+    f"""WITH {_FOLDED}, l AS (SELECT fold, truth AS label FROM p UNION SELECT fold, predicted FROM p),
+g AS (SELECT l.fold, l.label, count(*) FILTER (WHERE truth = l.label) AS t, count(*) FILTER (WHERE predicted = l.label) AS k, count(*) FILTER (WHERE truth = l.label AND predicted = l.label) AS h FROM l JOIN p ON l.fold = p.fold GROUP BY ALL)
+SELECT fold, round(sum(h) / sum(t), 6) AS accuracy, round(avg(CASE WHEN t > 0 THEN h / t END), 6) AS balanced_accuracy, round(avg(2.0e0 * h / (t + k)), 6) AS f1_macro FROM g GROUP BY fold""",
+    "scored",
+)
+def fold_scores(d: Views) -> DataFrame:
+    return rounded(ml.fold_scores(_folded(d), "truth"))
+
+
+@query(
+    f"""WITH {_FOLDED}, c AS (SELECT fold, truth, predicted, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT fold, truth, predicted, n / sum(n) OVER (PARTITION BY fold, truth) AS share FROM c), k AS (SELECT truth, count(DISTINCT fold) AS k FROM p GROUP BY truth)
+SELECT truth, predicted, round(sum(share) / any_value(k), 6) AS share FROM s JOIN k USING (truth) GROUP BY truth, predicted""",
+    "scored",
+)
+def mean_fold_confusion(d: Views) -> DataFrame:
+    return rounded(ml.mean_fold_confusion(_folded(d), "truth"))
+
+
+@query("SELECT round(avg(CASE WHEN truth = predicted THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM scored", "scored")
+def accuracy(d: Views) -> DataFrame:
+    return rounded(ml.accuracy(d.scored, "truth", "predicted"))
+
+
+@query(
+    """WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT label, CAST(CASE WHEN pos < (n % 10) * (n // 10 + 1) THEN pos // (n // 10 + 1) ELSE n % 10 + (pos - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1) END AS INTEGER) AS fold, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM k GROUP BY ALL"""
+)
+def ordered_folds(d: Views) -> DataFrame:
+    return ml.ordered_folds(d.table("embeddings"), "label", "vec_id").groupBy("label", "fold").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+
+
+@query("SELECT count(DISTINCT label) FILTER (WHERE label <> 3) AS n_clusters FROM embeddings")
+def n_clusters(d: Views) -> DataFrame:
+    """Label 3 stands for noise here."""
+    return ml.n_clusters(d.table("embeddings").select(F.when(F.col("label") == 3, -1).otherwise(F.col("label")).alias("cluster")))
+
+
+@query("SELECT id, round(score, 9) AS score FROM scored WHERE score < 0.05", "scored")
+def significant_rows(d: Views) -> DataFrame:
+    return rounded(frame.significant(d.scored, "score").select("id", "score"), 9)
+
+
+@query("SELECT count(*) FILTER (WHERE score < 0.05) AS n_significant FROM scored", "scored")
+def n_significant(d: Views) -> DataFrame:
+    return frame.n_significant(d.scored, "score")
+
+
+@query("SELECT id, round(score, 9) AS score FROM scored ORDER BY scored.score, id LIMIT 25", "scored")
+def top_features(d: Views) -> DataFrame:
+    return rounded(frame.top_n(d.scored, [F.col("score"), F.col("id")], 25).select("id", "score"), 9)
+
+
+@query(
+    """WITH c AS (SELECT CASE WHEN p_type LIKE 'PROMO%' THEN 'T-cells' WHEN p_size > 25 THEN 'DZ B-cells' ELSE 'LZ B-cells' END AS cell_type, p_retailprice > 1200 AS inside FROM part)
+SELECT cell_type, count(*) FILTER (WHERE inside) AS positive, count(*) FILTER (WHERE NOT inside) AS negative FROM c GROUP BY ALL"""
+)
+def cell_types_by_gc_status(d: Views) -> DataFrame:
+    p = d.table("part").withColumnRenamed("p_partkey", "nuc_id")
+    typed = celltype.assign_cell_types(p.select("nuc_id"), p.where("p_size > 25"), p.where(F.col("p_type").startswith("PROMO")), p.select("nuc_id", (F.col("p_retailprice").cast("double") - 1200).alias("int_mean")))
+    return frame.crosstab(typed, "cell_type", "gc_status", ["positive", "negative"])
+
+
+@query(f"WITH {_RAW}, u AS (SELECT image, label, {_MOMENTS.replace('sum(v', 'sum(1.0e0')} FROM o GROUP BY ALL) SELECT * FROM u", "obj")
+def unweighted_moments(d: Views) -> DataFrame:
+    return intensity.raw_moments(d.obj.where("label > 0"), weighted=False)
+
+
 #: All components of an embedding.
 _COMPONENTS = [f"f{k}" for k in range(64)]
 
@@ -672,12 +747,12 @@ def _wide(d: Views) -> DataFrame:
 
 @query()
 def cross_validation(d: Views) -> DataFrame:
-    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id")["folds"]
+    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id", want=("predictions",))["folds"]
 
 
 @query()
 def feature_importance(d: Views) -> DataFrame:
-    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id")["importance"]
+    return ml.cross_validate(_wide(d), _COMPONENTS, "kind", "nuc_id", want=("importance",))["importance"]
 
 
 @query()
