@@ -9,6 +9,7 @@ A text none of whose overlaps resynchronises (one endless run of letters, say) i
 
 Defined results: a null or empty text has no ids and decodes to no bytes; a null ``doc_id``
 is kept; repeated rows each give a row; other columns are ignored.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ The documents are never shuffled: the benchmark comes to them, in blocks of ``BL
 
 Defined results: null and empty texts, and null and empty items, match nothing; equal items
 are all reported; repeated rows each give a row; a null ``doc_id`` is kept.
+Very long texts are worked on whole, in overlapping slices; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ shares a bucket with probability ``1 - (1 - 0.8**ROWS)**BANDS``, over 0.9999995.
 Defined results: null and blank texts have no shingles and stay by themselves; fewer words than a
 shingle's are one shingle; repeated rows each give a row; rows with a null ``doc_id`` take part and
 count as the smallest id (their ``component_id`` is null, as is that of all that they reach).
+Very long texts are worked on whole; other columns, also those named like results, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

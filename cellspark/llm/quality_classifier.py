@@ -12,6 +12,8 @@ Bound (a documented parameter): ``MAX_FIT`` labelled rows are fitted, those of t
 Defined results: null and empty texts are judged by the features of an empty text; null hosts
 and languages are groups of their own; without labels of both kinds every document is kept;
 repeated rows each give a row; other columns are carried by :func:`keep` and ignored otherwise.
+Very long texts are measured whole; a score equal to the threshold is kept; an empty table gives an empty one. Standardised
+features are clipped at 8 spreads and log odds at 12, so that no single document decides a site.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ host whose posterior mean rate is over ``max_rate`` loses its passing documents
 Defined results: null or empty texts have no words and fail the base rules; documents with a
 null host form a host of their own; repeated rows each give a row; one host, or hosts of equal
 rates, make a prior of strength ``MAX_STRENGTH``; other columns are ignored.
+Very long texts are worked on whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

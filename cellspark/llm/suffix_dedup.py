@@ -25,6 +25,7 @@ instead of its bytes, and lengths and places count words.
 
 Defined results: null texts are empty; shorter texts lose nothing; repeated rows are repeats of
 each other; a null ``doc_id`` is kept. Rows are told apart by a 64-bit hash of id and text.
+Very long texts are worked on whole, in segments of bounded size; other columns, also those named like results, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ text); nothing of them, label or text, is learnt from.
 
 Defined results: null and empty texts get the score of a document without features; without
 positives every score is the prior (0 if there are no labels); repeated rows each give a row.
+Very long texts are scored whole; other columns, also those named like results, are ignored; an empty table gives an empty one; a score of
+one half is predicted as 1.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Defined results: a record without URL or date resolves to nothing; a response co
 only if its date is; of responses of one date the one with the highest ``record_id`` counts; a revisit whose
 validators are all absent, or differ, is unverified and keeps its own headers only; repeated
 rows each give a row.
+Very long payloads never enter the window; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations

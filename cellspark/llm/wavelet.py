@@ -12,6 +12,7 @@ passes, one for each plane and place.
 
 Defined results: a null or empty text holds only the end id; null ``doc_id`` rows come first
 (in the order of their texts, as do repeated ids); an empty table has no files.
+Very long texts are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
