@@ -7,6 +7,7 @@ an image. Nearest neighbours are looked for on grids of growing cells. Measures
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -74,12 +75,35 @@ def ranked(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("image", "id", *keys).orderBy(F.round("d2", 9), "tid")))
 
 
+#: Others in a grid cell, for each neighbour asked for, beyond which the cell is halved; and how often at most.
+CROWD, HALVINGS = 32, 12
+
+
+def _leveled(asked: DataFrame, sides: DataFrame, place: Callable[..., Column]) -> tuple[DataFrame, int]:
+    """``asked`` with ``level``: how often its grid must be halved until its cell is not crowded; and the greatest level."""
+    level, open_rows, done = 0, asked, []
+    while True:
+        f = 2.0**-level
+        full = sides.groupBy(F.col("ti").alias("ci"), place("ty", "ey", "es", f).alias("cy"), place("tx", "ex", "es", f).alias("cx")).agg(F.count("*").alias("held"))
+        seen = open_rows.withColumns({"gy": place("y", "y0", "side", f), "gx": place("x", "x0", "side", f)})
+        seen = seen.join(full, (F.col("image") == F.col("ci")) & (F.col("gy") == F.col("cy")) & (F.col("gx") == F.col("cx")), "left")
+        crowded = F.coalesce(F.col("held") > CROWD * (F.col("k") + 1), F.lit(False)) if level < HALVINGS else F.lit(False)
+        seen = materialized(seen.select(*open_rows.columns, crowded.alias("crowded")))
+        done.append(seen.where("not crowded").drop("crowded").withColumn("level", F.lit(level)))
+        open_rows = seen.where("crowded").drop("crowded")
+        if not open_rows.take(1):
+            return reduce(DataFrame.unionByName, done), level
+        level += 1
+
+
 def k_nearest(cells: DataFrame, others: DataFrame, k: Column, same: Column | None = None) -> DataFrame:
     """The k nearest others of each cell in its image: ``image, id, cell_type, tid, tt, d2, rn``; k may differ by image. ``same``: which pairs count.
 
     Cells look around in the nine grid cells about them. Whoever has k there, none farther than the nine reach, is
-    done; the rest look again in a grid twice as wide, until the nine cover the image's others. So the work
-    follows the neighbours, an image is spread over its grid cells, and crowded and empty places each find their own scale.
+    done; the rest look again in a grid twice as wide, until the nine cover the image's others. The first grid follows the image's mean
+    density; where its cells hold too many others, it is halved, up to ``HALVINGS`` times, before their cells look around for the first time. So
+    the work follows the neighbours, an image is spread over its grid cells, and crowded and empty places each find their own
+    scale. Only others at one and the same place can't be parted.
     """
     told = _targets(others)
     asked = cells.select("image", "id", "y", "x", "cell_type", k.cast("int").alias("k"))
@@ -97,11 +121,14 @@ def k_nearest(cells: DataFrame, others: DataFrame, k: Column, same: Column | Non
     sides = told.join(grids.select("ei", F.col("y0").alias("ey"), F.col("x0").alias("ex"), F.col("side").alias("es")), F.col("ti") == F.col("ei")).drop("ei")
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, factor = [], 1.0
+    place = lambda c, zero, side, f: F.floor((F.col(c) - F.col(zero)) / (F.col(side) * f))
+    still, level = _leveled(still, sides, place)
+    parts, factor = [], 2.0**-level
     while True:
-        place = lambda c, zero, side: F.floor((F.col(c) - F.col(zero)) / (F.col(side) * factor))  # noqa: B023, E731
-        heard = sides.withColumn("o", around).select("ti", "tid", "ty", "tx", "tt", (place("ty", "ey", "es") + F.col("o.i")).alias("tgy"), (place("tx", "ex", "es") + F.col("o.j")).alias("tgx"))
-        keyed = still.withColumns({"gy": place("y", "y0", "side"), "gx": place("x", "x0", "side")})
+        # Who starts in a wider grid waits for it.
+        waiting, still = (None, still) if level <= 0 else (still.where(F.col("level") < level), still.where(F.col("level") >= level))
+        heard = sides.withColumn("o", around).select("ti", "tid", "ty", "tx", "tt", (place("ty", "ey", "es", factor) + F.col("o.i")).alias("tgy"), (place("tx", "ex", "es", factor) + F.col("o.j")).alias("tgx"))
+        keyed = still.withColumns({"gy": place("y", "y0", "side", factor), "gx": place("x", "x0", "side", factor)})
         # Few rows come in and many pairs go out, so that the bytes that come in must not decide on the number of tasks.
         pairs = keyed.repartition(tasks, "image", "gy", "gx").join(heard, (F.col("image") == F.col("ti")) & (F.col("gy") == F.col("tgy")) & (F.col("gx") == F.col("tgx"))).withColumn("d2", _d2())
         pairs = pairs if same is None else pairs.where(same)
@@ -110,16 +137,17 @@ def k_nearest(cells: DataFrame, others: DataFrame, k: Column, same: Column | Non
         s, beyond = F.col("side") * factor, F.lit(float("inf"))
         # How far the nine cells reach on each side; endlessly where no others lie beyond.
         low = lambda c, g, zero: F.when(F.col(g) <= 1, beyond).otherwise(F.col(c) - F.col(zero) - (F.col(g) - 1) * s)  # noqa: B023, E731
-        high = lambda c, g, zero, end: F.when(F.col(g) >= place(end, zero, "side") - 1, beyond).otherwise((F.col(g) + 2) * s - F.col(c) + F.col(zero))  # noqa: B023, E731
+        high = lambda c, g, zero, end: F.when(F.col(g) >= place(end, zero, "side", factor) - 1, beyond).otherwise((F.col(g) + 2) * s - F.col(c) + F.col(zero))  # noqa: B023, E731
         reach = F.least(low("y", "gy", "y0"), high("y", "gy", "y0", "y1"), low("x", "gx", "x0"), high("x", "gx", "x0", "x1"))
         done = (reach == beyond) | F.coalesce((F.col("got") >= F.col("k")) & (reach > 0) & (F.col("far") + 1e-6 < reach * reach), F.lit(False))
         judged = keyed.join(got, (F.col("image") == F.col("gi")) & (F.col("id") == F.col("gid")), "left").withColumn("done", done).drop("gi", "gid", "got", "far", "gy", "gx")
         rest = materialized(judged.where(~F.col("done")).drop("done"))
-        if not rest.take(1):
-            parts.append(near)
+        again = bool(rest.take(1))
+        parts.append(near.join(rest.select(F.col("image").alias("ri"), F.col("id").alias("rid")), (F.col("image") == F.col("ri")) & (F.col("id") == F.col("rid")), "left_anti") if again else near)
+        if not again and waiting is None:
             break
-        parts.append(near.join(rest.select(F.col("image").alias("ri"), F.col("id").alias("rid")), (F.col("image") == F.col("ri")) & (F.col("id") == F.col("rid")), "left_anti"))
-        still, factor = rest, factor * 2
+        still = rest if waiting is None else materialized(waiting.unionByName(rest)) if again else waiting
+        factor, level = factor * 2, level - 1
     return reduce(DataFrame.unionByName, parts).drop("k")
 
 
