@@ -172,17 +172,22 @@ def cross_validate(df: DataFrame, columns: list[str], label: str, key: str, fold
 
 
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], label: str, positive: str, key: str, seed: int = 42, trees: int = 100) -> DataFrame:
-    """``test`` with the probability of the positive label, the predicted and the positive label."""
+    """``test`` with the probability of the positive label, the predicted and the positive label; without training rows the first two are null."""
+    if not train.take(1):
+        return test.withColumns({"probability": F.lit(None).cast("double"), "predicted_positive": F.lit(None).cast("boolean"), "positive_label": F.lit(positive)})
     rows = weighted(_assembled(train.withColumn("_y", (F.col(label) == positive).cast("double")), columns))
     out = _forest(seed, trees).fit(rows).transform(_assembled(test, columns))
     return out.withColumns({"probability": vector_to_array("_prob")[1], "predicted_positive": F.col("_pred") == 1.0, "positive_label": F.lit(positive)}).drop("_x", "_raw", "_prob", "_pred")
 
 
 def split_for_probability(cells: DataFrame, key: str = "nuc_id", share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training rows: ``share`` of the smaller B-cell class from each class of the non-interactors. Test rows: all other non-interactors and the interactors."""
+    """Training rows: ``share`` of the smaller B-cell class from each class of the non-interactors. Test rows: all other non-interactors and the interactors.
+
+    Where a class has no non-interactors, nothing is trained on.
+    """
     b = cells.where(F.col("cell_type").isin("DZ B-cells", "LZ B-cells"))
     away, near = b.where("influence = 'Non-T-cell interactors'"), b.where("influence = 'T-cell interactors'")
-    size = away.groupBy("cell_type").count().agg(F.floor(share * F.min("count")).alias("size"))
+    size = away.agg(F.floor(share * F.least(F.count_if(F.col("cell_type") == "DZ B-cells"), F.count_if(F.col("cell_type") == "LZ B-cells"))).alias("size"))
     numbered = _numbered(away, "cell_type", key, seed).join(F.broadcast(size))  # one row
     return numbered.where(F.col("_rn") <= F.col("size")).drop("_rn", "size"), numbered.where(F.col("_rn") > F.col("size")).drop("_rn", "size").unionByName(near)
 

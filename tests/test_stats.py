@@ -211,3 +211,13 @@ def test_paired_and_rank_tests_of_two_groups(spark):
     markers = stats.sorted_markers(stats.find_markers(df.withColumnRenamed("g", "label"))).collect()
     assert [m.p_adj for m in markers] == sorted(m.p_adj for m in markers)
     assert frame.centroid_columns(["a", "x_Centroid", "centroid_0", "centroid_1"]) == ("centroid_0", "centroid_1") and frame.centroid_columns(["My_centroid_y", "b", "centroidX"]) == ("My_centroid_y", "centroidX")
+
+
+def test_probability_without_training_rows(spark):
+    """All cells lie near T cells, or one class only lies apart: test rows stay, without a probability."""
+    near, away = "T-cell interactors", "Non-T-cell interactors"
+    for far in ([], [(9, "DZ B-cells", away, 9.0), (10, "DZ B-cells", away, 8.0)]):
+        rows = [(i, "DZ B-cells" if i % 2 else "LZ B-cells", near, float(i)) for i in range(6)] + far
+        train, test = ml.split_for_probability(spark.createDataFrame(rows, "nuc_id int, cell_type string, influence string, y double"))
+        out = ml.fit_predict(train, test, ["y"], "cell_type", "DZ B-cells", "nuc_id").collect()
+        assert sorted(r.nuc_id for r in out) == sorted(r[0] for r in rows) and all(r.probability is None for r in out)
