@@ -35,10 +35,10 @@ def mixture_means(n: np.ndarray, v: np.ndarray, steps: int = 500, tol: float = 1
     return float(mean[0]), float(mean[1])
 
 
-def mixture_thresholds(levels: DataFrame, value: str = "int_mean", group: str | None = "image", bins: int = 4096) -> DataFrame:
+def mixture_thresholds(levels: DataFrame, value: str = "int_mean", group: str | None = "image", bins: int = 1 << 20) -> DataFrame:
     """``[group,] threshold``: the middle of the two component means; groups of fewer than two values have none.
 
-    Fits are on exact values with their counts. A group of at most ``bins`` distinct values is fitted in one task;
+    Fits are on exact values with their counts. A group of at most ``bins`` distinct values, a few dozen MB, is fitted in one task;
     for all larger ones together each round of the fit is one grouped aggregation over their counts.
     """
     keys = [group] if group else []
