@@ -221,3 +221,21 @@ def test_probability_without_training_rows(spark):
         train, test = ml.split_for_probability(spark.createDataFrame(rows, "nuc_id int, cell_type string, influence string, y double"))
         out = ml.fit_predict(train, test, ["y"], "cell_type", "DZ B-cells", "nuc_id").collect()
         assert sorted(r.nuc_id for r in out) == sorted(r[0] for r in rows) and all(r.probability is None for r in out)
+
+
+def test_large_groups_are_fitted_at_once(spark, monkeypatch):
+    """Five thousand distinct values of a group need no round of jobs for each step of the fit."""
+    monkeypatch.setattr(celltype, "_means_by_rounds", lambda *a: pytest.fail("rounds"))
+    v = np.concatenate([np.random.default_rng(1).normal(0, 1, 2500), np.random.default_rng(2).normal(9, 1, 2500)])
+    (r,) = celltype.mixture_thresholds(spark.createDataFrame([("a", float(x)) for x in v], "image string, int_mean double")).collect()
+    assert r.threshold == pytest.approx(sum(celltype.mixture_means(np.ones(5000), np.sort(v))) / 2, rel=1e-6)
+
+
+def test_quartiles_by_running_counts(spark, monkeypatch):
+    """No aggregate holds a column's values, and quartiles interpolate as before."""
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("percentile"))
+    a, b = [float((i * 7) % 23) for i in range(50)], [float(i) if i % 3 else None for i in range(50)]
+    got = {r.feature: r for r in frame.describe(spark.createDataFrame([(x, y, None) for x, y in zip(a, b, strict=True)], "a double, b double, none double"), ["a", "b", "none"]).collect()}
+    for c, v in (("a", a), ("b", [x for x in b if x is not None])):
+        assert got[c].n == len(v) and [got[c].p25, got[c].p50, got[c].p75] == pytest.approx(list(np.percentile(v, [25, 50, 75])))
+    assert got["none"].n == 0 and got["none"].p50 is None
