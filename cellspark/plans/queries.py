@@ -766,7 +766,7 @@ def dz_probability(d: Views) -> DataFrame:
 @query()
 def embedding_clusters(d: Views) -> DataFrame:
     e = ml.embedding(_wide(d), _COMPONENTS).select("nuc_id", "kind", "e0", "e1")
-    return ml.clusters(frame.materialized(e), ["e0", "e1"]).select("nuc_id", "kind", "e0", "e1", "cluster")
+    return ml.clusters(frame.materialized(e), ["e0", "e1"])
 
 
 @query()
