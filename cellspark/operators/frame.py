@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Columns that describe an object but are no features of it.
 META = ("label", "label_id", "centroid-0", "centroid-1", "bbox-0", "bbox-1", "bbox-2", "bbox-3", "image", "orientation", "nuc_id")
@@ -150,6 +153,51 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_group(df: DataFrame, keys: list[str], columns: list[str], apply: Callable[..., list], schema: str) -> DataFrame:
+    """``apply(key, *columns)`` for each group of rows, numpy arrays in and a list of arrays or numbers out; NaN becomes null.
+
+    ``schema`` names the first keys, which are told of each row that a group returns, and then what ``apply`` returns. Tasks are
+    sorted by the keys and run through batch by batch, so a small group costs one call and a task holds no more than a batch and a group.
+    """
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields]
+
+    def record(done: list[tuple[tuple, list]]) -> pa.RecordBatch:
+        arrays = [[np.atleast_1d(a) for a in out] for _, out in done]
+        n_keys = len(fields) - len(arrays[0])
+        of = pa.array(np.repeat(np.arange(len(done)), [len(a[0]) for a in arrays]))
+        told = [pa.array([key[i] for key, _ in done], fields[i][1]).take(of) for i in range(n_keys)]
+        found = [pa.array(np.concatenate([a[i] for a in arrays]), from_pandas=True).cast(kind) for i, (_, kind) in enumerate(fields[n_keys:])]
+        return pa.RecordBatch.from_arrays([*told, *found], [name for name, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple = ()
+        parts: list[list[np.ndarray]] = []
+        whole = lambda: (key, apply(key, *(np.concatenate(p) for p in zip(*parts, strict=True))))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, values = batch.columns[: len(keys)], [c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keys) :]]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in names:
+                codes = k.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            done = []
+            for name, lo, hi in zip(zip(*(k.take(pa.array(starts)).to_pylist() for k in names), strict=True), starts, [*starts[1:], batch.num_rows], strict=True):
+                if parts and name != key:
+                    done.append(whole())
+                    parts = []
+                key = name
+                parts.append([c[lo:hi] for c in values])
+            if done:
+                yield record(done)
+        if parts:
+            yield record([whole()])
+
+    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v, label``: the least name of each node's component, by least labels of neighbours and jumps; edges: ``a, b`` of any type that has an order."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("o")))

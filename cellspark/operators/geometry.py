@@ -1,4 +1,4 @@
-"""Geometry of single objects that needs ordered points: one Arrow batch of pixels per object.
+"""Geometry of single objects that needs ordered points: one call per object, many objects in an Arrow batch.
 
 An object's pixels fit a task (they are its box); the objects, not the images, are the groups.
 Definitions: edge pixels lack one of four neighbours in the object (pixels on the box's rim count
@@ -9,9 +9,10 @@ as 1, diagonal ones as sqrt 2 and corners as their mean; radii are distances of
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .frame import by_group
+
 RADII = ["min_radius", "max_radius", "med_radius", "avg_radius", "mode_radius", "d25_radius", "d75_radius", "std_radius", "feret_max"]
 CALLIPER = ["min_calliper", "max_calliper", "smallest_largest_calliper"]
 HULL = ["perimeter", "convex_area", "concavity", "solidity", "shape_factor"]
@@ -44,12 +45,13 @@ def radii(mask: np.ndarray) -> list[float]:
     values, times = np.unique(r, return_counts=True)
     hull = convex_hull(points)
     feret = max(float(np.hypot(*(hull - h).T).max()) for h in hull)
-    return [r.min(), r.max(), np.median(r), r.mean(), values[times.argmax()], *np.percentile(r, [25, 75]), r.std(), feret]
+    q25, q50, q75 = np.percentile(r, [25, 50, 75])
+    return [values[0], values[-1], q50, r.mean(), values[times.argmax()], q25, q75, r.std(), feret]
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull in order; collinear points give their two ends."""
-    pts = sorted(map(tuple, np.unique(points, axis=0)))
+    pts = sorted(set(map(tuple, points.tolist())))
     if len(pts) < 3:
         return np.array(pts)
     halves = []
@@ -70,9 +72,11 @@ def polygon_area(corners: np.ndarray) -> float:
 
 def hull_pixels(mask: np.ndarray) -> int:
     """Pixels whose centres lie in the convex hull of the object's pixels taken as diamonds around their centres."""
-    at = np.argwhere(mask).astype(float)
+    rows = np.flatnonzero(mask.any(axis=1))
+    ends = mask[rows].argmax(axis=1), mask.shape[1] - 1 - mask[rows, ::-1].argmax(axis=1)  # what lies between a row's ends is no corner
+    at = np.concatenate([np.stack([rows, x], axis=1) for x in ends]).astype(float)
     corners = convex_hull(np.concatenate([at + d for d in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))]))
-    yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]]
+    yy, xx = np.ogrid[: mask.shape[0], : mask.shape[1]]
     inside = np.ones(mask.shape, bool)
     for (y0, x0), (y1, x1) in zip(corners, np.roll(corners, -1, axis=0), strict=True):
         inside &= (y1 - y0) * (xx - x0) - (x1 - x0) * (yy - y0) <= 1e-9
@@ -87,18 +91,24 @@ def perimeter(mask: np.ndarray) -> float:
     inner = edge[1:-1, 1:-1] == 1
     code = straight * 2 + diagonal * 10 + 1
     weights = {c: 1.0 for c in (5, 7, 15, 17, 25, 27)} | {c: 2**0.5 for c in (21, 33)} | {c: (1 + 2**0.5) / 2 for c in (13, 23)}
-    return float(sum(w * int((code[inner] == c).sum()) for c, w in weights.items()))
+    times = np.bincount(code[inner], minlength=max(weights) + 1).tolist()
+    return float(sum(w * times[c] for c, w in weights.items()))
 
 
 def callipers(mask: np.ndarray, resolution: int = 10) -> list[float]:
     """Least and greatest count of pixels across the object over turned axes, and their ratio: pixels are binned along each axis."""
     at = np.argwhere(mask).astype(float)
     at -= at.mean(axis=0)
-    widths = []
-    for degree in range(1, 361, resolution):
-        a = np.deg2rad(degree)
+    widths: list[float] = []
+    turns = np.deg2rad(np.arange(1, 361, resolution))[:, None]
+    some = max(1, (1 << 20) // len(at))  # turns at once
+    for i in range(0, len(turns), some):
+        a = turns[i : i + some]
         bins = np.floor(at[:, 1] * np.cos(a) - at[:, 0] * np.sin(a) + 0.5).astype(int)
-        widths.append(float(np.bincount(bins - bins.min()).max()))
+        bins -= bins.min(axis=1, keepdims=True)
+        span = int(bins.max()) + 1
+        counts = np.bincount((bins + span * np.arange(len(a))[:, None]).ravel(), minlength=span * len(a))
+        widths += counts.reshape(len(a), span).max(axis=1).astype(float).tolist()
     return [min(widths), max(widths), min(widths) / max(widths)]
 
 
@@ -131,7 +141,7 @@ def local_curvature(mask: np.ndarray, step: int = 2) -> np.ndarray:
 
 def peaks(v: np.ndarray, prominence: float = 0.1, width: float = 5, distance: int = 10) -> list[tuple[float, float, float]]:
     """(prominence, width at half prominence, height) of local maxima that are far enough apart, prominent and wide enough."""
-    top, i = [], 1
+    v, top, i = np.asarray(v).tolist(), [], 1
     while i < len(v) - 1:
         if v[i] > v[i - 1]:
             j = i
@@ -149,7 +159,7 @@ def peaks(v: np.ndarray, prominence: float = 0.1, width: float = 5, distance: in
     for p in sorted(keep):
         left = next((k for k in range(p - 1, -1, -1) if v[k] > v[p]), -1)
         right = next((k for k in range(p + 1, len(v)) if v[k] > v[p]), len(v))
-        rise = v[p] - max(v[left + 1 : p + 1].min(), v[p:right].min())
+        rise = v[p] - max(min(v[left + 1 : p + 1]), min(v[p:right]))
         if rise < prominence:
             continue
         level = v[p] - rise / 2
@@ -186,13 +196,9 @@ def object_geometry(y: np.ndarray, x: np.ndarray) -> list[float]:
     return [*radii(mask), *callipers(mask), around, float(hull), (hull - area) / hull, area / hull, around**2 / (4 * np.pi * area), *curvature(mask, around)]
 
 
-def geometry(pixels: DataFrame) -> DataFrame:
-    """``image, label`` and COLUMNS; missing values are null."""
-
-    def one(key, rows):
-        values = object_geometry(rows["y"].to_numpy(), rows["x"].to_numpy())
-        return pd.DataFrame([[*key, *(None if v != v else float(v) for v in values)]], columns=["image", "label", *COLUMNS]).astype({c: float for c in COLUMNS})
-
+def geometry(pixels: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:
+    """``image, label`` and COLUMNS; missing values are null. Radii alone are found without the rest, if ``columns`` is RADII."""
+    of = (lambda y, x: radii(mask_of(y, x))) if columns == RADII else object_geometry
     kinds = dict(pixels.dtypes)
-    schema = f"image {kinds['image']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in COLUMNS)
-    return pixels.select("image", "label", "y", "x").groupBy("image", "label").applyInPandas(one, schema)
+    schema = f"image {kinds['image']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in columns)
+    return by_group(pixels, ["image", "label"], ["y", "x"], lambda key, y, x: [float(v) for v in of(y, x)], schema)

@@ -249,7 +249,7 @@ SELECT bx.image, bx.label, """
     "obj",
 )
 def radii_stats(d: Views) -> DataFrame:
-    return rounded(geometry.geometry(d.obj.where("label > 0")).select("image", "label", *(c for c in geometry.RADII if c not in ("mode_radius", "feret_max"))))
+    return rounded(geometry.geometry(d.obj.where("label > 0"), geometry.RADII).select("image", "label", *(c for c in geometry.RADII if c not in ("mode_radius", "feret_max"))))
 
 
 @query()
