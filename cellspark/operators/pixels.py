@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frame import components, materialized, numbered
+from .frame import by_group, components, materialized, numbered
 
 #: Pixels along a side of the tiles in which labels are worked on.
 TILE = 256
@@ -94,29 +93,34 @@ def expand_labels(labelled: DataFrame, grid: DataFrame, distance: int, tile: int
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - distance) / side), F.floor((F.col(c) + distance) / side)))
     told = labelled.where("label > 0").select("image", "y", "x", "label").withColumn("ty", reach("y")).withColumn("tx", reach("x"))
 
-    def grow(key: tuple, pixels: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(key[1]) * side - distance, int(key[2]) * side - distance
-        n = side + 2 * distance
-        seen = np.zeros((n, n), np.int64)
-        y, x, label = (labels[c].to_numpy(np.int64) for c in ("y", "x", "label"))
+    def grow(key: tuple, y: np.ndarray, x: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        asked, known = label == 0, label > 0
+        py, px, y, x, label = y[asked].astype(np.int64), x[asked].astype(np.int64), y[known].astype(np.int64), x[known].astype(np.int64), label[known].astype(np.int64)
+        if not len(py) or not len(y):
+            return [py[:0], px[:0], label[:0]]
+        # Only the part of the tile that has pixels, with its margin.
+        top, left = py.min() - distance, px.min() - distance
+        m, n = py.max() + distance - top + 1, px.max() + distance - left + 1
+        seen = np.zeros((m, n), np.int64)
+        near = (y >= top) & (y < top + m) & (x >= left) & (x < left + n)
+        y, x, label = y[near], x[near], label[near]
         order = np.argsort(-label, kind="stable")  # of one pixel's labels the least is set last
         seen[y[order] - top, x[order] - left] = label[order]
-        columns = np.broadcast_to(np.arange(n), (n, n))
+        columns = np.broadcast_to(np.arange(n), (m, n))
         before = np.maximum.accumulate(np.where(seen > 0, columns, -1), axis=1)
         after = np.minimum.accumulate(np.where(seen > 0, columns, n)[:, ::-1], axis=1)[:, ::-1]
         none = np.int64(1) << 62
         # Squared distance and label in one number, so that the least is the nearest and then the least label.
         pack = lambda far, at, there: np.where(there, (far * far << 32) | np.take_along_axis(seen, np.where(there, at, 0), axis=1), none)
         best = np.minimum(pack(columns - before, before, before >= 0), pack(after - columns, after, after < n))
-        y, x = pixels["y"].to_numpy(np.int64) - top, pixels["x"].to_numpy(np.int64) - left
-        found = np.full(len(y), none)
+        found = np.full(len(py), none)
         for dy in range(-distance, distance + 1):
-            found = np.minimum(found, best[y + dy, x] + (np.int64(dy * dy) << 32))
+            found = np.minimum(found, best[py - top + dy, px - left] + (np.int64(dy * dy) << 32))
         near = found >> 32 <= distance * distance
-        return pd.DataFrame({"image": key[0], "y": pixels["y"][near], "x": pixels["x"][near], "label": found[near] & 0xFFFFFFFF})
+        return [py[near], px[near], found[near] & 0xFFFFFFFF]
 
-    keys = ["image", "ty", "tx"]
-    return own.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(grow, ", ".join(f"{c} {kind[c]}" for c in ("image", "y", "x", "label")))
+    both = own.withColumn("label", F.lit(0).cast(kind["label"])).unionByName(told)  # 0: a pixel that asks
+    return by_group(both, ["image", "ty", "tx"], ["y", "x", "label"], grow, ", ".join(f"{c} {kind[c]}" for c in ("image", "y", "x", "label")))
 
 
 def threshold_objects(pixels: DataFrame, cut: Column | float) -> DataFrame:
@@ -134,30 +138,36 @@ def connected_objects(mask: DataFrame, tile: int = TILE) -> DataFrame:
     inside = mask.where("label > 0").select("image", "y", "x").distinct()
     tiled = inside.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
 
-    def pieces(key: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
-        y, x = pixels["y"].to_numpy(np.int64) - int(key[1]) * tile, pixels["x"].to_numpy(np.int64) - int(key[2]) * tile
-        none = tile * tile
-        root = np.full((tile + 2, tile + 2), none)
-        root[y + 1, x + 1] = y * tile + x
+    def pieces(key: tuple, py: np.ndarray, px: np.ndarray) -> list[np.ndarray]:
+        # Only the part of the tile that has pixels, and a rim around it.
+        top, left = int(py.min()), int(px.min())
+        y, x = py.astype(np.int64) - top, px.astype(np.int64) - left
+        height, width = int(y.max()) + 1, int(x.max()) + 1
+        none = height * width
+        root = np.full((height + 2, width + 2), none)
+        root[y + 1, x + 1] = y * width + x
         there = root < none
         while True:
-            least = np.minimum.reduce([root, np.roll(root, 1, 0), np.roll(root, -1, 0), np.roll(root, 1, 1), np.roll(root, -1, 1)])
+            least = root.copy()
+            inner = least[1:-1, 1:-1]
+            for near in (root[:-2, 1:-1], root[2:, 1:-1], root[1:-1, :-2], root[1:-1, 2:]):
+                np.minimum(inner, near, out=inner)
             least = np.where(there, least, none)
             # The root's own root, for the root first and then for its pixel.
             flat = np.append(least[1:-1, 1:-1].ravel(), none)
             hooked = flat.copy()
-            np.minimum.at(hooked, root[1:-1, 1:-1].ravel()[there[1:-1, 1:-1].ravel()], least[1:-1, 1:-1].ravel()[there[1:-1, 1:-1].ravel()])
+            np.minimum.at(hooked, root[there], least[there])
             jumped = hooked[hooked]
             new = np.full_like(root, none)
-            new[1:-1, 1:-1] = np.where(there[1:-1, 1:-1], jumped[:-1].reshape(tile, tile), none)
+            new[1:-1, 1:-1] = np.where(there[1:-1, 1:-1], jumped[:-1].reshape(height, width), none)
             if (new == root).all():
                 break
             root = new
         first = root[y + 1, x + 1]
-        return pd.DataFrame({"image": key[0], "y": pixels["y"], "x": pixels["x"], "ry": first // tile + int(key[1]) * tile, "rx": first % tile + int(key[2]) * tile})
+        return [py, px, first // width + top, first % width + left]
 
     shape = f"image {kind['image']}, y {kind['y']}, x {kind['x']}, ry long, rx long"
-    local = materialized(tiled.groupBy("image", "ty", "tx").applyInPandas(pieces, shape).select("image", "y", "x", F.struct("image", "ry", "rx").alias("piece")))
+    local = materialized(by_group(tiled, ["image", "ty", "tx"], ["y", "x"], pieces, shape).select("image", "y", "x", F.struct("image", "ry", "rx").alias("piece")))
     edges = []
     for dy, dx, c in ((1, 0, "y"), (0, 1, "x")):
         last = local.where(F.pmod(F.col(c) + 1, F.lit(tile)) == 0).select("image", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("piece").alias("a"))
