@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspark.functions.scalar import guarded_ratio
 
+from .frame import by_group
+
 KEYS = ("image", "label")
 
 
@@ -131,44 +132,60 @@ def shape_from_moments(pixels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataF
     )
 
 
+def _texture(y: np.ndarray, x: np.ndarray, v: np.ndarray, steps: list[tuple[int, int]]) -> list[float]:
+    """Contrast, dissimilarity, homogeneity, angular second moment, energy and correlation of one object, means over the steps to a pair's other pixel.
+
+    Only the object's pixels are looked at, each as first and as second of its pair; pairs of two outside pixels, which are all (0, 0), follow from their number.
+    """
+    y, x = y.astype(np.int64) - int(y.min()), x.astype(np.int64) - int(x.min())
+    height, width = int(y.max()) + 1, int(x.max()) + 1
+    top = np.nanmax(v, initial=-np.inf)
+    grey = np.nan_to_num(np.floor(v / top * 255)).astype(np.int64) if top > 0 else np.zeros(len(v), np.int64)
+    order = np.lexsort((grey, y * width + x))
+    y, x, grey = y[order], x[order], grey[order]
+    place = y * width + x
+    last = np.append(place[1:] != place[:-1], True)  # of one place's values the greatest
+    y, x, grey, place = y[last], x[last], grey[last], place[last]
+    total = np.zeros(6)
+    for dy, dx in steps:
+        t = float(max(0, height - abs(dy)) * max(0, width - abs(dx)))
+        if not t:  # a step that leaves the box has no pairs: its properties are zeros, and its correlation one
+            total[5] += 1
+            continue
+        ends = []
+        for s in (1, -1):
+            oy, ox = y + s * dy, x + s * dx
+            inside = (oy >= 0) & (oy < height) & (ox >= 0) & (ox < width)
+            other = (oy * width + ox)[inside]
+            at = np.minimum(np.searchsorted(place, other), len(place) - 1)
+            ends.append((grey[inside], np.where(place[at] == other, grey[at], 0), place[at] == other))
+        (own, beside, _), (late, _, known) = ends
+        i = np.concatenate([own, np.zeros(int((~known).sum()), np.int64)]).astype(float)
+        j = np.concatenate([beside, late[~known]]).astype(float)
+        n = np.unique(i + 1j * j, return_counts=True)[1].astype(float)
+        zero, rest, far = float(((i == 0) & (j == 0)).sum()), t - len(i), i - j
+        asm = ((n * n).sum() + 2 * zero * rest + rest * rest) / (t * t)
+        si, sj = i.sum() / t, j.sum() / t
+        vi, vj, c = (i * i).sum() / t - si * si, (j * j).sum() / t - sj * sj, (i * j).sum() / t - si * sj
+        correlation = 1.0 if vi < 1e-15 or vj < 1e-15 else c / np.sqrt(max(vi * vj, 1e-300))
+        total += ((far * far).sum() / t, np.abs(far).sum() / t, ((1 / (1 + far * far)).sum() + rest) / t, asm, np.sqrt(asm), correlation)
+    return (total / len(steps)).tolist()
+
+
 def glcm(pixels: DataFrame, distances: tuple[int, ...] = (1, 5, 20), keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Grey-level co-occurrence properties per object and distance, averaged over 0, 45, 90 and 135 degrees.
 
-    Values are scaled by the object's greatest to 0..255; box pixels outside the object are zeros.
-    Pairs are found by two equi-joins on shifted places (each pixel as first and as second of its
-    pair); pairs of two outside pixels, which are all (0, 0), follow from their number.
+    Values are scaled by the object's greatest to 0..255; box pixels outside the object are zeros. An object's pixels
+    are taken in one call; no pixel is copied for each step.
     """
     from math import cos, pi, sin
 
-    top = pixels.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("v").alias("top"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    grey = F.when(F.col("top") > 0, F.floor(F.col("v") / F.col("top") * 255)).otherwise(F.lit(0)).cast("int")
-    rows = pixels.join(top, same).select(*keys, "y", "x", grey.alias("g"), "y0", "y1", "x0", "x1")
-    steps = [(d, a, round(d * sin(a * pi / 4)), round(d * cos(a * pi / 4))) for d in distances for a in range(4)]
-    arms = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for d, a, dy, dx in steps)))
-    long = rows.withColumn("s", arms).select(*keys, "y", "x", "g", "y0", "y1", "x0", "x1", "s.d", "s.a", "s.dy", "s.dx")
-    # As first of its pair the other pixel lies at (y + dy, x + dx); as second at (y - dy, x - dx).
-    first = long.select(*keys, "d", "a", "y", "x", F.col("g").alias("i"), F.lit(None).cast("int").alias("j"), "y0", "y1", "x0", "x1", "dy", "dx")
-    second = long.select(*keys, "d", "a", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), F.lit(None).cast("int").alias("i"), F.col("g").alias("j"), "y0", "y1", "x0", "x1", "dy", "dx")
-    pairs = first.unionByName(second).groupBy(*keys, "d", "a", "y", "x").agg(F.max("i").alias("i"), F.max("j").alias("j"), *(F.first(c).alias(c) for c in ("y0", "y1", "x0", "x1", "dy", "dx")))
-    within = lambda c, lo, hi: F.col(c).between(F.col(lo), F.col(hi))
-    other = (F.col("y") + F.col("dy")).between(F.col("y0"), F.col("y1")) & (F.col("x") + F.col("dx")).between(F.col("x0"), F.col("x1"))
-    pairs = pairs.where(within("y", "y0", "y1") & within("x", "x0", "x1") & other).withColumn("i", F.coalesce("i", F.lit(0))).withColumn("j", F.coalesce("j", F.lit(0)))
-    all_pairs = F.greatest(F.lit(0), F.col("y1") - F.col("y0") + 1 - F.abs("dy")) * F.greatest(F.lit(0), F.col("x1") - F.col("x0") + 1 - F.abs("dx"))
-    counts = pairs.groupBy(*keys, "d", "a", "i", "j").agg(F.count("*").alias("n"), F.first(all_pairs).alias("total"))
-    i, j, n = F.col("i").cast("double"), F.col("j").cast("double"), F.col("n").cast("double")
-    sums = counts.groupBy(*keys, "d", "a").agg(
-        F.first("total").cast("double").alias("t"), F.sum("n").cast("double").alias("seen"), F.sum(n * (i - j) * (i - j)).alias("contrast"), F.sum(n * F.abs(i - j)).alias("dis"), F.sum(n / (1 + (i - j) * (i - j))).alias("hom"),
-        F.sum(n * n).alias("sq"), F.sum(F.when((F.col("i") == 0) & (F.col("j") == 0), n).otherwise(0.0)).alias("zero"), F.sum(n * i).alias("si"), F.sum(n * j).alias("sj"), F.sum(n * i * i).alias("sii"), F.sum(n * j * j).alias("sjj"), F.sum(n * i * j).alias("sij"),
-    )
-    t, rest = F.col("t"), F.col("t") - F.col("seen")  # rest: pairs of outside pixels
-    asm = (F.col("sq") + 2 * F.col("zero") * rest + rest * rest) / (t * t)
-    vi, vj, c = F.col("sii") / t - F.pow(F.col("si") / t, 2), F.col("sjj") / t - F.pow(F.col("sj") / t, 2), F.col("sij") / t - F.col("si") * F.col("sj") / (t * t)
-    flat = (vi < 1e-15) | (vj < 1e-15)
-    by_angle = sums.select(*keys, "d", (F.col("contrast") / t).alias("contrast"), (F.col("dis") / t).alias("dissimilarity"), ((F.col("hom") + rest) / t).alias("homogeneity"), asm.alias("asm"), F.sqrt(asm).alias("energy"), F.when(flat, F.lit(1.0)).otherwise(c / F.sqrt(F.greatest(vi * vj, F.lit(1e-300)))).alias("correlation"))
-    # An angle whose shift leaves the box has no pairs: its properties are zeros, and its correlation one.
-    names = ("contrast", "dissimilarity", "homogeneity", "asm", "energy")
-    found = by_angle.groupBy(*(F.col(k).alias(f"__{k}") for k in keys), F.col("d").alias("__d")).agg(*((F.sum(c) / 4).alias(c) for c in names), ((F.sum("correlation") + (4 - F.count("*"))) / 4).alias("correlation"))
-    every = top.select(*(F.col(f"_{k}").alias(k) for k in keys), F.explode(F.array(*map(F.lit, distances))).alias("d"))
-    same = reduce(lambda x, y: x & y, [F.col("d") == F.col("__d"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)])
-    return every.join(found, same, "left").select(*keys, "d", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names), F.coalesce("correlation", F.lit(1.0)).alias("correlation"))
+    steps = [[(round(d * sin(a * pi / 4)), round(d * cos(a * pi / 4))) for a in range(4)] for d in distances]
+
+    def one(key: tuple, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        found = np.array([_texture(y, x, v, s) for s in steps])
+        return [np.array(distances), *found.T]
+
+    kind = dict(pixels.dtypes)
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in keys), "d int", *(f"{c} double" for c in ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation"))])
+    return by_group(pixels.withColumn("v", F.col("v").cast("double")), list(keys), ["y", "x", "v"], one, schema)
