@@ -3,7 +3,7 @@
 A passage within ``e`` byte edits of an item of ``m`` bytes shares at least
 ``m - q + 1 - q * e`` q-grams with it, all on ``e + 1`` neighbouring diagonals (place in the
 document minus place in the item). Shared q-grams are counted in overlapping bands of
-diagonals, bands that reach the bound are kept and verified by a banded alignment. Texts and
+diagonals, bands that reach the bound are kept and verified by an alignment in bits. Texts and
 items are compared in lower case with white space collapsed, as UTF-8 bytes; the edit budget
 of an item is ``EDIT_RATE`` of its length. Items shorter than ``Q`` bytes must occur verbatim
 between blanks or text ends.
@@ -75,11 +75,39 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int) -
     return int(now.min())
 
 
+def places_of(item: bytes) -> dict[int, int]:
+    """For each byte value, its places in the item as bits."""
+    out: dict[int, int] = {}
+    for i, byte in enumerate(item):
+        out[byte] = out.get(byte, 0) | 1 << i
+    return out
+
+
+def is_within(places: dict[int, int], m: int, region: bytes, edits: int) -> bool:
+    """Whether an item of m bytes is within the edits of any part of the region: a column of the alignment is two integers of m bits (Myers)."""
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    for byte in region:
+        same = places.get(byte, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & high:
+            score += 1
+        elif less & high:
+            score -= 1
+            if score <= edits:
+                return True
+        more, less, same = more << 1, less << 1, same | down
+        up, down = (less | ~(same | more)) & full, more & same & full
+    return m <= edits
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE):
         self.short = [(i, t) for i, t in items if 0 < len(t) < Q]
+        self.places: dict[int, dict[int, int]] = {}
         full = [(i, t) for i, t in items if len(t) >= Q]
         self.ids = [i for i, _ in full]
         self.items = [np.frombuffer(t, np.uint8) for _, t in full]
@@ -142,11 +170,15 @@ class Index:
         np.add.at(edge, np.searchsorted(hits, tight + self.reach, side="right"), -1)
         near = np.cumsum(edge[:-1]) > 0
         hits, code = hits[near], code[near]
-        text = np.searchsorted(starts, hits, side="right") - 1
-        for k in np.unique(text).tolist():  # one text at a time keeps the expansion small
-            own = text == k
+        text, first = np.unique(np.searchsorted(starts, hits, side="right") - 1, return_index=True)
+        for k, own in zip(text.tolist(), map(slice, first.tolist(), [*first[1:].tolist(), len(hits)]), strict=True):  # one text at a time keeps the expansion small
             self._bands(a, hits[own], code[own], int(starts[k]), int(starts[k]) + len(texts[k]), found[k])
 
+    def _places(self, i: int) -> dict[int, int]:
+        if i not in self.places:
+            self.places[i] = places_of(self.items[i].tobytes())
+        return self.places[i]
+
     def _bands(self, a, hits, code, begin: int, end: int, found: set[int]) -> None:
         keys, counts = [], []
         for part in np.array_split(np.arange(len(hits)), -(-len(hits) // 20_000)):
@@ -159,8 +191,10 @@ class Index:
             u, c = np.unique(key, return_counts=True)
             keys.append(u)
             counts.append(c)
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+        key, count = keys[0], counts[0]
+        if len(keys) > 1:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            count = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
         item = key >> 36
         for i, band in zip(item[count >= self.bounds[item]].tolist(), (key[count >= self.bounds[item]] & ((1 << 36) - 1)).tolist(), strict=True):
             if self.ids[i] in found:
@@ -170,7 +204,7 @@ class Index:
             region = a[begin + left : min(end, begin + low + 2 * self.width + int(self.sizes[i] + self.edits[i]))]
             if self.items[i].tobytes() in region.tobytes():
                 found.add(self.ids[i])
-            elif self.edits[i] and banded_distance(self.items[i], region, low - left - int(self.edits[i]), low - left + 2 * self.width + int(self.edits[i])) <= self.edits[i]:
+            elif self.edits[i] and is_within(self._places(i), int(self.sizes[i]), region.tobytes(), int(self.edits[i])):
                 found.add(self.ids[i])
 
 
