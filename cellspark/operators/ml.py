@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -143,11 +144,23 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(counts.join(F.broadcast(total)).select("_c", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_w"))), F.col("_y") == F.col("_c")).drop("_c")  # one row for each class
 
 
-def cross_validate(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 10, seed: int = 42, balance: bool = True, trees: int = 100, shuffle: bool = True, want: tuple[str, ...] = ("predictions", "importance")) -> dict[str, DataFrame]:
+class _Fitted(dict):
+    """Tables by name, made when they are first asked for; one call may make several."""
+
+    def __init__(self, makers: dict[str, Callable[[], dict[str, DataFrame]]]):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self.update(self.makers[name]())
+        return self[name]
+
+
+def cross_validate(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 10, seed: int = 42, balance: bool = True, trees: int = 100, shuffle: bool = True) -> dict[str, DataFrame]:
     """Out-of-fold predictions, scores by fold and importances of a forest fitted on all rows.
 
     The fold models give labels, probabilities and scores alike: ``folds`` forests for the predictions and what follows from them, one for
-    the importances; ``want`` names which of the two are fitted. With ``shuffle`` off, folds
+    the importances; either is fitted when a table that needs it is first asked for. With ``shuffle`` off, folds
     are shares in key order and only the rows that a fold's model is trained on are balanced.
     """
     names = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
@@ -155,20 +168,22 @@ def cross_validate(df: DataFrame, columns: list[str], label: str, key: str, fold
     rows = weighted(_assembled(undersample(coded, label, key, seed) if balance and shuffle else coded, columns))
     rows = stratified_folds(rows, label, key, folds, seed) if shuffle else ordered_folds(rows, label, key, folds)
     rows = frame.materialized(rows.select(key, label, "_y", "_w", "_x", "fold"))
-    out: dict[str, DataFrame] = {}
-    if "importance" in want:
+
+    def importance() -> dict[str, DataFrame]:
         final = _forest(seed, trees).fit(rows)
-        out["importance"] = df.sparkSession.createDataFrame(sorted(zip(columns, map(float, final.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0])), "feature string, importance double")
-    if "predictions" not in want:
-        return out
-    train = lambda k: undersample(rows.where(F.col("fold") != k), label, key, seed) if balance and not shuffle else rows.where(F.col("fold") != k)
-    parts = [_forest(seed, trees).fit(train(k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)]
-    back = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("_pred") + 1).cast("int"))
-    predictions = reduce(DataFrame.unionByName, parts).select(key, "fold", label, back.alias("predicted"), vector_to_array("_prob").alias("probabilities"))
-    recall = predictions.groupBy("fold", label).agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("r"))
-    by_fold = recall.groupBy("fold").agg(F.avg("r").alias("balanced_accuracy"))
-    summary = by_fold.agg(F.avg("balanced_accuracy").alias("mean"), F.stddev_pop("balanced_accuracy").alias("std"), F.min("balanced_accuracy").alias("min"), F.max("balanced_accuracy").alias("max"))
-    return out | {"predictions": predictions, "folds": by_fold, "summary": summary, "scores": fold_scores(predictions, label), "confusion": mean_fold_confusion(predictions, label)}
+        return {"importance": df.sparkSession.createDataFrame(sorted(zip(columns, map(float, final.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0])), "feature string, importance double")}
+
+    def predictions_and_scores() -> dict[str, DataFrame]:
+        train = lambda k: undersample(rows.where(F.col("fold") != k), label, key, seed) if balance and not shuffle else rows.where(F.col("fold") != k)
+        parts = [_forest(seed, trees).fit(train(k)).transform(rows.where(F.col("fold") == k)) for k in range(folds)]
+        back = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("_pred") + 1).cast("int"))
+        predictions = reduce(DataFrame.unionByName, parts).select(key, "fold", label, back.alias("predicted"), vector_to_array("_prob").alias("probabilities"))
+        recall = predictions.groupBy("fold", label).agg(F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("r"))
+        by_fold = recall.groupBy("fold").agg(F.avg("r").alias("balanced_accuracy"))
+        summary = by_fold.agg(F.avg("balanced_accuracy").alias("mean"), F.stddev_pop("balanced_accuracy").alias("std"), F.min("balanced_accuracy").alias("min"), F.max("balanced_accuracy").alias("max"))
+        return {"predictions": predictions, "folds": by_fold, "summary": summary, "scores": fold_scores(predictions, label), "confusion": mean_fold_confusion(predictions, label)}
+
+    return _Fitted({"importance": importance, **dict.fromkeys(("predictions", "folds", "summary", "scores", "confusion"), predictions_and_scores)})
 
 
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], label: str, positive: str, key: str, seed: int = 42, trees: int = 100) -> DataFrame:
