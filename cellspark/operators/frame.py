@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -153,6 +154,18 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def joined_by_shuffle(spark: SparkSession) -> Iterator[None]:
+    """No table is broadcast by the size of its files, only where a join asks for it. For the time of writes only."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_group(df: DataFrame, keys: list[str], columns: list[str], apply: Callable[..., list], schema: str) -> DataFrame:
     """``apply(key, *columns)`` for each group of rows, numpy arrays in and a list of arrays or numbers out; NaN becomes null.
 
