@@ -78,14 +78,15 @@ def test_features_of_the_same_targets_share_shuffles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 4, size=50).astype(float)
     rows = [(f"f{k}", float(v), float(w)) for k in range(5) for v, w in zip(0.1 * k * y + rng.normal(size=50), y, strict=True)]
-    rng.shuffle(rows)
-    rows = [(f, float(v), float(w)) for f, v, w in rows] + [("other", float(v), float(v + rng.normal())) for v in rng.normal(size=30)]
+    rows += [("twin", v, w) for f, v, w in rows if f == "f1"]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + [("other", float(v), float(v + rng.normal())) for v in rng.normal(size=30)]
     df = spark.createDataFrame(rows, "feature string, value double, target double")
     together = {r.feature: r.p for r in stats.permutation_p(df, 400, block=64, chunk=16).collect()}
     each = {}
     for f in together:
         each |= {r.feature: r.p for r in stats.permutation_p(df.where(F.col("feature") == f), 400, block=64, chunk=16).collect()}
-    assert len(together) == 6 and together == each
+    assert len(together) == 7 and together == each
+    assert together["twin"] == together["f1"]  # by the very same shuffles
     monkeypatch.setattr(stats, "FEATURES", 2)  # in blocks of features
     assert {r.feature: r.p for r in stats.permutation_p(df, 400, block=64, chunk=16).collect()} == together
 
