@@ -23,7 +23,6 @@ import contextlib
 import functools
 import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, drop, new_folder, read_table, release, store
+from .common import bound_batches, drop, drop_buckets, read_table, release, store, store_by, store_in_buckets
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments (and id pairs) of at least this share of all occurrences are told to all tasks; there are at most as many.
@@ -141,15 +140,19 @@ def _ends(tokens: DataFrame, side: str) -> DataFrame:
     return each.select("sid", "n", F.col("t.id").alias(side), F.col("t.len").alias("len"), F.sum("t.len").over(upto).alias("end")).select(F.col("sid").alias(f"{side}_sid"), F.col("n").alias(f"{side}_n"), side, (F.col("end") - F.col("len")).alias(f"{side}_start"), F.col("end").alias(f"{side}_end"))
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """``sid, n, end, a, a_start, b, b_start, grp``: every place of a text ``sid`` where a token ends, the tokens of either side that end there, and their group.
+def meet(tokens: DataFrame) -> DataFrame:
+    """``sid, n, end, a, a_start, b, b_start``: every place of a text ``sid`` where a token ends, and the tokens of either side that end there.
 
     tokens: ``sid, n, a_ids, a_lens, b_ids, b_lens``; both sides of a text have the same total length. Dealt by ``sid`` already.
     """
     both = _ends(tokens, "a").join(_ends(tokens, "b"), (F.col("a_sid") == F.col("b_sid")) & (F.col("a_end") == F.col("b_end")), "full")
-    both = both.select(F.coalesce("a_sid", "b_sid").alias("sid"), F.coalesce("a_n", "b_n").alias("n"), F.coalesce("a_end", "b_end").alias("end"), "a", "a_start", "b", "b_start")
+    return both.select(F.coalesce("a_sid", "b_sid").alias("sid"), F.coalesce("a_n", "b_n").alias("n"), F.coalesce("a_end", "b_end").alias("end"), "a", "a_start", "b", "b_start")
+
+
+def align(met: DataFrame) -> DataFrame:
+    """Rows of :func:`meet` with ``grp``, the group that they belong to: the places before at which both sides end."""
     before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("grp", F.coalesce(F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)).over(before), F.lit(0)))
+    return met.withColumn("grp", F.coalesce(F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)).over(before), F.lit(0)))
 
 
 def links(placed: DataFrame) -> DataFrame:
@@ -164,10 +167,13 @@ def links(placed: DataFrame) -> DataFrame:
 
 def group_texts(placed: DataFrame) -> DataFrame:
     """``sid, n_a, n_b, n_groups, groups``: the numbers of a text's tokens and groups, and the groups as ``a1,a2|b1;...``."""
-    listed = lambda s: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(s).isNotNull(), F.struct("end", s)))), lambda x: x[s].cast("string")), ",")
-    each = placed.groupBy("sid", "grp").agg(F.concat(listed("a"), F.lit("|"), listed("b")).alias("one"), F.count("a").alias("k_a"), F.count("b").alias("k_b"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "one"))), lambda x: x["one"]), ";")
-    return each.groupBy("sid").agg(F.sum("k_a").alias("n_a"), F.sum("k_b").alias("n_b"), F.count("*").alias("n_groups"), whole.alias("groups"))
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    each = placed.groupBy("sid").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.when(cut, 1)).alias("n_groups"), F.sort_array(F.collect_list(F.struct("end", "a", "b"))).alias("s"))
+    # A token's id, and behind it a semicolon where the other side ends too, which ends the group; the last token does.
+    one = lambda s, o: F.transform("s", lambda x: F.when(x[s].isNotNull(), F.concat(x[s].cast("string"), F.when(x[o].isNotNull(), ";").otherwise(","))))
+    listed = lambda s, o: F.split(F.rtrim(F.array_join(one(s, o), ""), F.lit(";")), ";")
+    whole = F.array_join(F.zip_with(listed("a", "b"), listed("b", "a"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    return each.select("sid", "n_a", "n_b", "n_groups", whole.alias("groups"))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -193,27 +199,27 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def aligned_segments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups, ok`` of each distinct segment. Stored."""
+    """``seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups, ok`` of each distinct segment. Stored in buckets of ``seg``."""
     spark = docs.sparkSession
     found = segments(docs, a_path, b_path)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // SEGMENTS + 1)
-    table, folder = f"aligned_{uuid.uuid4().hex}", new_folder(spark, "aligned")
     with co_partitioned(spark):
         dealt = found.where("ok").select("sid", "n", "a_ids", "a_lens", "b_ids", "b_lens").repartition(n, "sid")
         release(spark)
-        align(dealt).write.option("compression", "zstd").option("path", folder).bucketBy(n, "sid").saveAsTable(table)
+        # A full join's rows are where both sides were dealt, but Spark no longer knows it: from buckets they needn't be dealt again.
+        met = store_in_buckets(meet(dealt), n, "sid", "met")
         release(spark)
-        placed = spark.table(table)
+        placed = store_in_buckets(align(met), n, "sid", "aligned")
+        drop_buckets(met)
         linked, texts = store(links(placed), "links"), store(group_texts(placed), "group-texts")
-    drop(placed)
-    spark.sql(f"DROP TABLE {table}")
+    drop_buckets(placed)
     release(spark)
     counted = store(_counted(linked), "segment-links")
     drop(linked)
     release(spark)
     own = texts.join(counted.withColumnRenamed("sid", "cid"), F.col("sid") == F.col("cid")).drop("cid").withColumnRenamed("sid", "tid")
     out = found.select("sid", "seg", "n", "ok").join(own, F.col("sid") == F.col("tid"), "left")
-    out = store(out.select("seg", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in _SUMS), F.coalesce("groups", F.lit("")).alias("groups"), "ok"), "aligned-segments")
+    out = store_by(out.select("seg", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in _SUMS), F.coalesce("groups", F.lit("")).alias("groups"), "ok"), "seg", "aligned-segments")
     for t in (found, texts, counted):
         drop(t)
     release(spark)
@@ -267,7 +273,9 @@ def _texts(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 def documents(docs: DataFrame, aligned: DataFrame, digest: bool = False) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of each text from its segments (:func:`aligned_segments`); with ``digest``, ``groups_sha256`` instead of the groups."""
+    spark = docs.sparkSession
     total = aligned.agg(F.sum("n")).first()[0] or 0
+    release(spark)
     often = F.col("n") * TOLD >= total
     side = aligned.withColumnsRenamed({"seg": "key"})
     # An untold row keeps its segment; a text without tokens is one row without any.
@@ -275,14 +283,12 @@ def documents(docs: DataFrame, aligned: DataFrame, digest: bool = False) -> Data
     near = rows.join(F.broadcast(side.where(often).drop("n")), F.col("seg") == F.col("key"), "left")
     near = near.select("rid", "did", F.when(F.col("key").isNull(), F.col("seg")).alias("seg"), *_SUMS, "groups", "ok")
     sums = ", ".join(f"{c} long" for c in _SUMS)
-    spark = docs.sparkSession
     # A text's row stays where it was read: the table's buckets are those of the tasks that read, and what is joined comes to them.
     part = F.shiftright("rid", 33).cast("int").alias("part")
-    table, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = near.mapInArrow(_regroup, f"rid long, did long, {sums}, ok boolean, parts array<string>, open array<string>").select(part, "*")
-    whole.write.option("compression", "zstd").option("path", new_folder(spark, "texts")).bucketBy(n, "part").saveAsTable(table)
+    texts = store_in_buckets(whole, n, "part", "texts")
     release(spark)
-    texts = spark.table(table)
     each = texts.select("rid", F.posexplode("open").alias("j", "seg"))
     found = each.join(side.where(~often).drop("n"), F.col("seg") == F.col("key"))
     dealt = found.select(part, "rid", "j", "groups", *_SUMS, "ok").repartition(n, "part")
@@ -299,8 +305,7 @@ def documents(docs: DataFrame, aligned: DataFrame, digest: bool = False) -> Data
     out = out.select(F.col("did").alias("doc_id"), *(F.when(ok, F.col(c)).otherwise(F.lit(0)).alias(c) for c in _SUMS), last)
     with co_partitioned(spark):
         out = store(out, "aligned-texts")
-    drop(texts)
-    spark.sql(f"DROP TABLE {table}")
+    drop_buckets(texts)
     return out
 
 

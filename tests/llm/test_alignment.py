@@ -108,3 +108,22 @@ def test_segments_stand_alone():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert m.op11_token_alignment(spark, str(tmp_path)).collect() == []
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_stored_rows_are_not_dealt_again(spark):
+    """Neither the rows of the full join for their running counts, nor the distinct segments for the texts."""
+    tokens = spark.createDataFrame([(1, 1, [5, 6], [1, 2], [7], [3]), (2, 3, [5], [4], [8, 9], [2, 2])], "sid long, n long, a_ids array<int>, a_lens array<int>, b_ids array<int>, b_lens array<int>")
+    with m.co_partitioned(spark):
+        met = m.store_in_buckets(m.meet(tokens.repartition(4, "sid")), 4, "sid", "met")
+        placed = m.align(met)
+        assert exchanges(placed) == exchanges(m.group_texts(placed)) == 0
+    assert sorted(m.group_texts(placed).collect()) == [(1, 2, 1, 1, "5,6|7"), (2, 1, 2, 1, "5|8,9")]
+    m.drop_buckets(met)
+
+    aligned = m.aligned_segments(spark.createDataFrame([(1, "the code the code")], "doc_id long, text string"), A, B)
+    other = aligned.select(m.F.concat("seg", m.F.lit("")).alias("key"))
+    assert exchanges(other.hint("merge").join(aligned, other.key == aligned.seg)) == 1
